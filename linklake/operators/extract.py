@@ -110,7 +110,6 @@ def extract_resources(posts: DataFrame, id_col: str = "post_id", text: str = "te
     )
     found = urls.canonicalise(found, "raw").filter(~c("u_url").rlike(UNEXPANDED))
     # The text around a link is taken at its first occurrence in the line.
-    at = F.expr("instr(line, raw)")
     found = found.withColumns(
         {
             "before": F.expr("substring(line, 1, instr(line, raw) - 1)"),

@@ -61,5 +61,28 @@ def with_neighbours(
     ).drop("_slice", "_prev", "_next", "_before", "_after")
 
 
+def last_before(
+    events: DataFrame, values: DataFrame, group: str, at: str, value: str, unit: str = "day"
+) -> DataFrame:
+    """As-of lookup: add to each event the latest struct ``value`` of its group strictly before ``at``.
+
+    Events and values are merged and windowed per (group, time slice); what a slice ends with is
+    carried into later slices by a window over slices only. No event meets more than one value, and
+    a hot group is spread over its slices.
+    """
+    c = F.col
+    marked = events.withColumn("_is_value", F.lit(False)).unionByName(
+        values.select(group, at, value).withColumn("_is_value", F.lit(True)), allowMissingColumns=True
+    )
+    marked = marked.withColumn("_slice", F.date_trunc(unit, c(at)))
+    so_far = Window.partitionBy(group, "_slice").orderBy(at, "_is_value").rowsBetween(Window.unboundedPreceding, -1)
+    marked = marked.withColumn("_inside", F.last(value, ignorenulls=True).over(so_far))
+    ends = marked.groupBy(group, "_slice").agg(F.max_by(value, F.when(c(value).isNotNull(), c(at))).alias("_end"))
+    earlier = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(group, "_slice", F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
+    out = marked.filter(~c("_is_value")).join(ends, [group, "_slice"])
+    return out.withColumn(value, F.coalesce("_inside", "_carried")).drop("_is_value", "_slice", "_inside", "_carried")
+
+
 def is_true(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
