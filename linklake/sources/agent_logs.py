@@ -13,13 +13,13 @@ from . import schemas
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """``file, pos, value`` of every log line below ``path``; sub-agent folders are left out.
 
-    ``pos`` orders the lines of one file: files are read in split order and a line's id grows
-    with its place, so only the order is used, never the distance.
+    ``pos`` orders the lines of one file: first by the block of the file a line was read from,
+    then by its number within that block.
     """
     lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path)
     lines = lines.select(
         F.col("_metadata.file_path").alias("file"),
-        (F.col("_metadata.file_block_start") * (1 << 20) + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20))).alias("pos"),
+        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("pos"),
         "value",
     )
     return lines.filter(~F.col("file").contains("/subagents/"))
