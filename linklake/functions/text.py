@@ -16,11 +16,11 @@ def utf16_length(c: Column) -> Column:
 
 
 def fold_space(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), r"^ | $", "")
+    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
 def trim_space(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(rules.WHITESPACE))
 
 
 def clean_label(c: Column) -> Column:

@@ -59,9 +59,7 @@ def canonicalise(df: DataFrame, url: str = "url", prefix: str = "u_", keep_bad:
     """
     c = F.col
     t = "_" + prefix
-    trimmed = F.regexp_replace(
-        F.regexp_replace(c(url), r"(?U)^\s+|\s+$", ""), rules.TRAILING_PUNCTUATION, ""
-    )
+    trimmed = F.rtrim(F.btrim(c(url), F.lit(rules.WHITESPACE)), F.lit(rules.TRAILING_PUNCTUATION))
     out = df.withColumn(t + "s", trimmed)
     out = out.withColumn(
         t + "s",
@@ -69,30 +67,32 @@ def canonicalise(df: DataFrame, url: str = "url", prefix: str = "u_", keep_bad:
             c(t + "s").rlike(r"(?i)^[a-z0-9-]+(\.[a-z0-9-]+)+(/|$)"), F.concat(F.lit("https://"), c(t + "s"))
         ),
     )
+    out = out.withColumn(t + "rest", F.ltrim(F.expr(f"substring({t}s, instr({t}s, ':') + 1)"), F.lit("/\\")))
+    out = out.withColumn(t + "auth", F.regexp_extract(t + "rest", r"^[^/\\?#]*", 0))
     out = out.withColumns(
         {
-            t + "auth": F.regexp_extract(t + "s", r"^[A-Za-z]+:[/\\]+([^/\\?#]*)", 1),
-            t + "tail": F.regexp_replace(t + "s", r"^[A-Za-z]+:[/\\]+[^/\\?#]*", ""),
+            t + "hp": F.lower(F.substring_index(t + "auth", "@", -1)),
+            t + "tail": F.expr(f"substring({t}rest, length({t}auth) + 1)"),
         }
     )
+    has_port = F.contains(c(t + "hp"), F.lit(":"))
     out = out.withColumns(
         {
-            t + "hp": F.substring_index(t + "auth", "@", -1),
+            t + "host": F.when(has_port, F.regexp_replace(t + "hp", r":\d*$", "")).otherwise(c(t + "hp")),
+            t + "port": F.when(has_port, F.regexp_extract(t + "hp", r":(\d*)$", 1)).otherwise(""),
             t + "pq": F.substring_index(t + "tail", "#", 1),
             t + "frag": F.when(
-                F.contains(c(t + "tail"), F.lit("#")),
-                F.expr(f"substring({t}tail, instr({t}tail, '#'))"),
+                F.contains(c(t + "tail"), F.lit("#")), F.expr(f"substring({t}tail, instr({t}tail, '#'))")
             ).otherwise(""),
         }
     )
     out = out.withColumns(
         {
-            t + "host": F.lower(F.regexp_replace(F.regexp_replace(t + "hp", r":\d*$", ""), r"\.$", "")),
-            t + "port": F.regexp_extract(t + "hp", r":(\d*)$", 1),
+            t + "host": F.when(c(t + "host").endswith("."), F.expr(f"substring({t}host, 1, length({t}host) - 1)")).otherwise(c(t + "host")),
             t + "path": F.replace(F.substring_index(t + "pq", "?", 1), F.lit("\\"), F.lit("/")),
-            t + "params": F.expr(
-                f"filter(split(substring({t}pq, instr({t}pq, '?') + 1), '&'), p -> p <> '' AND instr({t}pq, '?') > 0)"
-            ),
+            t + "params": F.when(
+                F.contains(c(t + "pq"), F.lit("?")), F.filter(F.split(F.expr(f"substring({t}pq, instr({t}pq, '?') + 1)"), "&"), lambda p: p != "")
+            ).otherwise(F.array().cast("array<string>")),
         }
     )
     pairs = F.transform(
@@ -104,7 +104,7 @@ def canonicalise(df: DataFrame, url: str = "url", prefix: str = "u_", keep_bad:
         ),
     )
     out = out.withColumn(t + "path", _escape_non_ascii(c(t + "path")))
-    path = F.regexp_replace(_resolve_dots(c(t + "path")), "/+$", "")
+    path = F.rtrim(_resolve_dots(c(t + "path")), F.lit("/"))
     out = out.withColumns(
         {
             t + "params": F.array_sort(F.filter(pairs, lambda p: ~p["k"].rlike(rules.TRACKING_PARAM))),
@@ -203,7 +203,7 @@ def post_id(text: Column) -> Column:
 def with_link_key(df: DataFrame, prefix: str = "u_", name: str = "key") -> DataFrame:
     """Identity of a link in the link book: the post, or host + path + query."""
     c = F.col
-    path = F.regexp_replace(F.regexp_replace(c(prefix + "path"), r"(?i)\.git$", ""), "/+$", "")
+    path = F.rtrim(F.regexp_replace(c(prefix + "path"), r"(?i)\.git$", ""), F.lit("/"))
     out = df.withColumns(
         {"_post": post_id(c(prefix + "url")), "_p": path, "_h": canonical_host(c(prefix + "host"))}
     )

@@ -58,8 +58,8 @@ def rare_link_terms(terms: DataFrame, rare: int = RARE_LINKS) -> DataFrame:
     since = F.least("own_at", "body_at")
     order = Window.partitionBy("term").orderBy("since", "key")
     ranked = terms.withColumn("since", since).withColumn("r", F.row_number().over(order)).filter(c("r") <= rare + 1)
-    common = ranked.filter(c("r") == rare + 1).select("term", c("since").alias("common_from"))
-    return ranked.filter(c("r") <= rare).join(common, "term", "left").drop("r", "since")
+    one_more = F.max(F.when(c("r") == rare + 1, c("since"))).over(Window.partitionBy("term"))
+    return ranked.withColumn("common_from", one_more).filter(c("r") <= rare).drop("r", "since")
 
 
 def link_standing(book: LinkBook) -> DataFrame:
@@ -89,12 +89,12 @@ def _said_elsewhere(as_of: bool) -> Column:
 
 def recall_candidates(
     messages: DataFrame, book: LinkBook, vocab: DataFrame, total: DataFrame, as_of: bool = False,
-    skip: bool = True, rare: int = RARE_LINKS, min_score: float = MIN_SCORE,
+    skip: bool = True, rare: int = RARE_LINKS, min_score: float = MIN_SCORE, picks: DataFrame | None = None,
 ) -> DataFrame:
     """Every link that passes the rare-word rule for a message, with its score, before the top 3.
 
     The word join meets at most ``rare`` links per term. ``skip`` leaves out links in the message
-    itself and links only ever handed over in the same session.
+    itself (``picks``, found again when not given) and links only ever handed over in the same session.
     """
     c = F.col
     asked = keywords(messages, vocab, total)
@@ -114,7 +114,8 @@ def recall_candidates(
     per_link = per_link.filter((c("n_own") >= 1) & (c("n_hits") >= 2) & (c("raw") >= min_score))
     out = per_link.join(link_standing(book), "key").withColumn("score", F.round("raw", 2))
     if skip:
-        out = out.filter(_said_elsewhere(as_of)).join(pick_links(messages).select("msg_id", "key"), ["msg_id", "key"], "left_anti")
+        fresh = (pick_links(messages) if picks is None else picks).select("msg_id", "key")
+        out = out.filter(_said_elsewhere(as_of)).join(fresh, ["msg_id", "key"], "left_anti")
     noted = is_true(c("noted_at") < c("at")) if as_of else c("noted_at").isNotNull()
     return out.select("msg_id", "at", "session", "key", "score", noted.alias("noted"), c("born").alias("first_seen"), "matched")
 
@@ -149,7 +150,8 @@ def remark_trail(book: LinkBook) -> DataFrame:
 
 
 def recent_candidates(
-    messages: DataFrame, book: LinkBook, vocab: DataFrame, total: DataFrame, days: int = RECENT_DAYS, skip: bool = True
+    messages: DataFrame, book: LinkBook, vocab: DataFrame, total: DataFrame, days: int = RECENT_DAYS, skip: bool = True,
+    picks: DataFrame | None = None,
 ) -> DataFrame:
     """``msg_id, at, session, term, key, thing, in_title, last_at`` of links handed over lately.
 
@@ -168,7 +170,8 @@ def recent_candidates(
     pairs = salted_join(lately, asked, ["term", "day"], spread=["key"]).filter(c("own_at") < c("at"))
     pairs = pairs.select("msg_id", "at", "session", "term", "key", is_true(c("title_at") < c("at")).alias("in_title"))
     if skip:
-        pairs = pairs.join(pick_links(messages).select("msg_id", "key"), ["msg_id", "key"], "left_anti")
+        fresh = (pick_links(messages) if picks is None else picks).select("msg_id", "key")
+        pairs = pairs.join(fresh, ["msg_id", "key"], "left_anti")
 
     meetings = last_before(pairs.select("msg_id", "at", "session", "key").distinct(), remark_trail(book), "key", "at", "remark")
     elsewhere = F.when(~c("remark.said_in").eqNullSafe(c("session")), c("remark.said_at")).otherwise(c("remark.other_at"))
@@ -197,7 +200,9 @@ def recall_recent(messages: DataFrame, book: LinkBook, vocab: DataFrame, total:
     return rank_recent(recent_candidates(messages, book, vocab, total, **kw), limit)
 
 
-def route_prompts(messages: DataFrame, book: LinkBook, vocab: DataFrame, total: DataFrame) -> DataFrame:
+def route_prompts(
+    messages: DataFrame, book: LinkBook, vocab: DataFrame, total: DataFrame, picks: DataFrame | None = None
+) -> DataFrame:
     """``msg_id, route, rank, key``: a question about an earlier link is searched, the rest recalled."""
     c = F.col
     asking = messages.filter(asks_about_past(c("text")))
@@ -205,8 +210,9 @@ def route_prompts(messages: DataFrame, book: LinkBook, vocab: DataFrame, total:
     topic = keywords(asking, vocab, total).groupBy("msg_id").agg(F.array_join(F.array_sort(F.collect_set("term")), " ").alias("query"))
     found = find_links(book, topic.select(c("msg_id").alias("query_id"), "query"), k=5)
     found = found.select(c("query_id").alias("msg_id"), F.lit("search").alias("route"), "rank", c("doc").alias("key"))
-    found = found.join(pick_links(asking).select("msg_id", "key"), ["msg_id", "key"], "left_anti")
-    recalled = recall_rare(other, book, vocab, total).select("msg_id", F.lit("recall").alias("route"), "rank", "key")
+    fresh = (pick_links(asking) if picks is None else picks).select("msg_id", "key")
+    found = found.join(fresh, ["msg_id", "key"], "left_anti")
+    recalled = recall_rare(other, book, vocab, total, picks=picks).select("msg_id", F.lit("recall").alias("route"), "rank", "key")
     return found.select("msg_id", "route", "rank", "key").unionByName(recalled)
 
 
@@ -275,7 +281,9 @@ def _once_per_session(batches):
         yield pd.DataFrame(out, columns=["msg_id", "channel", "session", "key", "rank"])
 
 
-def replay(messages: DataFrame, book: LinkBook, vocab: DataFrame, total: DataFrame) -> DataFrame:
+def replay(
+    messages: DataFrame, book: LinkBook, vocab: DataFrame, total: DataFrame, picks: DataFrame | None = None
+) -> DataFrame:
     """Both channels over all history, each message against the book as of its time.
 
     Spark reduces history to candidates; only the order-dependent "not yet shown in this session"
@@ -283,8 +291,8 @@ def replay(messages: DataFrame, book: LinkBook, vocab: DataFrame, total: DataFra
     """
     c = F.col
     heard = messages.filter(~asks_about_past(c("text")))
-    rare = rank_rare(recall_candidates(heard, book, vocab, total, as_of=True), None)
-    recent = recent_candidates(heard, book, vocab, total)
+    rare = rank_rare(recall_candidates(heard, book, vocab, total, as_of=True, picks=picks), None)
+    recent = recent_candidates(heard, book, vocab, total, picks=picks)
     none = lambda t: F.lit(None).cast(t)
     rare = rare.select(
         "msg_id", F.lit("rare").alias("channel"), "session", "at", "rank", "key", none("string").alias("term"),

@@ -6,6 +6,8 @@ the tables take part; modulo expressions only vary what a row becomes, never whe
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +47,7 @@ FROM (
 MESSAGES = """
 SELECT c.conv_id * 1000 + c.turn AS msg_id, CAST(c.conv_id AS STRING) AS session,
  concat('/home/project', CAST(c.conv_id % 5 AS STRING)) AS cwd,
- TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' MINUTE * (c.conv_id * 60 + c.turn) AS at,
+ TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' MINUTE * (c.conv_id * 60 + c.turn) AS tm,
  concat(c.text,
   CASE WHEN p.url IS NULL THEN '' ELSE concat(' ', p.url, ' and https://x.com/someone/status/', CAST(1000000000 + p.page_id AS STRING), '?s=20.') END,
   CASE WHEN c.conv_id % 7 = 0 THEN ' 上次给过你那个 repo' ELSE '' END) AS text
@@ -64,7 +66,7 @@ FROM pages a LEFT JOIN pages b ON b.page_id = a.page_id + 1
 """
 
 SITE_LOG = """
-SELECT event_id, ts AS at,
+SELECT event_id, ts AS tm,
  CASE WHEN user_id % 10 = 0 THEN 'bot' ELSE 'browser' END AS c,
  CASE event_type
   WHEN 'view' THEN concat('e=s&n=', CAST(event_id % 7 AS STRING), '&m=', CAST(event_id % 3 AS STRING), '&o=', CAST(event_id % 2 AS STRING), '&w=lg&l=en-US')
@@ -98,18 +100,16 @@ VIEWS = {
 }
 
 
-def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Base tables of one data directory, registered for the view texts."""
-    out = {}
-    for name in TABLES:
-        out[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        out[name].createOrReplaceTempView(name)
-    return out
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the views over the base tables of a data directory."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    tables(spark, sf_dir)
+    for base in TABLES:
+        if re.search(rf"(FROM|JOIN) {base}\b", VIEWS[name]):
+            table(spark, sf_dir, base).createOrReplaceTempView(base)
     return spark.sql(VIEWS[name])
 
 
@@ -132,7 +132,7 @@ def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "messages").select("msg_id", "text", "at", "session", "cwd")
+    return view(spark, sf_dir, "messages").select("msg_id", "text", F.col("tm").alias("at"), "session", "cwd")
 
 
 def fetches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -16,7 +16,7 @@ from ..operators import analytics as an
 from ..operators import extract, liveness, memory, publish, recall, redirects, screening, search, views
 from ..operators.library import Library, apply_fetches, entries, from_documents, to_documents, upsert, upsert_report
 from ..operators.memory import LinkBook
-from ..session import cut_lineage
+from ..session import cut_lineage, shared_folder
 from ..sources import agent_logs, bookmarks, posts, schemas
 from . import bridge
 
@@ -42,30 +42,45 @@ def _iso(col):
 # --- shared inputs -----------------------------------------------------------------------
 
 
+def _kept(library: Library) -> Library:
+    """Write the tables down once, as a deployment does, so that no query folds them twice."""
+    return Library(cut_lineage(library.facts), cut_lineage(library.state))
+
+
 def _library(spark, d) -> Library:
-    return upsert(None, bridge.sightings(spark, d))
+    lib = upsert(None, bridge.sightings(spark, d))
+    return Library(cut_lineage(lib.facts), lib.state)
 
 
 def _checked(spark, d) -> Library:
-    return apply_fetches(_library(spark, d), liveness.verdicts(bridge.fetches(spark, d).drop("page_id")))
+    return _kept(apply_fetches(_library(spark, d), liveness.verdicts(bridge.fetches(spark, d).drop("page_id"))))
 
 
-def _book(spark, d) -> tuple[LinkBook, DataFrame]:
-    """The link book of all messages, with page titles as what each link is."""
-    msgs = bridge.messages(spark, d)
-    book = memory.capture(None, memory.pick_links(msgs))
+def _picks(spark, d) -> tuple[DataFrame, DataFrame]:
+    msgs = cut_lineage(bridge.messages(spark, d))
+    return msgs, cut_lineage(memory.pick_links(msgs))
+
+
+def _book(spark, d) -> tuple[LinkBook, DataFrame, DataFrame]:
+    """The link book of all messages with page titles as what each link is, the messages, the picks."""
+    msgs, picks = _picks(spark, d)
+    book = memory.capture(None, picks)
     pages = with_page_metadata(bridge.view(spark, d, "fetch_log").select("url", "html"))
     keyed = urls.with_link_key(urls.canonicalise(pages.select("url", "page_title")))
     titles = keyed.groupBy("key").agg(F.min("page_title").alias("_title"))
-    book.links = book.links.join(titles, "key", "left").withColumn("title", c("_title")).drop("_title")
-    notes = msgs.join(memory.pick_links(msgs).select("msg_id", "key"), "msg_id").select(
+    book.links = cut_lineage(book.links.join(titles, "key", "left").withColumn("title", c("_title")).drop("_title"))
+    book.said = cut_lineage(book.said)
+    notes = picks.filter(c("key").startswith("x.com/status/")).select(
         c("key").alias("target"), F.concat(F.lit("conclusion "), c("session")).alias("text"), (c("at") + F.expr("INTERVAL 1 HOUR")).alias("at")
     )
-    return memory.add_notes(book, notes.filter(c("target").startswith("x.com/status/"))), msgs
+    book = memory.add_notes(book, notes)
+    book.notes = cut_lineage(book.notes)
+    return book, msgs, picks
 
 
-def _vocab(spark, d):
-    return memory.learn_vocab(bridge.messages(spark, d))
+def _vocab(msgs):
+    vocab, total = memory.learn_vocab(msgs)
+    return cut_lineage(vocab), total
 
 
 # --- URLs and screening ------------------------------------------------------------------
@@ -105,7 +120,7 @@ def privacy_screen(spark, d):
 
 
 def _blocklist(spark, d):
-    pages = urls.canonicalise(bridge.tables(spark, d)["pages"].select("url"))
+    pages = urls.canonicalise(bridge.table(spark, d, "pages").select("url"))
     return pages.filter(c("u_host").rlike("pills|spam")).select(urls.canonical_host(c("u_host")).alias("domain")).distinct()
 
 
@@ -154,7 +169,7 @@ def post_library(spark, d):
 
 @query
 def page_metadata(spark, d):
-    rows = with_page_metadata(bridge.tables(spark, d)["pages"])
+    rows = with_page_metadata(bridge.table(spark, d, "pages"))
     return rows.select("page_id", c("page_title").alias("title"), "og_title", "description", "site_name", "image", "lang")
 
 
@@ -167,7 +182,7 @@ def captured_links(spark, d):
 def ignored_links(spark, d):
     """Links left after an ignore list of block-listed sites and one host/path prefix."""
     hosts = _blocklist(spark, d).select(c("domain").alias("pattern"))
-    first = urls.with_link_key(urls.canonicalise(bridge.tables(spark, d)["pages"].select("url")))
+    first = urls.with_link_key(urls.canonicalise(bridge.table(spark, d, "pages").select("url")))
     prefix = first.select(F.regexp_extract("key", r"^[^/]+/(?:en|de)", 0).alias("pattern")).filter("pattern <> ''").distinct()
     return memory.pick_links(bridge.messages(spark, d), hosts.unionByName(prefix)).select("msg_id", "key")
 
@@ -237,7 +252,7 @@ def flag_list(spark, d):
 @query
 def bookmark_folders(spark, d):
     """Bookmark trees of 50 pages each are flattened again and counted per folder."""
-    pages = bridge.tables(spark, d)["pages"]
+    pages = bridge.table(spark, d, "pages")
     leaf = F.struct(
         F.lit("url").alias("type"), F.concat(F.lit("t"), "page_id").alias("name"), "url",
         (F.lit(13_300_000_000_000_000) + c("page_id")).cast("string").alias("date_added"),
@@ -286,7 +301,7 @@ def verified_library(spark, d):
 @query
 def repo_facts(spark, d):
     """Repository API answers built from the parts table."""
-    part = bridge.tables(spark, d)["part"]
+    part = bridge.table(spark, d, "part")
     body = F.to_json(
         F.struct(
             c("p_name").alias("full_name"), c("p_type").alias("description"), c("p_size").alias("stargazers_count"),
@@ -314,7 +329,6 @@ def redirect_edges(spark, d):
 @query
 def redirect_merge(spark, d):
     lib = _checked(spark, d)
-    lib = Library(cut_lineage(lib.facts), cut_lineage(lib.state))
     head = cut_lineage(entries(lib))
     moves = cut_lineage(redirects.plan_moves(head))
     merged = redirects.merge_redirects(lib, moves, head)
@@ -356,7 +370,7 @@ def issue_bodies(spark, d):
 
 
 def _doc_fields(spark, d):
-    docs = bridge.tables(spark, d)["documents"]
+    docs = bridge.table(spark, d, "documents")
     both = F.array(
         F.struct(F.lit("description").alias("field"), c("text").alias("text")), F.struct(F.lit("tags").alias("field"), c("source").alias("text"))
     )
@@ -365,7 +379,7 @@ def _doc_fields(spark, d):
 
 @query
 def tokens(spark, d):
-    docs = bridge.tables(spark, d)["documents"].select("doc_id", "text")
+    docs = bridge.table(spark, d, "documents").select("doc_id", "text")
     return tx.explode_tokens(docs, "text").groupBy("doc_id", "token").agg(F.count("*").alias("n"))
 
 
@@ -377,7 +391,7 @@ def term_df(spark, d):
 @query
 def expanded_queries(spark, d):
     """Part types as queries: typed terms and the terms their synonyms add."""
-    part = bridge.tables(spark, d)["part"]
+    part = bridge.table(spark, d, "part")
     raw = F.concat_ws(" ", "p_name", F.when(c("p_size") % 3 == 0, "open source tool").when(c("p_size") % 3 == 1, "Design 动画 editing"))
     rows = search.expand_queries(part.select(c("p_partkey").alias("query_id"), raw.alias("query")))
     return rows.select("query_id", "term", "weight")
@@ -386,8 +400,8 @@ def expanded_queries(spark, d):
 @query
 def bm25_topk(spark, d):
     """Every benchmark passage as a query over all documents."""
-    queries = bridge.tables(spark, d)["benchmark"].select(c("item_id").alias("query_id"), c("text").alias("query"))
-    index = search.build_index(_doc_fields(spark, d), bridge.tables(spark, d)["documents"].agg(F.count("*").alias("n")))
+    queries = bridge.table(spark, d, "benchmark").select(c("item_id").alias("query_id"), c("text").alias("query"))
+    index = search.build_index(_doc_fields(spark, d), bridge.table(spark, d, "documents").agg(F.count("*").alias("n")))
     best = search.top_k(search.score(index, search.expand_queries(queries)).withColumn("score", F.round("score", 6)), 10)
     return best.select("query_id", "doc", "rank", F.round("score", 4).alias("score"))
 
@@ -396,7 +410,6 @@ def bm25_topk(spark, d):
 def library_search(spark, d):
     """Note texts and section names of all sightings as queries over the verified library."""
     lib = _checked(spark, d)
-    lib = Library(cut_lineage(lib.facts), cut_lineage(lib.state))
     head = cut_lineage(entries(lib))
     v = bridge.view(spark, d, "sightings")
     queries = v.select(F.concat_ws(" ", "note", "tag").alias("query")).distinct().withColumn("query_id", c("query"))
@@ -409,7 +422,6 @@ def library_search(spark, d):
 @query
 def lookup_alias(spark, d):
     lib = _checked(spark, d)
-    lib = Library(cut_lineage(lib.facts), cut_lineage(lib.state))
     head = cut_lineage(entries(lib))
     moves = cut_lineage(redirects.plan_moves(head))
     merged = redirects.merge_redirects(lib, moves, head)
@@ -435,14 +447,14 @@ def brief_entries(spark, d):
 
 @query
 def link_book(spark, d):
-    book, _ = _book(spark, d)
+    book, _, _ = _book(spark, d)
     said = book.said.groupBy("key").agg(F.count("*").alias("remarks"), F.count_distinct("session").alias("sessions"))
     return book.links.join(said, "key").select("key", "url", _iso("first_seen").alias("first_seen"), "remarks", "sessions")
 
 
 @query
 def link_notes(spark, d):
-    book, _ = _book(spark, d)
+    book, _, _ = _book(spark, d)
     return book.notes.groupBy("key").agg(F.count("*").alias("n"), F.max_by("text", "at").alias("last_note"))
 
 
@@ -459,13 +471,13 @@ def message_terms(spark, d):
 
 @query
 def vocabulary(spark, d):
-    vocab, total = _vocab(spark, d)
+    vocab, total = memory.learn_vocab(bridge.messages(spark, d))
     return vocab.join(F.broadcast(total), F.lit(True)).select("term", "n", "total")
 
 
 @query
 def message_keywords(spark, d):
-    return memory.keywords(bridge.messages(spark, d), *_vocab(spark, d)).select("msg_id", "term")
+    return memory.keywords(bridge.messages(spark, d), *memory.learn_vocab(bridge.messages(spark, d))).select("msg_id", "term")
 
 
 @query
@@ -475,23 +487,23 @@ def asks_about_past(spark, d):
 
 @query
 def recall_rare(spark, d):
-    book, msgs = _book(spark, d)
-    out = recall.recall_rare(msgs, book, *_vocab(spark, d))
+    book, msgs, picks = _book(spark, d)
+    out = recall.recall_rare(msgs, book, *_vocab(msgs), picks=picks)
     return out.select("msg_id", "rank", "key", "score", _joined("matched").alias("matched"))
 
 
 @query
 def recall_recent(spark, d):
-    book, msgs = _book(spark, d)
-    out = recall.recall_recent(msgs, book, *_vocab(spark, d))
+    book, msgs, picks = _book(spark, d)
+    out = recall.recall_recent(msgs, book, *_vocab(msgs), picks=picks)
     return out.select("msg_id", "rank", "key", _joined("matched").alias("matched"))
 
 
 @query
 def find_links(spark, d):
     """Every page title as a question to the link book."""
-    book, _ = _book(spark, d)
-    titles = with_page_metadata(bridge.tables(spark, d)["pages"]).select(c("page_id").alias("query_id"), c("page_title").alias("query"))
+    book, _, _ = _book(spark, d)
+    titles = with_page_metadata(bridge.table(spark, d, "pages")).select(c("page_id").alias("query_id"), c("page_title").alias("query"))
     index = search.build_index(memory.book_fields(book), book.links.agg(F.count("*").alias("n")))
     scored = search.score(index, search.expand_queries(titles)).withColumn("score", F.round("score", 6))
     return search.top_k(scored, 5).select("query_id", "doc", "rank", F.round("score", 4).alias("score"))
@@ -499,20 +511,20 @@ def find_links(spark, d):
 
 @query
 def newest_links(spark, d):
-    book, _ = _book(spark, d)
+    book, _, _ = _book(spark, d)
     return memory.newest_links(book, 20).select("key", _iso("first_seen").alias("first_seen"))
 
 
 @query
 def link_descriptions(spark, d):
-    book, _ = _book(spark, d)
+    book, _, _ = _book(spark, d)
     return memory.describe_links(book).select("key", "day", "what", "said", "note", "project")
 
 
 @query
 def prompt_routes(spark, d):
-    book, msgs = _book(spark, d)
-    return recall.route_prompts(msgs, book, *_vocab(spark, d))
+    book, msgs, picks = _book(spark, d)
+    return recall.route_prompts(msgs, book, *_vocab(msgs), picks)
 
 
 @query
@@ -528,7 +540,7 @@ def message_history(spark, d):
 
 @query
 def book_as_of(spark, d):
-    book, _ = _book(spark, d)
+    book, _, _ = _book(spark, d)
     then = recall.book_at(book, MOMENT)
     said = then.said.groupBy("key").agg(F.count("*").alias("remarks"))
     notes = then.notes.groupBy("key").agg(F.count("*").alias("notes"))
@@ -539,29 +551,29 @@ def book_as_of(spark, d):
 
 @query
 def replay(spark, d):
-    book, msgs = _book(spark, d)
-    return recall.replay(recall.history(msgs), book, *_vocab(spark, d)).select("msg_id", "channel", "key", "rank")
+    book, msgs, picks = _book(spark, d)
+    return recall.replay(recall.history(msgs), book, *_vocab(msgs), picks).select("msg_id", "channel", "key", "rank")
 
 
 @query
 def replay_rates(spark, d):
-    book, msgs = _book(spark, d)
+    book, msgs, picks = _book(spark, d)
     msgs = recall.history(msgs)
-    return recall.firing_rates(msgs, recall.replay(msgs, book, *_vocab(spark, d)))
+    return recall.firing_rates(msgs, recall.replay(msgs, book, *_vocab(msgs), picks))
 
 
 @query
 def replay_sample(spark, d):
-    book, msgs = _book(spark, d)
-    fired = recall.replay(recall.history(msgs), book, *_vocab(spark, d))
+    book, msgs, picks = _book(spark, d)
+    fired = recall.replay(recall.history(msgs), book, *_vocab(msgs), picks)
     return recall.sample_hits(fired, msgs, 30, 7, "rare").select("msg_id", "session")
 
 
 @query
 def enrichment(spark, d):
     """What each link is, by kind, from posts built of the documents and from the fetched pages."""
-    book, _ = _book(spark, d)
-    docs = bridge.tables(spark, d)["documents"]
+    book, _, _ = _book(spark, d)
+    docs = bridge.table(spark, d, "documents")
     snaps = docs.select(
         (c("doc_id") + 1_000_000_000).cast("string").alias("post_id"), "text", c("source").alias("author"),
         F.lit("2024-01-01").alias("created_at"), F.lit(None).cast("struct<title:string,preview:string>").alias("article"),
@@ -580,7 +592,7 @@ def enrichment(spark, d):
 
 @query
 def enrich_due(spark, d):
-    book, _ = _book(spark, d)
+    book, _, _ = _book(spark, d)
     stamped = book.links.withColumns(
         {
             "enriched_at": F.when(c("key").contains("status"), c("first_seen")),
@@ -595,7 +607,7 @@ def enrich_due(spark, d):
 
 
 def _events(spark, d, **kw):
-    return an.parse_events(bridge.view(spark, d, "site_log"), **kw)
+    return an.parse_events(bridge.view(spark, d, "site_log").withColumnRenamed("tm", "at"), **kw)
 
 
 @query
@@ -607,7 +619,7 @@ def site_events(spark, d):
 @query
 def event_log_lines(spark, d):
     """Events written as log lines, some broken, and read back."""
-    v = bridge.view(spark, d, "site_log")
+    v = bridge.view(spark, d, "site_log").withColumnRenamed("tm", "at")
     line = F.to_json(F.struct(F.date_format("at", "yyyy-MM-dd'T'HH:mm:ssXXX").alias("at"), "c", "a"))
     lines = v.select(F.when(c("event_id") % 50 == 7, F.concat(F.lit("broken "), line)).otherwise(line).alias("value"))
     return an.summarise(an.parse_events(an.parse_lines(lines)))
@@ -650,12 +662,12 @@ def client_classes(spark, d):
     agent = F.when(c("user_id") % 5 == 0, "").when(c("user_id") % 5 == 1, F.concat(F.lit("Mozilla "), "event_type")).when(
         c("user_id") % 5 == 2, F.concat(F.lit("GoogleBot/"), "event_type")
     ).when(c("user_id") % 5 == 3, "curl/8.1").otherwise("Safari")
-    e = bridge.tables(spark, d)["events"]
+    e = bridge.table(spark, d, "events")
     return e.groupBy(an.client_class(agent).alias("class")).agg(F.count("*").alias("n"))
 
 
 def _pageviews(spark, d):
-    e = bridge.tables(spark, d)["events"]
+    e = bridge.table(spark, d, "events")
     return e.select(
         F.concat(c("user_id").cast("string"), F.lit("-"), F.date_format("ts", "dd")).alias("visit"), F.struct("ts", "event_id").alias("ts"),
         (c("event_id") % 7).alias("searches"), (c("event_id") % 3).alias("misses"), (c("event_id") % 2).alias("opens"),
@@ -696,7 +708,7 @@ def list_lines(spark, d):
 def wall_cards(spark, d):
     lib = _checked(spark, d)
     head = entries(lib)
-    keyed = urls.with_resource_key(urls.canonicalise(bridge.tables(spark, d)["pages"])).groupBy("key").agg(F.min("page_id").alias("p"))
+    keyed = urls.with_resource_key(urls.canonicalise(bridge.table(spark, d, "pages"))).groupBy("key").agg(F.min("page_id").alias("p"))
     curation = keyed.filter(c("p") % 3 != 0).select(
         "key", F.concat(F.lit("cat"), c("p") % 4).alias("cat"), F.when(c("p") % 5 != 0, F.concat(F.lit("标题"), "p")).alias("zh"),
         F.concat(F.lit("line "), "p").alias("en"), F.lit(None).cast("string").alias("name"),
@@ -709,7 +721,7 @@ def wall_cards(spark, d):
 
 
 def _wall_items(spark, d):
-    e = bridge.tables(spark, d)["part"]
+    e = bridge.table(spark, d, "part")
     return e.select(
         F.concat(F.when(c("p_size") > 30, "s").otherwise("v"), c("p_partkey").cast("string")).alias("key"),
         F.when(c("p_size") <= 30, "video").when(c("p_size") % 3 == 0, "repo").otherwise("site").alias("kind"),
@@ -727,7 +739,7 @@ def wall_order(spark, d):
 
 @query
 def wall_videos(spark, d):
-    part = bridge.tables(spark, d)["part"]
+    part = bridge.table(spark, d, "part")
     ids = c("p_partkey").cast("string")
     vids = part.select(
         ids.alias("id"), F.concat(F.lit("https://x.com/i/status/"), ids).alias("url"), c("p_brand").alias("cat"), c("p_name").alias("zh"),
@@ -759,7 +771,7 @@ def category_counts(spark, d):
 @query
 def best_snapshots(spark, d):
     """Two captures of every document as a post: the second is cut or holds fewer short links."""
-    docs = bridge.tables(spark, d)["documents"]
+    docs = bridge.table(spark, d, "documents")
     first = docs.select(
         c("doc_id").cast("string").alias("post_id"), F.lit("fxtwitter").alias("channel"),
         F.when(c("doc_id") % 3 == 0, F.concat("text", F.lit(" https://t.co/a https://t.co/b"))).otherwise(c("text")).alias("text"),
@@ -809,7 +821,7 @@ def _log_lines(rows: DataFrame, line) -> DataFrame:
 @query
 def agent_log_1(spark, d):
     """Conversations written as session logs of the first kind and read back."""
-    conv = bridge.tables(spark, d)["conversations"].select(c("conv_id").cast("string").alias("session"), c("turn").alias("n"), "role", "text")
+    conv = bridge.table(spark, d, "conversations").select(c("conv_id").cast("string").alias("session"), c("turn").alias("n"), "role", "text")
     body = F.to_json(
         F.struct(
             c("role").alias("type"), c("session").alias("sessionId"), F.lit("2024-01-01T00:00:00Z").alias("timestamp"), F.lit("/p").alias("cwd"),
@@ -833,7 +845,7 @@ def agent_log_1(spark, d):
 @query
 def agent_log_2(spark, d):
     """Conversations written as session logs of the second kind, a third of them not interactive."""
-    conv = bridge.tables(spark, d)["conversations"].select(c("conv_id").cast("string").alias("session"), c("turn").alias("n"), "role", "text", "conv_id")
+    conv = bridge.table(spark, d, "conversations").select(c("conv_id").cast("string").alias("session"), c("turn").alias("n"), "role", "text", "conv_id")
     head = conv.select("session", "conv_id").distinct().withColumn("n", F.lit(-1).cast("bigint"))
     origin = F.when(c("conv_id") % 3 == 0, "exec").when(c("conv_id") % 3 == 1, "codex-tui").otherwise("Codex Desktop")
     header = F.to_json(F.struct(F.struct(c("session").alias("id"), F.lit("/q").alias("cwd"), origin.alias("originator")).alias("payload")))
@@ -861,10 +873,10 @@ def document_round_trip(spark, d):
 
 
 def _event_stream(spark, d) -> DataFrame:
-    static = bridge.tables(spark, d)["events"]
+    static = bridge.table(spark, d, "events")
     stream = spark.readStream.schema(static.schema).option("pathGlobFilter", "events.parquet").parquet(d)
     stream.createOrReplaceTempView("events")
-    return spark.sql(bridge.SITE_LOG)
+    return spark.sql(bridge.SITE_LOG).withColumn("at", c("tm").cast("timestamp"))
 
 
 def _finish(query_) -> None:
@@ -874,12 +886,7 @@ def _finish(query_) -> None:
 
 
 def _scratch(spark, name: str) -> str:
-    """A folder all executors share: beside the checkpoints of the cluster, else a temporary one."""
-    import uuid
-
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    base = shared or tempfile.mkdtemp(prefix="linklake-")
-    return f"{base}/{name}-{uuid.uuid4().hex[:8]}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:8]}"
 
 
 @query
@@ -898,7 +905,7 @@ def stream_distinct_messages(spark, d):
     """Messages as a stream, repeats of a text within a session dropped."""
     from ..streaming.capture import distinct_messages
 
-    static = bridge.tables(spark, d)["conversations"]
+    static = bridge.table(spark, d, "conversations")
     stream = spark.readStream.schema(static.schema).option("pathGlobFilter", "conversations.parquet").parquet(d)
     stream = stream.filter("role = 'user'").select(
         c("conv_id").cast("string").alias("session"), "text", F.timestamp_seconds(c("conv_id") * 3600 + c("turn")).alias("at")
