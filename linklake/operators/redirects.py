@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import urls
 from ..session import cut_lineage
 from ..sources import schemas
-from .library import Library, flag_facts, fold_facts
+from .library import Library, flag_facts, fold_facts, mention_id
 from .skew import salted_join
 
 
@@ -87,11 +87,13 @@ def merge_redirects(library: Library, moves: DataFrame, head: DataFrame) -> Libr
     standing = standing.filter("kind = 'renamed' OR value <> 'demoted'").select("key", "value")
     by_src = moves.select(c("src").alias("key"), "dst", c("kind").alias("move"))
     facts = salted_join(library.facts, by_src, ["key"], "left", spread=["key", "kind", "value"])
-    moved = c("dst").isNotNull()
     merged = F.coalesce(c("move") == "merged", F.lit(False))
     kept = facts.filter(~(merged & (c("kind") == "flag") & (c("value") == "demoted")))
     # The address of a merged resource no longer competes, but still dates its first sighting.
     kept = kept.withColumn("kind", F.when(merged & (c("kind") == "url"), "moved_url").otherwise(c("kind")))
+    # A moved source stays a source of its own where it names another person than the target's.
+    moved_source = merged & (c("kind") == "source")
+    kept = kept.withColumn("value", F.when(moved_source, F.concat_ws(" ", "value", mention_id(c("source")))).otherwise(c("value")))
     rekeyed = kept.select(
         F.coalesce("dst", "key").alias("key"), "kind", "value", "from", "source", "rank",
         c("pos").withField("grp", c("pos.grp") + merged.cast("int")).alias("pos"), "last_at",

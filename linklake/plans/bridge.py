@@ -48,11 +48,12 @@ MESSAGES = """
 SELECT c.conv_id * 1000 + c.turn AS msg_id, CAST(c.conv_id AS STRING) AS session,
  concat('/home/project', CAST(c.conv_id % 5 AS STRING)) AS cwd,
  TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' MINUTE * (c.conv_id * 60 + c.turn) AS tm,
- concat(c.text,
+ concat(CASE WHEN b.text IS NULL THEN '' ELSE concat(b.text, ' ') END, c.text,
   CASE WHEN p.url IS NULL THEN '' ELSE concat(' ', p.url, ' and https://x.com/someone/status/', CAST(1000000000 + p.page_id AS STRING), '?s=20.') END,
   CASE WHEN c.conv_id % 7 = 0 THEN ' 上次给过你那个 repo' ELSE '' END) AS text
 FROM conversations c
 LEFT JOIN pages p ON p.page_id = CAST(floor((c.conv_id + c.turn) / 3) AS BIGINT) AND (c.conv_id + c.turn) % 3 <> 1
+LEFT JOIN conversations b ON b.conv_id = c.conv_id - 5 AND b.turn = 0 AND c.conv_id % 4 = 1
 WHERE c.role = 'user'
 """
 

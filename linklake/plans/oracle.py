@@ -108,7 +108,9 @@ def placed(src: str = "v", out: str = "placed") -> str:
 pf AS (SELECT * EXCLUDE (path, query, frag, canon, url), CASE WHEN ancestor IS NOT NULL THEN substr(ancestor, length('https://' || host) + 1) ELSE path END AS path,
   CASE WHEN ancestor IS NOT NULL THEN '' ELSE query END AS query, CASE WHEN ancestor IS NOT NULL THEN '' ELSE frag END AS frag,
   coalesce(ancestor, canon) AS canon, CASE WHEN is_private THEN CASE WHEN ancestor IS NOT NULL THEN 'demoted' ELSE 'private' END END AS flag FROM ps),
-{keyed('pf', 'pk')}, {out} AS (SELECT *, {RANK} AS rank FROM pk)"""
+{keyed('pf', 'pk')}, {out} AS (SELECT *, {RANK} AS rank,
+  -- sources that differ only in who gave them are one source: the first one given
+  first_value(src_by IGNORE NULLS) OVER (PARTITION BY key ORDER BY sighting_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS mby FROM pk)"""
 
 
 def with_(*ctes: str, recursive: bool = False) -> str:
@@ -179,7 +181,7 @@ ORACLE["post_links"] = with_(
     P, f"u AS (SELECT post_id, unnest(regexp_extract_all(text, {q(ANY)})) AS url, unnest(range(len(regexp_extract_all(text, {q(ANY)})))) AS pos FROM p)", canon("u", "k"),
     "f AS (SELECT post_id, pos, canon AS url, starts_with(canon, 'https://t.co/') AS shortened FROM k)",
 ) + "SELECT post_id, CAST(min(pos) AS INT) AS pos, url, shortened FROM f GROUP BY post_id, url, shortened, CASE WHEN shortened THEN pos END"
-ORACLE["post_resources"] = with_(
+POST_CTES = (
     P, ROWS,
     f"""l1 AS (SELECT *, {trimmed('line')} = '' AS blank, regexp_matches(line, {q(LINK)}) AS linked, {label('line')} AS label,
       len(regexp_extract_all(line, {q(LINK)})) = 1 AND starts_with(regexp_replace({trimmed('line')}, {q(LEAD)}, ''), regexp_extract(line, {q(LINK)})) AS bare FROM ln)""",
@@ -201,7 +203,12 @@ ORACLE["post_resources"] = with_(
       CASE WHEN count(*) OVER (PARTITION BY post_id, section) >= 2 THEN section END AS section FROM f2)""",
     """f4 AS (SELECT *, row_number() OVER (PARTITION BY post_id, url ORDER BY (name IS NOT NULL)::INT * 2 + (note IS NOT NULL)::INT + (section IS NOT NULL)::INT DESC, n, k) AS best,
       first_value(n) OVER (PARTITION BY post_id, url ORDER BY n, k) AS n0, first_value(k) OVER (PARTITION BY post_id, url ORDER BY n, k) AS k0 FROM f3)""",
-) + "SELECT post_id, CAST(n0 AS INT) AS line, CAST(k0 AS INT) AS k, url, name, note, section FROM f4 WHERE best = 1"
+)
+ORACLE["post_resources"] = with_(*POST_CTES) + "SELECT post_id, CAST(n0 AS INT) AS line, CAST(k0 AS INT) AS k, url, name, note, section FROM f4 WHERE best = 1"
+ORACLE["post_library"] = with_(
+    *POST_CTES, "fx AS (SELECT f4.post_id, f4.url AS link, p.author, f4.n0, f4.k0 FROM f4 JOIN p USING (post_id) WHERE best = 1)",
+    canon("fx", "fc", "link"), keyed("fc", "fk"),
+) + f"""SELECT key, count(DISTINCT author) AS mentions, '' AS flags FROM fk GROUP BY key"""
 ORACLE["post_contexts"] = with_(
     P, ROWS, f"b AS (SELECT post_id, min(n) AS cut FROM ln WHERE regexp_matches(line, {q(LINK)}) GROUP BY 1)",
     f"c AS (SELECT ln.post_id, string_agg({trimmed('line')}, ' ' ORDER BY n) AS t FROM ln LEFT JOIN b USING (post_id) WHERE (cut IS NULL OR n < cut) AND {trimmed('line')} <> '' GROUP BY 1)",
@@ -251,7 +258,7 @@ ORACLE["ignored_links"] = with_(
 
 # --- library -----------------------------------------------------------------------------
 
-MENTION = "CASE src_type WHEN 'x' THEN 'x:' || coalesce(src_author, src_post_id, '') WHEN 'chrome' THEN 'chrome:' || coalesce(src_folder, 'default') ELSE src_type || ':' || coalesce(src_by, '') END"
+MENTION = "CASE src_type WHEN 'x' THEN 'x:' || coalesce(src_author, src_post_id, '') WHEN 'chrome' THEN 'chrome:' || coalesce(src_folder, 'default') ELSE src_type || ':' || coalesce(mby, '') END"
 SHADOW = lambda x: "(" + " OR ".join(f"contains({x}, {q(n)})" for n in rules.SHADOW_NAMES) + ")"
 WORDS = lambda x: f"regexp_matches({x}, {q(rules.RISK_WORDS)})"
 LIB = f"""{V}, {placed()},
@@ -428,7 +435,7 @@ ORACLE["term_df"] = with_(DF, tokenised("df0", "t", "doc")) + "SELECT term, coun
 ORACLE["expanded_queries"] = with_(
     "qs AS (SELECT p_partkey AS query_id, concat_ws(' ', p_name, CASE p_size % 3 WHEN 0 THEN 'open source tool' WHEN 1 THEN 'Design 动画 editing' END) AS query FROM part)", expanded("qs", "qt"),
 ) + "SELECT query_id, term, CAST(weight AS DOUBLE) AS weight FROM qt"
-OUT = "SELECT query_id, doc, CAST(rank AS INT) AS rank, round(score, 4) AS score FROM top"
+OUT = "SELECT query_id, doc, CAST(rank AS INT) AS rank, score FROM top"
 ORACLE["bm25_topk"] = with_(DF, "qs AS (SELECT item_id AS query_id, text AS query FROM benchmark)", ranked("df0", "qs", "SELECT count(*) FROM documents", 10)) + OUT
 ORACLE["library_search"] = with_(
     CK, """lfd AS (SELECT DISTINCT key AS doc, 'names' AS field, name AS text FROM placed UNION ALL SELECT DISTINCT key, 'tags', tag FROM placed
@@ -445,7 +452,8 @@ ORACLE["library_search"] = with_(
 BOOK = f"""{M}, {PICKS},
 sd AS (SELECT key, session, said AS text, min(tm) AS tm, arg_min(regexp_extract(cwd, '([^/]+)/*$', 1), tm) AS project FROM pk GROUP BY 1, 2, 3),
 lk0 AS (SELECT key, arg_min(url, {{'a': tm, 'm': msg_id, 'i': idx}}) AS url, min(tm) AS first_seen FROM pk GROUP BY 1),
-{canon('pages', 'tc')}, tt AS (SELECT {link_key()} AS key, min({title_of('html')}) AS title FROM tc GROUP BY 1),
+{canon('pages', 'tc')}, tt0 AS (SELECT {link_key()} AS key, {title_of('html')} AS title FROM tc UNION ALL SELECT 'x.com/status/' || (1000000000 + conv_id // 3), text FROM conversations WHERE turn = 0 AND conv_id % 3 = 0),
+tt AS (SELECT key, min(title) AS title FROM tt0 GROUP BY 1),
 lk AS (SELECT lk0.*, tt.title FROM lk0 LEFT JOIN tt USING (key)),
 nt AS (SELECT key, 'conclusion ' || session AS text, tm + INTERVAL '1' HOUR AS tm FROM pk WHERE starts_with(key, 'x.com/status/'))"""
 ORACLE["link_book"] = with_(BOOK) + f"SELECT lk.key, lk.url, {TS('lk.first_seen')} AS first_seen, count(*) AS remarks, count(DISTINCT session) AS sessions FROM lk JOIN sd USING (key) GROUP BY 1, 2, 3"
@@ -476,7 +484,7 @@ ORACLE["asks_about_past"] = with_(M) + f"SELECT msg_id, regexp_matches(text, {q(
 LT = f"""tx AS (SELECT key, 'own' AS part, text, tm FROM sd WHERE length(text) <= 80 UNION ALL SELECT key, 'body', text, tm FROM sd WHERE length(text) > 80
   UNION ALL SELECT key, 'own', text, tm FROM nt UNION ALL SELECT key, 'title', title, TIMESTAMP '1970-01-01' FROM lk WHERE title <> ''),
 wd AS (SELECT key, part, tm, unnest({words('text')}) AS term FROM tx), bn AS (SELECT key, min(tm) AS born FROM sd GROUP BY 1),
-lt AS (SELECT key, term, greatest(min(tm) FILTER (part <> 'body'), any_value(born)) AS own_at, min(tm) FILTER (part = 'body') AS body_at, greatest(min(tm) FILTER (part = 'title'), any_value(born)) AS title_at,
+lt AS (SELECT key, term, CASE WHEN bool_or(part <> 'body') THEN greatest(min(tm) FILTER (part <> 'body'), any_value(born)) END AS own_at, min(tm) FILTER (part = 'body') AS body_at, CASE WHEN bool_or(part = 'title') THEN greatest(min(tm) FILTER (part = 'title'), any_value(born)) END AS title_at,
   bool_or(part <> 'body') AS own, bool_or(part = 'title') AS in_title FROM wd JOIN bn USING (key) GROUP BY 1, 2)"""
 RARE = f"""{LT}, dfx AS (SELECT term, count(*) AS df FROM lt GROUP BY 1),
 hit AS (SELECT k.msg_id, k.session, k.tm, lt.key, sum(w * CASE WHEN own THEN 1.0 ELSE 0.5 END) AS raw, string_agg(k.term, '|' ORDER BY k.term) AS matched FROM kw k JOIN lt USING (term) JOIN dfx USING (term)
@@ -501,6 +509,17 @@ ORACLE["find_links"] = with_(
     BOOK, BF, f"qs AS (SELECT page_id AS query_id, {title_of('html')} AS query FROM pages)", ranked("bf", "qs", "SELECT count(*) FROM lk", 5),
 ) + OUT
 ORACLE["newest_links"] = with_(BOOK) + f"SELECT key, {TS('first_seen')} AS first_seen FROM (SELECT * FROM lk ORDER BY first_seen DESC, key LIMIT 20)"
+ORACLE["link_descriptions"] = with_(
+    BOOK, "ds AS (SELECT key, arg_max(text, {'l': length(text), 'a': -epoch_us(tm)}) FILTER (text <> '' AND length(text) <= 80) AS short, arg_min(text, tm) FILTER (text <> '') AS any_text, arg_max(project, tm) AS project FROM sd GROUP BY 1)",
+    "dn AS (SELECT key, arg_max(text, tm) AS note FROM nt GROUP BY 1)",
+) + """SELECT key, strftime(first_seen, '%Y-%m-%d') AS day, left(regexp_replace(coalesce(title, ''), '\\s+', ' ', 'g'), 90) AS what, left(coalesce(short, any_text, ''), 90) AS said,
+ coalesce(note, '') AS note, project FROM lk LEFT JOIN ds USING (key) LEFT JOIN dn USING (key)"""
+ASK = f"regexp_matches(text, {q(rules.ASKS_ABOUT_PAST)})"
+ORACLE["prompt_routes"] = with_(
+    BOOK, KW, BF, f"qs AS (SELECT msg_id AS query_id, string_agg(term, ' ' ORDER BY term) AS query FROM kw JOIN (SELECT msg_id FROM m WHERE {ASK}) USING (msg_id) GROUP BY 1)",
+    ranked("bf", "qs", "SELECT count(*) FROM lk", 5), RARE,
+) + f"""SELECT query_id AS msg_id, 'search' AS route, CAST(rank AS INT) AS rank, doc AS key FROM top WHERE NOT EXISTS (SELECT 1 FROM pk WHERE pk.msg_id = query_id AND pk.key = doc)
+ UNION ALL SELECT msg_id, 'recall', CAST(rank AS INT), key FROM rt WHERE rank <= 3 AND msg_id IN (SELECT msg_id FROM m WHERE NOT {ASK})"""
 ORACLE["message_history"] = with_(
     M, "al AS (SELECT msg_id, text, tm, session FROM m UNION ALL SELECT msg_id + 500, text, tm + INTERVAL '1' HOUR, 'fork' || session FROM m)",
 ) + f"SELECT msg_id, session FROM (SELECT *, first_value(session) OVER (PARTITION BY trim(text, {WS}) ORDER BY tm, msg_id) AS owner FROM al) WHERE session = owner"
@@ -580,4 +599,9 @@ ORACLE["agent_log_2"] = "SELECT CAST(conv_id AS VARCHAR) AS session, '/q' AS cwd
 ORACLE["document_round_trip"] = with_(V, placed()) + """SELECT key, kind, count(DISTINCT x) AS n FROM (SELECT key, 'name' AS kind, name AS x FROM placed UNION ALL SELECT key, 'tag', tag FROM placed UNION ALL SELECT key, 'claim', note FROM placed
  UNION ALL SELECT key, CASE src_type WHEN 'chrome' THEN 'local_section' ELSE 'section' END, section FROM placed
  UNION ALL SELECT key, 'source', concat_ws('~', src_type, coalesce(src_post_id, src_folder, ''), coalesce(src_author, '')) FROM placed) GROUP BY 1, 2"""
+HOUR = "date_trunc('hour', tm)"
+ORACLE["stream_miss_rate"] = with_(events(), "ok AS (SELECT * FROM ev WHERE NOT malformed)") + f"""SELECT {TS(HOUR)} AS window_start, count(*) FILTER (kind = 's') AS visits,
+ CAST(coalesce(sum(searches) FILTER (kind = 's'), 0) AS BIGINT) AS searches, CAST(coalesce(sum(misses) FILTER (kind = 's'), 0) AS BIGINT) AS misses, count(*) FILTER (kind = 'miss') AS gaps,
+ round(coalesce(sum(misses) FILTER (kind = 's'), 0) / nullif(coalesce(sum(searches) FILTER (kind = 's'), 0), 0), 8) AS miss_rate FROM ok
+ GROUP BY {HOUR} HAVING {HOUR} + INTERVAL '1' HOUR <= (SELECT max(tm) - INTERVAL '1' HOUR FROM ok)"""
 ORACLE["stream_distinct_messages"] = "SELECT CAST(conv_id AS VARCHAR) AS session, count(DISTINCT text) AS n FROM conversations WHERE role = 'user' GROUP BY 1"

@@ -67,7 +67,11 @@ def _book(spark, d) -> tuple[LinkBook, DataFrame, DataFrame]:
     book = memory.capture(None, picks)
     pages = with_page_metadata(bridge.view(spark, d, "fetch_log").select("url", "html"))
     keyed = urls.with_link_key(urls.canonicalise(pages.select("url", "page_title")))
-    titles = keyed.groupBy("key").agg(F.min("page_title").alias("_title"))
+    # The first words of every third conversation stand in for the post each was about.
+    said = bridge.table(spark, d, "conversations").filter("turn = 0 AND conv_id % 3 = 0").select(
+        F.concat(F.lit("x.com/status/"), (F.lit(1_000_000_000) + (c("conv_id") / 3).cast("bigint")).cast("string")).alias("key"), c("text").alias("page_title")
+    )
+    titles = keyed.select("key", "page_title").unionByName(said).groupBy("key").agg(F.min("page_title").alias("_title"))
     book.links = cut_lineage(book.links.join(titles, "key", "left").withColumn("title", c("_title")).drop("_title"))
     book.said = cut_lineage(book.said)
     notes = picks.filter(c("key").startswith("x.com/status/")).select(
@@ -164,7 +168,7 @@ def post_library(spark, d):
         *[F.lit(None).cast("bigint").alias(x) for x in ("likes", "retweets", "views")], F.lit(AS_OF).cast("timestamp").alias("seen_at"),
     )
     head = entries(upsert(None, extract.post_sightings(p)))
-    return head.select("key", "url", "mentions", _joined("flags").alias("flags"))
+    return head.select("key", "mentions", _joined("flags").alias("flags"))
 
 
 @query
@@ -403,7 +407,7 @@ def bm25_topk(spark, d):
     queries = bridge.table(spark, d, "benchmark").select(c("item_id").alias("query_id"), c("text").alias("query"))
     index = search.build_index(_doc_fields(spark, d), bridge.table(spark, d, "documents").agg(F.count("*").alias("n")))
     best = search.top_k(search.score(index, search.expand_queries(queries)).withColumn("score", F.round("score", 6)), 10)
-    return best.select("query_id", "doc", "rank", F.round("score", 4).alias("score"))
+    return best.select("query_id", "doc", "rank", "score")
 
 
 @query
@@ -416,7 +420,7 @@ def library_search(spark, d):
     index = search.build_index(search.library_fields(lib, head), head.agg(F.count("*").alias("n")))
     scored = search.score(index, search.expand_queries(queries)).join(search.prior(search.allowed(head)), "doc")
     scored = scored.select("query_id", "doc", F.round(c("score") * c("prior"), 6).alias("score"))
-    return search.top_k(scored, 5).select("query_id", "doc", "rank", F.round("score", 4).alias("score"))
+    return search.top_k(scored, 5).select("query_id", "doc", "rank", "score")
 
 
 @query
@@ -506,7 +510,7 @@ def find_links(spark, d):
     titles = with_page_metadata(bridge.table(spark, d, "pages")).select(c("page_id").alias("query_id"), c("page_title").alias("query"))
     index = search.build_index(memory.book_fields(book), book.links.agg(F.count("*").alias("n")))
     scored = search.score(index, search.expand_queries(titles)).withColumn("score", F.round("score", 6))
-    return search.top_k(scored, 5).select("query_id", "doc", "rank", F.round("score", 4).alias("score"))
+    return search.top_k(scored, 5).select("query_id", "doc", "rank", "score")
 
 
 @query
@@ -908,7 +912,7 @@ def stream_distinct_messages(spark, d):
     static = bridge.table(spark, d, "conversations")
     stream = spark.readStream.schema(static.schema).option("pathGlobFilter", "conversations.parquet").parquet(d)
     stream = stream.filter("role = 'user'").select(
-        c("conv_id").cast("string").alias("session"), "text", F.timestamp_seconds(c("conv_id") * 3600 + c("turn")).alias("at")
+        c("conv_id").cast("string").alias("session"), "text", F.timestamp_seconds(F.lit(1_700_000_000) + c("conv_id") * 3600 + c("turn")).alias("at")
     )
     out = _scratch(spark, "distinct")
     _finish(distinct_messages(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-cp").trigger(availableNow=True).start())
