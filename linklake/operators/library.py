@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import risk, urls
 from ..functions.privacy import with_privacy
+from ..session import cut_lineage
 from ..sources import schemas
 from .screening import with_blocklist
 from .skew import is_true
@@ -31,6 +32,10 @@ class Library:
     facts: DataFrame
     state: DataFrame
 
+    def kept(self) -> "Library":
+        """Both tables written down, so that the readers below do not fold the sightings again."""
+        return Library(cut_lineage(self.facts), cut_lineage(self.state))
+
     @staticmethod
     def empty(spark: SparkSession) -> "Library":
         return Library(

@@ -35,8 +35,7 @@ def refresh(library: Library, fetch_log: DataFrame, repo_api: DataFrame | None =
     found = liveness.verdicts(fetch_log)
     if repo_api is not None:
         found = liveness.combine_verdicts(found, liveness.repo_verdicts(repo_api))
-    checked = apply_fetches(library, found)
-    checked = Library(cut_lineage(checked.facts), cut_lineage(checked.state))
+    checked = apply_fetches(library, found).kept()
     head = cut_lineage(entries(checked))
     moves = cut_lineage(redirects.plan_moves(head))
     return redirects.merge_redirects(checked, moves, head), moves
@@ -44,8 +43,7 @@ def refresh(library: Library, fetch_log: DataFrame, repo_api: DataFrame | None =
 
 def export_index(library: Library, path: str, generated_at: datetime, title: str, allow_risk: bool = False) -> dict:
     """Gate, sanitise and write the three views. The counts of held rows come with the result."""
-    shipped = publish.published_library(library, allow_risk)
-    shipped = Library(cut_lineage(shipped.facts), cut_lineage(shipped.state))
+    shipped = publish.published_library(library, allow_risk).kept()
     lines = views.render_list(entries(shipped), title)
     out = library_io.export(shipped, lines, path, generated_at)
     held = publish.held_counts(entries(library), allow_risk)

@@ -42,18 +42,13 @@ def _iso(col):
 # --- shared inputs -----------------------------------------------------------------------
 
 
-def _kept(library: Library) -> Library:
-    """Write the tables down once, as a deployment does, so that no query folds them twice."""
-    return Library(cut_lineage(library.facts), cut_lineage(library.state))
-
-
 def _library(spark, d) -> Library:
     lib = upsert(None, bridge.sightings(spark, d))
     return Library(cut_lineage(lib.facts), lib.state)
 
 
 def _checked(spark, d) -> Library:
-    return _kept(apply_fetches(_library(spark, d), liveness.verdicts(bridge.fetches(spark, d).drop("page_id"))))
+    return apply_fetches(_library(spark, d), liveness.verdicts(bridge.fetches(spark, d).drop("page_id"))).kept()
 
 
 def _picks(spark, d) -> tuple[DataFrame, DataFrame]:

@@ -31,15 +31,13 @@ def first_existing(spark: SparkSession, *paths: str) -> str | None:
 def read_documents(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:
     """Good records and unreadable lines of the first existing JSON-lines path; none gives empty."""
     path = first_existing(spark, *paths)
-    schema = schemas.DOCUMENT + ", _bad string"
     if path is None:
-        rows = spark.createDataFrame([], schema)
-    else:
-        rows = (
-            spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-        )
-    bad = F.col("_bad").isNotNull()
-    return rows.filter(~bad).drop("_bad"), rows.filter(bad).select(F.col("_bad").alias("line"))
+        return spark.createDataFrame([], schemas.DOCUMENT), spark.createDataFrame([], "line string")
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    rows = lines.select("value", F.from_json("value", schemas.DOCUMENT + ", _bad string", options).alias("r"))
+    bad = F.col("r._bad").isNotNull()
+    return rows.filter(~bad).select("r.*").drop("_bad"), rows.filter(bad).select(F.col("value").alias("line"))
 
 
 def read_library(spark: SparkSession, *paths: str) -> Library:

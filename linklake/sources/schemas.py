@@ -61,4 +61,4 @@ STATUS_ORDER = ["alive", "blocked", "unknown", "dead"]
 
 
 def struct(ddl: str) -> T.StructType:
-    return T._parse_datatype_string(ddl)
+    return T.DataType.fromDDL(ddl)

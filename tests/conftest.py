@@ -15,7 +15,8 @@ def spark():
     s = build_session(
         "tests", "local[8]",
         **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
-           "spark.driver.memory": "8g"},
+           "spark.driver.memory": "8g",
+           "spark.python.sql.dataFrameDebugging.enabled": "false"},
     )
     s.sparkContext.setLogLevel("ERROR")
     return s
