@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.text import explode_tokens
+from ..session import cut_lineage
 from .library import Library
 from .skew import salted_join
 
@@ -49,17 +50,20 @@ def field_weight(field: Column) -> Column:
     return out
 
 
-def build_index(fields: DataFrame, n_docs: DataFrame | None = None) -> Index:
+def build_index(fields: DataFrame, n_docs: DataFrame | None = None, keep: bool = False) -> Index:
     """One pass: tokens are weighed and combined on the map side into one row per (doc, term).
 
     ``n_docs`` (one row, column ``n``) counts documents without any token as well; by default
-    only documents with text are counted.
+    only documents with text are counted. ``keep`` writes the (doc, term) rows down once for the
+    three tables derived from them.
     """
     c = F.col
     tokens = explode_tokens(fields, "text", "term")
     postings = tokens.groupBy("doc", "term").agg(
         F.sum(field_weight(c("field"))).alias("tf"), F.count("*").alias("cnt")
     )
+    if keep:
+        postings = cut_lineage(postings)
     lengths = postings.groupBy("doc").agg(F.sum("cnt").alias("len"))
     totals = lengths.agg(F.count("*").alias("n"), F.sum("len").alias("total"))
     if n_docs is not None:

@@ -400,7 +400,7 @@ def expanded_queries(spark, d):
 def bm25_topk(spark, d):
     """Every benchmark passage as a query over all documents."""
     queries = bridge.table(spark, d, "benchmark").select(c("item_id").alias("query_id"), c("text").alias("query"))
-    index = search.build_index(_doc_fields(spark, d), bridge.table(spark, d, "documents").agg(F.count("*").alias("n")))
+    index = search.build_index(_doc_fields(spark, d), bridge.table(spark, d, "documents").agg(F.count("*").alias("n")), keep=True)
     best = search.top_k(search.score(index, search.expand_queries(queries)).withColumn("score", F.round("score", 6)), 10)
     return best.select("query_id", "doc", "rank", "score")
 
