@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, packing, simhash, trie_bpe
-from .common import table
+from . import compression, cosine_lsh, gru_toxicity, mil_quality, packing, simhash, token_count, trie_bpe, url_markov, warc
+from .common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}  # SQL can express none of these; the tests hold them against brute force
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def query(fn):
@@ -38,7 +39,47 @@ def op3_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_bpe.digests(table(spark, sf_dir, "documents"), WORD_BPE, ["doc_id"])
 
 
+@query
+def op4_cosine_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cosine_lsh.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def _scored(docs: DataFrame, held_out, score) -> DataFrame:
+    rows = docs.select("doc_id", held_out.alias("held_out"), score.alias("score"))
+    return rows.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+
+
+@query
+def op5_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), crc_mod("doc_id", 3) == 1
+    weights = mil_quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return _scored(docs, held_out, mil_quality.scores("text", weights))
+
+
+@query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", token_count.token_counts("text", PIECES).alias("n_tokens"))
+
+
+@query
+def op7_gru_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) == 0
+    model = gru_toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return _scored(docs, held_out, gru_toxicity.scores("text", model))
+
+
 @query
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.as_hex("fingerprint").alias("fingerprint"), "component_id")
+
+
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op10_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_markov.judged(table(spark, sf_dir, "pages"))
