@@ -30,6 +30,7 @@ LENGTH = 4096
 END_ID = 1
 GROUP = 20_000  # pieces a task packs at a time
 TRIES = 30_000  # pairs of bins that the local search of a group looks at
+UNDERFULL = 0.99
 OPEN = 0.98  # bins filled less are packed again with those of other groups
 
 
@@ -148,11 +149,13 @@ def _exchange(out: list[int], into: list[int], lengths: list[int], free: int) ->
 def local_search(bins: list[list[int]], lengths: list[int], size: int, tries: int = TRIES) -> list[list[int]]:
     """Raise the sum of squared fills of the underfull bins by exchanges, emptiest bin first.
 
+    A bin is underfull below ``UNDERFULL`` of its size; the few tokens free in the others can't empty a bin.
     A bin that can give nothing away stands aside until some other bin changes. Ends when no bin can
     give, or after ``tries`` looks at a pair of bins, which only leaves the packing less tight.
     """
     fill = [sum(lengths[k] for k in b) for b in bins]
-    order = sorted((k for k in range(len(bins)) if fill[k] < size), key=lambda k: (fill[k], k))
+    most = UNDERFULL * size
+    order = sorted((k for k in range(len(bins)) if fill[k] < most), key=lambda k: (fill[k], k))
     stuck: set[int] = set()
     while tries > 0 and (e := next((k for k in order if k not in stuck), None)) is not None:
         changed = []
@@ -171,7 +174,7 @@ def local_search(bins: list[list[int]], lengths: list[int], size: int, tries: in
             stuck.clear()
         else:
             stuck.add(e)
-        order = sorted((k for k in order if bins[k] and fill[k] < size), key=lambda k: (fill[k], k))
+        order = sorted((k for k in order if bins[k] and fill[k] < most), key=lambda k: (fill[k], k))
     return [b for b in bins if b]
 
 
