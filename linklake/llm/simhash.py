@@ -186,5 +186,6 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radi
     rank = F.struct(null, number, F.col("text_hash").alias("_hash"))
     first = marked.join(labels, "fingerprint").groupBy("root").agg(F.min(rank).alias("first")).select("first.*")
     key = ["_null", "_id", "_hash"]
-    own = docs.withColumns({"_null": F.col(doc_id).isNull(), "_id": F.coalesce(doc_id, F.lit(0)), "_hash": F.xxhash64(text)})
-    return own.join(cut_lineage(first), key, "left_semi").dropDuplicates(key).drop(*key)
+    # the row travels as one column, so that its own columns may have any names
+    own = docs.select(F.struct("*").alias("_row"), F.col(doc_id).isNull().alias("_null"), F.coalesce(doc_id, F.lit(0)).alias("_id"), F.xxhash64(text).alias("_hash"))
+    return own.join(cut_lineage(first), key, "left_semi").dropDuplicates(key).select("_row.*")
