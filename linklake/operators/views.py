@@ -89,9 +89,9 @@ def render_list(head: DataFrame, title: str, min_group: int = 2) -> DataFrame:
         F.explode(
             F.array(
                 place(F.lit(0), F.lit(0), F.lit(0), zero, F.lit(""), F.lit("# " + title)),
-                place(F.lit(0), F.lit(1), F.lit(0), zero, F.lit(""), F.concat(c("n").cast("string"), F.lit(" resources, deduplicated across sources and checked for liveness."))),
-                place(F.lit(0), F.lit(2), F.lit(0), zero, F.lit(""), F.lit("| ⚠︎ | reachable, but it refuses automated checks |")),
-                place(F.lit(0), F.lit(3), F.lit(0), zero, F.lit(""), F.lit("| ? | could not be verified on the last run |")),
+                place(F.lit(0), F.lit(1), F.lit(0), zero, F.lit(""), F.concat(c("n").cast("string"), F.lit(" entries. Each stands once, with the result of its latest fetch."))),
+                place(F.lit(0), F.lit(2), F.lit(0), zero, F.lit(""), F.lit("| ⚠︎ | answers, but turns machines away |")),
+                place(F.lit(0), F.lit(3), F.lit(0), zero, F.lit(""), F.lit("| ? | the latest fetch settled nothing |")),
             )
         ).alias("x")
     )
@@ -235,16 +235,16 @@ def issue_bodies(checked: DataFrame) -> DataFrame:
     lines = F.array_compact(
         F.array(
             F.concat(F.lit("**URL:** "), c("url")), F.concat(F.lit("**Key:** `"), c("key"), F.lit("`")), F.lit(""),
-            F.lit("### Verified locally"), F.lit(""), F.lit("| | |"), F.lit("|---|---|"),
+            F.lit("### Result of the fetch"), F.lit(""), F.lit("| | |"), F.lit("|---|---|"),
             F.concat(F.lit("| Liveness | `"), F.coalesce("status", F.lit("unchecked")), F.lit("`"), code, F.coalesce(F.concat(F.lit(" — checked "), iso), F.lit("")), F.lit(" |")),
-            F.concat(F.lit("| Title | "), F.coalesce(pipe(c("title")), F.lit("_none readable_")), F.lit(" |")),
+            F.concat(F.lit("| Title | "), F.coalesce(pipe(c("title")), F.lit("_not found_")), F.lit(" |")),
             F.concat(F.lit("| Description | "), F.coalesce(pipe(F.left("description", F.lit(300))), F.lit("_none_")), F.lit(" |")),
             F.when(c("github.stars").isNotNull(), repo),
             F.when(F.size("flags") > 0, F.concat(F.lit("| Flags | "), F.array_join(F.transform("flags", lambda f: F.concat(F.lit("`"), f, F.lit("`"))), ", "), F.lit(" |"))),
-            F.when(c("from_post").isNotNull(), F.concat(F.lit("| Seen in | "), c("from_post"), F.lit(" |"))),
+            F.when(c("from_post").isNotNull(), F.concat(F.lit("| Source post | "), c("from_post"), F.lit(" |"))),
             F.lit(""),
-            F.when(c("note") != "", F.concat(F.lit("### Why it is worth indexing\n\n"), c("note"), F.lit("\n"))),
-            F.when(c("duplicate"), F.concat(F.lit("> Already in the index as `"), c("key"), F.lit("` ("), c("known_mentions").cast("string"), F.lit(" source(s)).\n> Submitting anyway records one more independent mention, which raises its ranking.\n"))),
+            F.when(c("note") != "", F.concat(F.lit("### Reason given\n\n"), c("note"), F.lit("\n"))),
+            F.when(c("duplicate"), F.concat(F.lit("> Known as `"), c("key"), F.lit("` ("), c("known_mentions").cast("string"), F.lit(" mention(s) so far).\n> Filing it adds one more, and mentions decide the order.\n"))),
             F.when(F.size("warnings") > 0, F.array_join(F.transform("warnings", lambda w: F.concat(F.lit("> "), w)), "\n")),
         )
     )

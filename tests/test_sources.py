@@ -9,7 +9,7 @@ from linklake.sources import agent_logs, bookmarks, events, posts
 from linklake.streaming import analytics as live
 from linklake.streaming import capture as landing
 
-URL = "https://x.com/rexan_wong/status/2103707054108299437 这个会对你有帮助的"
+URL = "https://x.com/marsh_lab/status/1840027731150012416 写得清楚，留着参考"
 
 
 def _row(**o):
@@ -21,8 +21,8 @@ def _queued(prompt, kind="human", mode="prompt"):
 
 
 LOG = [
-    _row(type="user", message={"role": "user", "content": "开工"}), _queued(URL), _queued("<task-notification>done</task-notification>", mode="task-notification"),
-    _queued("from another session", kind="peer"), _queued([{"type": "text", "text": "[Image #1] 看这里"}, {"type": "image"}]),
+    _row(type="user", message={"role": "user", "content": "早上好"}), _queued(URL), _queued("<task-notification>done</task-notification>", mode="task-notification"),
+    _queued("sent by a peer", kind="peer"), _queued([{"type": "text", "text": "[Image #1] 左上角那块"}, {"type": "image"}]),
     _row(type="user", message={"role": "user", "content": URL}), _row(type="user", toolUseResult={"x": 1}, message={"role": "user", "content": "tool"}), "{broken \"type\":\"user\"",
 ]
 
@@ -32,14 +32,14 @@ def test_agent_log_1_and_live_capture(spark, tmp_path):
     (tmp_path / "logs" / "s1.jsonl").write_text("\n".join(LOG))
     (tmp_path / "logs" / "subagents" / "s9.jsonl").write_text(LOG[0])
     got = agent_logs.read_messages(spark, str(tmp_path / "logs")).collect()
-    assert sorted((r.text, r.queued) for r in got) == sorted([("开工", False), (URL, True), ("[Image #1] 看这里", True)])
+    assert sorted((r.text, r.queued) for r in got) == sorted([("早上好", False), (URL, True), ("[Image #1] 左上角那块", True)])
 
     out, cp = str(tmp_path / "picks"), str(tmp_path / "cp")
     for _ in range(2):  # the second run finds nothing new
         q = landing.capture_queued(landing.landed_lines(spark, str(tmp_path / "logs")), out, cp).trigger(availableNow=True).start()
         q.awaitTermination(120)
     book = landing.read_book(spark, out)
-    assert [(r.key, r.text) for r in book.said.collect()] == [("x.com/status/2103707054108299437", "这个会对你有帮助的")]
+    assert [(r.key, r.text) for r in book.said.collect()] == [("x.com/status/1840027731150012416", "写得清楚，留着参考")]
 
 
 def test_agent_log_2(spark, tmp_path):
@@ -71,7 +71,7 @@ def test_bookmarks(spark, tmp_path):
 
 
 def test_best_snapshot(spark):
-    cases = {"1": [("fxtwitter", "full https://a.com", False), ("syndication", "longer text https://a.com https://b.com", False)],
+    cases = {"1": [("fxtwitter", "whole https://m.com", False), ("syndication", "some longer text https://m.com https://n.com", False)],
              "2": [("fxtwitter", "x https://t.co/a", False), ("syndication", "x", False)],
              "3": [("fxtwitter", "x https://t.co/a", False), ("syndication", "longer text here with https://t.co/b", True)],
              "4": [("fxtwitter", "longer than the other", True), ("syndication", "short", True)], "5": [("syndication", "only", True)]}
@@ -99,7 +99,7 @@ def test_event_files_and_live_rates(spark, tmp_path):
 
 def test_live_chains(spark, tmp_path):
     t0 = dt.datetime(2026, 1, 1)
-    rows = [("v", 0, "sha", 9), ("v", 1, "shader", 0), ("v", 2, "godot", 0), ("w", 600, "x", 1)]
+    rows = [("v", 0, "oak", 9), ("v", 1, "oakwood", 0), ("v", 2, "birch", 0), ("w", 600, "x", 1)]
     spark.createDataFrame([(v, t0 + dt.timedelta(minutes=m), i, q, n) for i, (v, m, q, n) in enumerate(rows)], "visit string, ts timestamp, event_id int, q string, results int").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("visit string, ts timestamp, event_id int, q string, results int").parquet(str(tmp_path / "in"))
     q = live.visit_chains(stream).writeStream.format("memory").queryName("chains").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
