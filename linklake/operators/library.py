@@ -230,11 +230,13 @@ def apply_fetches(library: Library, verdicts: DataFrame) -> Library:
     and verification stay apart: only keys already in the library are touched.
     """
     c = F.col
-    latest = verdicts.groupBy("key").agg(
-        F.max_by(F.struct(*[c(x) for x in verdicts.columns if x != "key"]), "checked_at").alias("v")
-    )
     known = library.facts.select("key").distinct()
-    latest = latest.join(known, "key", "left_semi")
+    # of fetches at one time the order of status, code and final address decides
+    newest = F.struct("checked_at", "status", "code", "final_url")
+    latest = verdicts.join(known, "key", "left_semi").groupBy("key").agg(
+        F.max_by(F.struct(*[c(x) for x in verdicts.columns if x != "key"]), newest).alias("v")
+    )
+    latest = cut_lineage(latest)  # read three times below; pages are parsed once
     old = library.state.select("key", F.struct(*[c(x) for x in library.state.columns if x != "key"]).alias("s"))
     both = old.join(latest, "key", "full")
     named = c("v.page_title").isNotNull() & (c("v.status") != "dead")

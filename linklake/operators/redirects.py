@@ -30,7 +30,7 @@ def usable_edges(edges: DataFrame, catch_all: int = 3) -> DataFrame:
     return edges.join(few, "dst", "left_semi").select("src", "dst")
 
 
-def terminal_targets(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def terminal_targets(edges: DataFrame) -> DataFrame:
     """``src, dst`` with chains followed to their end by pointer doubling.
 
     Each round joins the pointer table with itself, so a chain of n hops takes about log2(n)
@@ -39,7 +39,8 @@ def terminal_targets(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """
     c = F.col
     hops = cut_lineage(edges.select("src", "dst", F.least("src", "dst").alias("low")))
-    for _ in range(max_rounds):
+    steps = 1
+    while True:
         nxt = hops.select(c("src").alias("mid"), c("dst").alias("far"), c("low").alias("far_low"))
         stepped = hops.join(nxt, hops["dst"] == nxt["mid"], "left").select(
             "src", F.coalesce("far", "dst").alias("dst"), F.least("low", F.coalesce("far_low", "low")).alias("low"),
@@ -51,7 +52,8 @@ def terminal_targets(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         hops = stepped.select("src", "dst", "low")
         if n_open == 0:
             return hops.select("src", "dst")
-        if 2 ** (_ + 1) > 2 * n_all:
+        steps *= 2
+        if steps > 2 * n_all:
             break
     # Pointers that never end: the smallest key on the walk, then the smallest key of the cycle.
     open_rows = stepped.filter("open").select("src", "dst", "low")

@@ -213,14 +213,16 @@ def brief(library: Library, head: DataFrame) -> DataFrame:
     """Short view of each resource: name and description with fallbacks, 8 tags, 3 claims."""
     c = F.col
 
-    def firsts(kind, n):
-        order = Window.partitionBy("key").orderBy("pos")
-        rows = library.facts.filter(c("kind") == kind).withColumn("r", F.row_number().over(order)).filter(c("r") <= n)
+    def firsts(kind, n=None):
+        rows = library.facts.filter(c("kind") == kind)
+        if n is not None:
+            order = Window.partitionBy("key").orderBy("pos")
+            rows = rows.withColumn("r", F.row_number().over(order)).filter(c("r") <= n)
         return rows.groupBy("key").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("r", "value"))), lambda x: x["value"]).alias(kind)
+            F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias(kind)
         )
 
-    out = head.join(firsts("section", 1_000_000), "key", "left").join(firsts("tag", 8), "key", "left").join(firsts("claim", 3), "key", "left")
+    out = head.join(firsts("section"), "key", "left").join(firsts("tag", 8), "key", "left").join(firsts("claim", 3), "key", "left")
     some = lambda *n: F.coalesce(*[F.when(c(x) != "", c(x)) for x in n])
     return out.select(
         "key", some("title", "first_name", "key").alias("name"), "url",

@@ -52,7 +52,7 @@ def with_neighbours(
     edges = edges.select(
         group, "_slice", F.lag("_last").over(across).alias("_before"), F.lead("_first").over(across).alias("_after")
     )
-    joined = out.join(edges, [group, "_slice"])
+    joined = _join_null_safe(out, edges, [group, "_slice"])
     return joined.withColumns(
         {
             "prev_" + value: F.coalesce("_prev", "_before")["v"],
@@ -80,9 +80,17 @@ def last_before(
     ends = marked.groupBy(group, "_slice").agg(F.max_by(value, F.when(c(value).isNotNull(), c(at))).alias("_end"))
     earlier = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select(group, "_slice", F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
-    out = marked.filter(~c("_is_value")).join(ends, [group, "_slice"])
+    out = _join_null_safe(marked.filter(~c("_is_value")), ends, [group, "_slice"])
     return out.withColumn(value, F.coalesce("_inside", "_carried")).drop("_is_value", "_slice", "_inside", "_carried")
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join in which a null key meets a null key: undated rows and rows without a group stay."""
+    names = {x: f"_other{x}" for x in on}
+    right = right.withColumnsRenamed(names)
+    meets = [left[x].eqNullSafe(right[y]) for x, y in names.items()]
+    return left.join(right, meets).drop(*names.values())
+
+
 def is_true(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))

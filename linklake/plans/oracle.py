@@ -280,15 +280,14 @@ def ordered(name: str, value: str, where: str = "TRUE") -> str:
 
 
 TS = lambda x: f"strftime({x}, '%Y-%m-%d %H:%M:%S')"
-ORACLE["library_upsert"] = with_(
-    LIB, ordered("nm", "name"), ordered("se", "section", "src_type <> 'chrome'"), ordered("ls", "section", "src_type = 'chrome'"), ordered("tg", "tag"),
-    "fl AS (SELECT key, string_agg(flag, '|' ORDER BY flag) AS x FROM lf GROUP BY 1)",
-    """cl AS (SELECT key, string_agg(note || '<' || src, '|' ORDER BY o) AS x FROM (SELECT key, note, min(sighting_id) AS o,
-       arg_min(CASE src_type WHEN 'chrome' THEN src_folder ELSE src_type END, sighting_id) AS src FROM placed GROUP BY 1, 2) GROUP BY 1)""",
-    "sr AS (SELECT key, count(DISTINCT concat_ws('~', src_type, coalesce(src_post_id, src_folder, ''), coalesce(src_author, ''))) AS n FROM placed GROUP BY 1)",
-) + f"""SELECT h.key, h.url, nm.x AS names, coalesce(se.x, '') AS sections, coalesce(ls.x, '') AS local_sections, tg.x AS tags, coalesce(fl.x, '') AS flags, cl.x AS claims,
- sr.n AS n_sources, h.mentions, {TS('h.first_seen')} AS first_seen, {TS('h.last_seen')} AS last_seen
- FROM head h JOIN nm USING (key) LEFT JOIN se USING (key) LEFT JOIN ls USING (key) JOIN tg USING (key) LEFT JOIN fl USING (key) JOIN cl USING (key) JOIN sr USING (key)"""
+ORACLE["library_upsert"] = with_(LIB) + f"""SELECT key, 'name' AS kind, name AS value, NULL AS origin, min(sighting_id) AS place FROM placed WHERE name <> '' GROUP BY ALL
+ UNION ALL SELECT key, CASE src_type WHEN 'chrome' THEN 'local_section' ELSE 'section' END, section, NULL, min(sighting_id) FROM placed WHERE section <> '' GROUP BY ALL
+ UNION ALL SELECT key, 'tag', tag, NULL, min(sighting_id) FROM placed WHERE tag <> '' GROUP BY ALL
+ UNION ALL SELECT key, 'claim', note, arg_min(CASE src_type WHEN 'chrome' THEN src_folder ELSE src_type END, sighting_id), min(sighting_id) FROM placed WHERE note <> '' GROUP BY key, note
+ UNION ALL SELECT key, 'flag', flag, NULL, NULL FROM lf
+ UNION ALL SELECT key, 'n_sources', CAST(count(DISTINCT concat_ws('~', src_type, coalesce(src_post_id, src_folder, ''), coalesce(src_author, ''))) AS VARCHAR), NULL, NULL FROM placed GROUP BY key
+ UNION ALL SELECT key, 'url', url, NULL, NULL FROM head UNION ALL SELECT key, 'mentions', CAST(mentions AS VARCHAR), NULL, NULL FROM head
+ UNION ALL SELECT key, 'first_seen', {TS('first_seen')}, NULL, NULL FROM head UNION ALL SELECT key, 'last_seen', {TS('last_seen')}, NULL, NULL FROM head"""
 ORACLE["upsert_created"] = with_(V, placed()) + (
     "SELECT key, count(*) AS sightings, key NOT IN (SELECT key FROM placed WHERE sighting_id % 4 = 0) AS created FROM placed WHERE sighting_id % 4 <> 0 GROUP BY key"
 )
@@ -452,7 +451,7 @@ ORACLE["library_search"] = with_(
 BOOK = f"""{M}, {PICKS},
 sd AS (SELECT key, session, said AS text, min(tm) AS tm, arg_min(regexp_extract(cwd, '([^/]+)/*$', 1), tm) AS project FROM pk GROUP BY 1, 2, 3),
 lk0 AS (SELECT key, arg_min(url, {{'a': tm, 'm': msg_id, 'i': idx}}) AS url, min(tm) AS first_seen FROM pk GROUP BY 1),
-{canon('pages', 'tc')}, tt0 AS (SELECT {link_key()} AS key, {title_of('html')} AS title FROM tc UNION ALL SELECT 'x.com/status/' || (1000000000 + conv_id // 3), text FROM conversations WHERE turn = 0 AND conv_id % 3 = 0),
+{canon('pages', 'tc')}, tt0 AS (SELECT {link_key()} AS key, {title_of('html')} AS title FROM tc UNION ALL SELECT 'x.com/status/' || (1000000000 + conv_id // 3), text FROM conversations),
 tt AS (SELECT key, min(title) AS title FROM tt0 GROUP BY 1),
 lk AS (SELECT lk0.*, tt.title FROM lk0 LEFT JOIN tt USING (key)),
 nt AS (SELECT key, 'conclusion ' || session AS text, tm + INTERVAL '1' HOUR AS tm FROM pk WHERE starts_with(key, 'x.com/status/'))"""

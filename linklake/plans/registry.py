@@ -62,8 +62,8 @@ def _book(spark, d) -> tuple[LinkBook, DataFrame, DataFrame]:
     book = memory.capture(None, picks)
     pages = with_page_metadata(bridge.view(spark, d, "fetch_log").select("url", "html"))
     keyed = urls.with_link_key(urls.canonicalise(pages.select("url", "page_title")))
-    # The first words of every third conversation stand in for the post each was about.
-    said = bridge.table(spark, d, "conversations").filter("turn = 0 AND conv_id % 3 = 0").select(
+    # The words of three conversations stand in for the post that they were about.
+    said = bridge.table(spark, d, "conversations").select(
         F.concat(F.lit("x.com/status/"), (F.lit(1_000_000_000) + (c("conv_id") / 3).cast("bigint")).cast("string")).alias("key"), c("text").alias("page_title")
     )
     titles = keyed.select("key", "page_title").unionByName(said).groupBy("key").agg(F.min("page_title").alias("_title"))
@@ -191,12 +191,22 @@ def ignored_links(spark, d):
 
 @query
 def library_upsert(spark, d):
-    docs, _ = to_documents(_library(spark, d))
-    return docs.select(
-        "key", "url", *[_joined(x).alias(x) for x in ("names", "sections", "local_sections", "tags", "flags")],
-        F.array_join(F.transform("claims", lambda x: F.concat(x["text"], F.lit("<"), x["from"])), "|").alias("claims"),
-        F.size("sources").cast("bigint").alias("n_sources"), "mentions", _iso("first_seen").alias("first_seen"), _iso("last_seen").alias("last_seen"),
+    """All facts of the folded library, one row each with its first sighting; no record is gathered."""
+    lib = _library(spark, d)
+    said = lib.facts.filter(c("kind").isin("name", "section", "local_section", "tag", "claim")).select(
+        "key", "kind", "value", c("from").alias("origin"), c("pos.id").alias("place")
+    )
+    head = cut_lineage(entries(lib).select("key", "url", "mentions", "first_seen", "last_seen", "flags"))
+    one = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"))
+    facts = F.concat(
+        F.array(one("url", c("url")), one("mentions", c("mentions")), one("first_seen", _iso("first_seen")), one("last_seen", _iso("last_seen"))),
+        F.transform("flags", lambda f: one("flag", f)),
     )
+    sources = lib.facts.filter("kind = 'source'").groupBy("key").agg(F.count("*").cast("string").alias("value"))
+    rest = head.select("key", F.explode(facts).alias("x")).select("key", "x.kind", "x.value")
+    rest = rest.unionByName(sources.withColumn("kind", F.lit("n_sources")))
+    none = {"origin": F.lit(None).cast("string"), "place": F.lit(None).cast("bigint")}
+    return said.unionByName(rest.withColumns(none))
 
 
 @query
@@ -800,7 +810,7 @@ def collected_inputs(spark, d):
     """Post numbers and plain links of all sightings given by hand, with what is rejected and why."""
     v = bridge.view(spark, d, "sightings")
     raw = F.when(c("page_id") % 3 == 0, c("url")).when(c("page_id") % 3 == 1, (c("page_id") + 1_000_000_000).cast("string")).otherwise(F.concat(F.lit("no link "), "url"))
-    inputs = v.filter("sighting_id % 4 = 0").select(c("sighting_id").alias("input_id"), raw.alias("raw"))
+    inputs = v.select(c("sighting_id").alias("input_id"), raw.alias("raw"))
     p = bridge.view(spark, d, "posts").select(
         (c("post_id").cast("bigint") + 1_000_000_000).cast("string").alias("post_id"), "text", "author", F.lit("fxtwitter").alias("channel"),
         F.lit("2024-01-01").alias("created_at"), F.concat(F.lit("https://x.com/i/status/"), "post_id").alias("url"),
@@ -864,8 +874,8 @@ def agent_log_2(spark, d):
 @query
 def document_round_trip(spark, d):
     """Library to nested documents and back: facts per kind stay the same."""
-    docs, _ = to_documents(_library(spark, d))
-    return from_documents(docs).facts.groupBy("key", "kind").agg(F.count("*").alias("n")).filter("kind <> 'flag' AND kind <> 'url'")
+    docs, large = to_documents(_library(spark, d))
+    return from_documents(docs).facts.unionByName(large).groupBy("key", "kind").agg(F.count("*").alias("n")).filter("kind <> 'flag' AND kind <> 'url'")
 
 
 # --- streaming ---------------------------------------------------------------------------
@@ -879,9 +889,7 @@ def _event_stream(spark, d) -> DataFrame:
 
 
 def _finish(query_) -> None:
-    query_.awaitTermination(600)
-    if query_.exception():
-        raise query_.exception()
+    query_.awaitTermination()  # raises what the stream failed with
 
 
 def _scratch(spark, name: str) -> str:

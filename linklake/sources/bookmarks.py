@@ -30,7 +30,7 @@ def _children(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def flatten(trees: DataFrame, max_depth: int = 64) -> DataFrame:
+def flatten(trees: DataFrame) -> DataFrame:
     """``profile, folder, folder_name, title, url, added`` rows of every bookmark.
 
     ``folder`` is the path below the root. Each step explodes one level of folders, and the loop
@@ -46,7 +46,7 @@ def flatten(trees: DataFrame, max_depth: int = 64) -> DataFrame:
     # The root node is itself a folder, so its name stands twice at the head of the trail.
     level = level.withColumn("trail", F.concat("trail", "trail"))
     found = None
-    for _ in range(max_depth):
+    while True:
         nodes = _children(level, "kids").select(
             "profile", "trail", F.concat("place", F.array("_pos")).alias("place"), get("$.type").alias("type"),
             F.coalesce(get("$.name"), F.lit("")).alias("name"), get("$.url").alias("url"), get("$.date_added").alias("added"),
@@ -62,7 +62,6 @@ def flatten(trees: DataFrame, max_depth: int = 64) -> DataFrame:
         )
         if level.isEmpty():
             return found
-    raise ValueError(f"bookmark folders nest deeper than {max_depth} levels")
 
 
 def list_folders(bookmarks: DataFrame) -> DataFrame:
@@ -85,7 +84,7 @@ def read_folder(bookmarks: DataFrame, folder: str, recursive: bool = True) -> Da
         hit = hit | full.startswith(want + "/") | full.contains("/" + want + "/")
     rows = bookmarks.filter(hit)
     if rows.isEmpty():
-        known = [r.folder for r in bookmarks.filter("folder <> ''").select("folder").distinct().orderBy("folder").limit(20).collect()]
+        known = [r.folder for r in bookmarks.filter("folder <> ''").select("folder").distinct().orderBy("folder").limit(20).collect()]  # for the message alone
         raise ValueError(f"no bookmark folder matched {folder!r}; available: {', '.join(known)}")
     return rows
 
@@ -96,7 +95,7 @@ def find_folder(bookmarks: DataFrame, folder: str) -> tuple[str, str, int]:
     full = F.lower("folder")
     leaf = F.substring_index(full, "/", -1)
     hits = list_folders(bookmarks).filter((leaf == want) | (full == want) | full.endswith("/" + want))
-    profiles = [r.profile for r in hits.select("profile").distinct().orderBy("profile").limit(20).collect()]
+    profiles = [r.profile for r in hits.select("profile").distinct().orderBy("profile").limit(2).collect()]
     if not profiles:
         raise ValueError(f"no bookmark folder named {folder!r} in any profile")
     if len(profiles) > 1:

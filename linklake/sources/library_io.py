@@ -84,30 +84,30 @@ def read_tables(spark: SparkSession, path: str) -> Library:
     )
 
 
-def export(library: Library, lines: DataFrame, path: str, generated_at: datetime, max_packaged: int = 100_000) -> dict:
+def export(library: Library, lines: DataFrame, path: str, generated_at: datetime) -> dict:
     """Three views of the published rows: JSON lines, one packaged document, and Markdown lines.
 
-    The packaged document holds all records in one value, so it is written only for an index of at
-    most ``max_packaged`` records; a larger one stays whole in the JSON lines and is reported.
+    The packaged document is written as sorted lines over as many files as its size asks for: a header, one
+    record a line, a footer. Read in order they are one JSON document; no task holds more than its lines.
     """
     documents, large = to_documents(library)
     spark = documents.sparkSession
     documents = documents.drop("local_sections")
     n = write_documents(documents, f"{path}/resources.jsonl")
     large.write.mode("overwrite").json(f"{path}/large_resources.jsonl")
-    packaged = n <= max_packaged
-    if packaged:
-        rows = spark.read.schema(schemas.DOCUMENT).json(f"{path}/resources.jsonl")
-        packed = rows.agg(
-            F.array_sort(F.collect_list(F.struct((-F.col("mentions")).alias("m"), "key", F.struct(*rows.columns).alias("e")))).alias("x")
-        ).select(
-            F.to_json(
-                F.struct(
-                    F.lit(generated_at).cast("timestamp").alias("generated_at"), F.size("x").alias("count"),
-                    F.transform("x", lambda r: r["e"]).alias("entries"),
-                )
-            ).alias("value")
-        )
-        packed.coalesce(1).write.mode("overwrite").text(f"{path}/resources.json")
+    rows = spark.read.schema(schemas.DOCUMENT).json(f"{path}/resources.jsonl")
+    place = lambda part, m, k: F.struct(F.lit(part).alias("part"), m.alias("m"), k.alias("k")).alias("place")
+    body = rows.select(place(1, -F.col("mentions"), F.col("key")), F.to_json(F.struct(*rows.columns)).alias("value"))
+    first = body.agg(F.min("place").alias("first"))
+    body = body.join(F.broadcast(first), F.lit(True)).select(
+        "place", F.when(F.col("place") == F.col("first"), F.col("value")).otherwise(F.concat(F.lit(","), "value")).alias("value")
+    )
+    zero, blank = F.lit(0).cast("bigint"), F.lit("")
+    opening = F.to_json(F.struct(F.lit(generated_at).cast("timestamp").alias("generated_at"), F.lit(n).alias("count")))
+    frame = spark.range(1).select(F.explode(F.array(
+        F.struct(place(0, zero, blank), F.concat(F.regexp_replace(opening, r"\}$", ""), F.lit(',"entries":[')).alias("value")),
+        F.struct(place(2, zero, blank), F.lit("]}").alias("value")),
+    )).alias("x")).select("x.*")
+    body.unionByName(frame).orderBy("place").select("value").write.mode("overwrite").text(f"{path}/resources.json")
     lines.write.mode("overwrite").text(f"{path}/list.md")
-    return {"published": n, "packaged": packaged}
+    return {"published": n}

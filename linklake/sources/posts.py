@@ -32,24 +32,23 @@ def with_completeness(snapshots: DataFrame) -> DataFrame:
 
 
 def best_snapshot(snapshots: DataFrame) -> DataFrame:
-    """One row per post: the first complete channel, else the one with fewer short links or more text."""
+    """One row per post: the first complete channel, else the one with fewer short links or more text.
+
+    Channels are asked in the order of ``CHANNELS``, then any others by name. Of several snapshots of a
+    channel the order of their values decides. A post has as many snapshots as it was captured.
+    """
     c = F.col
     columns = [x for x in snapshots.columns if x != "post_id"]
-    row = F.struct(*columns)
-    side = lambda i: F.first(F.when(c("channel") == CHANNELS[i], row), ignorenulls=True)
-    pair = snapshots.groupBy("post_id").agg(side(0).alias("a"), side(1).alias("b"))
-    complete = lambda s: (c(s + ".unexpanded") == 0) & ~F.coalesce(c(s + ".truncated"), F.lit(False))
-    better = (c("b.unexpanded") < c("a.unexpanded")) | (utf16_length(c("b.text")) > utf16_length(c("a.text")))
-    pick = (
-        F.when(c("a").isNotNull() & complete("a"), c("a"))
-        .when(c("a").isNull(), c("b"))
-        .when(c("b").isNull(), c("a"))
-        .when(complete("b") & better, c("b"))
-        .when(complete("b"), c("b"))
-        .when(better, c("b"))
-        .otherwise(c("a"))
+    turn = F.coalesce(*[F.when(c("channel") == x, i) for i, x in enumerate(CHANNELS)], F.lit(len(CHANNELS)))
+    row = F.struct(turn.alias("_turn"), "channel", *[x for x in columns if x != "channel"])
+    held = snapshots.groupBy("post_id").agg(F.array_sort(F.collect_list(row)).alias("held"))
+    complete = lambda s: (s["unexpanded"] == 0) & ~F.coalesce(s["truncated"], F.lit(False))
+    better = lambda a, b: (b["unexpanded"] < a["unexpanded"]) | (utf16_length(b["text"]) > utf16_length(a["text"]))
+    pick = F.aggregate(
+        F.slice("held", F.lit(2), F.size("held")), c("held")[0],
+        lambda a, b: F.when(complete(a), a).when(complete(b) | better(a, b), b).otherwise(a),
     )
-    return pair.select("post_id", pick.alias("p")).select("post_id", "p.*")
+    return held.select("post_id", pick.alias("p")).select("post_id", *[c("p")[x].alias(x) for x in columns])
 
 
 def collect_inputs(inputs: DataFrame, posts: DataFrame, as_of: datetime, credit: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:

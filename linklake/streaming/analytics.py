@@ -56,7 +56,13 @@ def keep_late(records: DataFrame, out: str, checkpoint: str, lateness: str = LAT
 
 
 def _visit_chain(key, batches: Iterator, state: GroupState):
-    """Counts of one visit, carried across micro-batches and written out when the visit falls silent."""
+    """Counts of one visit, carried across micro-batches and written out when the visit falls silent.
+
+    As in the batch job, only neighbours matter: a keystroke begins a search unless its text and the one
+    before extend each other, and the last keystroke of a search says whether it missed. The carried row
+    stands before the batch's rows; its own miss is taken back first, as it may not be the last one.
+    """
+    import numpy as np
     import pandas as pd
 
     if state.hasTimedOut:
@@ -64,19 +70,18 @@ def _visit_chain(key, batches: Iterator, state: GroupState):
         state.remove()
         yield pd.DataFrame({"visit": [key[0]], "searches": [searches], "misses": [misses]})
         return
-    last_q, last_n, searches, misses = state.get if state.exists else (None, None, 0, 0)
+    text, found, searches, misses = state.get if state.exists else (None, None, 0, 0)
     rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    for q, n in zip(rows["q"], rows["results"]):
-        if not q:
-            last_q = last_n = None
-        elif last_q is not None and (q.startswith(last_q) or last_q.startswith(q)):
-            misses += int(n == 0) - int(last_n == 0)
-            last_q, last_n = q, int(n)
-        else:
-            searches += 1
-            misses += int(n == 0)
-            last_q, last_n = q, int(n)
-    state.update((last_q, last_n, searches, misses))
+    q = np.array([text or "", *rows["q"].fillna("")], object)
+    none_found = np.array([found == 0, *(rows["results"] == 0)], bool)
+    typed = q != ""
+    extends = np.array([bool(a and b) and (a.startswith(b) or b.startswith(a)) for a, b in zip(q, q[1:])], bool)
+    ends = typed & ~np.append(extends, False)
+    searches += int((typed[1:] & ~extends).sum())
+    misses += int((ends & none_found).sum()) - int(typed[0] and none_found[0])
+    last = rows["results"].iloc[-1]
+    left = (q[-1], None if pd.isna(last) else int(last)) if typed[-1] else (None, None)
+    state.update((*left, searches, misses))
     newest = int(rows["ts"].max().timestamp() * 1000)
     state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + VISIT_GAP_MS)
 

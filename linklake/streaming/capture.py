@@ -65,23 +65,20 @@ def distinct_messages(messages: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def recall_prompts(
-    prompts: DataFrame, book: Callable[[], LinkBook], vocab: DataFrame, total: DataFrame, out: str, checkpoint: str,
-    keep_sessions: str = "2 days",
+    prompts: DataFrame, book: Callable[[], LinkBook], vocab: DataFrame, total: DataFrame, out: str, checkpoint: str
 ) -> DataStreamWriter:
     """Rare-word recall for each new prompt, every link at most once per session.
 
-    The links shown so far are the earlier batches of the output itself. Only those of the last
-    ``keep_sessions`` before the batch are read, which bounds the state by the life of a session.
+    The links shown so far are the earlier batches of the output itself, of the sessions that the batch holds.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         ranked = rank_rare(recall_candidates(batch, book(), vocab, total), None)
         if exists(spark, out):
-            earliest = batch.agg(F.min("at").alias("first"))
-            shown = spark.read.parquet(out).filter(F.col("batch") < batch_id).join(F.broadcast(earliest), F.lit(True))
-            shown = shown.filter(F.col("at") >= F.col("first") - F.expr(f"INTERVAL {keep_sessions}"))
-            ranked = ranked.join(shown.select("session", "key").distinct(), ["session", "key"], "left_anti")
+            shown = spark.read.parquet(out).filter(F.col("batch") < batch_id).select("session", "key")
+            shown = shown.join(batch.select("session").distinct(), "session", "left_semi").distinct()
+            ranked = ranked.join(shown, ["session", "key"], "left_anti")
         rows = ranked.select("msg_id", F.lit("rare").alias("channel"), "session", "at", "rank", "key")
         once = (
             rows.repartition("session").sortWithinPartitions("session", "channel", "at", "msg_id", "rank")

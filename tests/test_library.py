@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -199,9 +200,11 @@ def test_export(spark, tmp_path):
     from linklake.plans.pipelines import export_index
 
     out = export_index(lib, str(tmp_path / "index"), T0, "Links")
-    assert out["published"] == 2 and out["packaged"] and out["held"]["legal_risk"] == 2
-    packed = spark.read.text(str(tmp_path / "index/resources.json")).first().value
-    assert '"count":2' in packed and "审美" not in packed
+    assert out["published"] == 2 and out["held"]["legal_risk"] == 2
+    packed = "".join(p.read_text() for p in sorted((tmp_path / "index/resources.json").glob("part-*")))
+    entries_ = json.loads(packed)["entries"]
+    assert json.loads(packed)["count"] == len(entries_) == 2 and "审美" not in packed
+    assert [-e["mentions"] for e in entries_] == sorted(-e["mentions"] for e in entries_)
 
 
 def test_wall_order_matches_the_rule(spark):
