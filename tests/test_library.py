@@ -160,7 +160,7 @@ def test_submissions(spark):
     new = docs(upsert(None, liveness.submission_sightings(checked, T0)))
     assert new["a.com"].sources[0].type == "submission" and new["a.com"].sources[0].by == "me"
     bodies = {r.submission_id: r.body for r in views.issue_bodies(checked).collect()}
-    assert set(bodies) == {1, 5} and "Already in the index" in bodies[1] and "_none readable_" in bodies[5]
+    assert set(bodies) == {1, 5} and "Known as `a.com`" in bodies[1] and "_not found_" in bodies[5]
 
 
 def test_documents_round_trip_through_files(spark, tmp_path):
