@@ -19,7 +19,7 @@ HEADLINE = [
 
 def main() -> None:
     from linklake.plans.registry import QUERIES
-    from linklake.session import build_session
+    from linklake.session import build_session, drop_written
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -35,6 +35,7 @@ def main() -> None:
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.time() - start, 3)
         print(f"{name} {seconds[name]}", file=sys.stderr)
+        drop_written(spark)
     print(json.dumps({
         "metric": "total_wall_time", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds,
         "sf": os.path.basename(sf_dir.rstrip("/")),

@@ -203,7 +203,10 @@ def recall_recent(messages: DataFrame, book: LinkBook, vocab: DataFrame, total:
 def route_prompts(
     messages: DataFrame, book: LinkBook, vocab: DataFrame, total: DataFrame, picks: DataFrame | None = None
 ) -> DataFrame:
-    """``msg_id, route, rank, key``: a question about an earlier link is searched, the rest recalled."""
+    """``msg_id, route, rank, key``: a question about an earlier link is searched, the rest recalled.
+
+    A link is recalled once per session: what an earlier message of the session was shown makes room for the next.
+    """
     c = F.col
     asking = messages.filter(asks_about_past(c("text")))
     other = messages.filter(~asks_about_past(c("text")))
@@ -212,7 +215,8 @@ def route_prompts(
     found = found.select(c("query_id").alias("msg_id"), F.lit("search").alias("route"), "rank", c("doc").alias("key"))
     fresh = (pick_links(asking) if picks is None else picks).select("msg_id", "key")
     found = found.join(fresh, ["msg_id", "key"], "left_anti")
-    recalled = recall_rare(other, book, vocab, total, picks=picks).select("msg_id", F.lit("recall").alias("route"), "rank", "key")
+    ranked = rank_rare(recall_candidates(other, book, vocab, total, picks=picks), None)
+    recalled = once_per_session(_rare_rows(ranked)).select("msg_id", F.lit("recall").alias("route"), "rank", "key")
     return found.select("msg_id", "route", "rank", "key").unionByName(recalled)
 
 
@@ -291,19 +295,27 @@ def replay(
     """
     c = F.col
     heard = messages.filter(~asks_about_past(c("text")))
-    rare = rank_rare(recall_candidates(heard, book, vocab, total, as_of=True, picks=picks), None)
+    rare = _rare_rows(rank_rare(recall_candidates(heard, book, vocab, total, as_of=True, picks=picks), None))
     recent = recent_candidates(heard, book, vocab, total, picks=picks)
-    none = lambda t: F.lit(None).cast(t)
-    rare = rare.select(
-        "msg_id", F.lit("rare").alias("channel"), "session", "at", "rank", "key", none("string").alias("term"),
-        none("string").alias("thing"), none("boolean").alias("in_title"), none("timestamp").alias("last_at"),
-    )
     recent = recent.select(
         "msg_id", F.lit("recent").alias("channel"), "session", "at", F.lit(0).alias("rank"), "key", "term", "thing",
         "in_title", "last_at",
     )
-    rows = rare.unionByName(recent).repartition("session", "channel")
-    return rows.sortWithinPartitions("session", "channel", "at", "msg_id", "rank").mapInPandas(_once_per_session, REPLAY_SCHEMA)
+    return once_per_session(rare.unionByName(recent))
+
+
+def _rare_rows(ranked: DataFrame) -> DataFrame:
+    none = lambda t: F.lit(None).cast(t)
+    return ranked.select(
+        "msg_id", F.lit("rare").alias("channel"), "session", "at", "rank", "key", none("string").alias("term"),
+        none("string").alias("thing"), none("boolean").alias("in_title"), none("timestamp").alias("last_at"),
+    )
+
+
+def once_per_session(rows: DataFrame) -> DataFrame:
+    """The order-dependent pass: candidates of a session in time order, each link shown at most once a channel."""
+    dealt = rows.repartition("session", "channel")
+    return dealt.sortWithinPartitions("session", "channel", "at", "msg_id", "rank").mapInPandas(_once_per_session, REPLAY_SCHEMA)
 
 
 def firing_rates(messages: DataFrame, fired: DataFrame) -> DataFrame:

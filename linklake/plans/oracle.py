@@ -514,11 +514,17 @@ ORACLE["link_descriptions"] = with_(
 ) + """SELECT key, strftime(first_seen, '%Y-%m-%d') AS day, left(regexp_replace(coalesce(title, ''), '\\s+', ' ', 'g'), 90) AS what, left(coalesce(short, any_text, ''), 90) AS said,
  coalesce(note, '') AS note, project FROM lk LEFT JOIN ds USING (key) LEFT JOIN dn USING (key)"""
 ASK = f"regexp_matches(text, {q(rules.ASKS_ABOUT_PAST)})"
+# What a session was shown grows message by message, so the rule is a recursion over its messages.
+ONCE = f"""cl AS (SELECT session, msg_id, tm, list(key ORDER BY rank) AS ks FROM rt WHERE msg_id IN (SELECT msg_id FROM m WHERE NOT {ASK}) GROUP BY ALL),
+nn AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY tm, msg_id) AS i FROM cl),
+ons AS (SELECT session, msg_id, i, ks[1:3] AS picked, ks[1:3] AS shown FROM nn WHERE i = 1
+ UNION ALL SELECT session, msg_id, i, fresh[1:3], list_concat(shown, fresh[1:3])
+ FROM (SELECT n.session, n.msg_id, n.i, o.shown, list_filter(n.ks, lambda x: NOT list_contains(o.shown, x)) AS fresh FROM ons o JOIN nn n ON n.session = o.session AND n.i = o.i + 1))"""
 ORACLE["prompt_routes"] = with_(
     BOOK, KW, BF, f"qs AS (SELECT msg_id AS query_id, string_agg(term, ' ' ORDER BY term) AS query FROM kw JOIN (SELECT msg_id FROM m WHERE {ASK}) USING (msg_id) GROUP BY 1)",
-    ranked("bf", "qs", "SELECT count(*) FROM lk", 5), RARE,
-) + f"""SELECT query_id AS msg_id, 'search' AS route, CAST(rank AS INT) AS rank, doc AS key FROM top WHERE NOT EXISTS (SELECT 1 FROM pk WHERE pk.msg_id = query_id AND pk.key = doc)
- UNION ALL SELECT msg_id, 'recall', CAST(rank AS INT), key FROM rt WHERE rank <= 3 AND msg_id IN (SELECT msg_id FROM m WHERE NOT {ASK})"""
+    ranked("bf", "qs", "SELECT count(*) FROM lk", 5), RARE, ONCE, recursive=True,
+) + """SELECT query_id AS msg_id, 'search' AS route, CAST(rank AS INT) AS rank, doc AS key FROM top WHERE NOT EXISTS (SELECT 1 FROM pk WHERE pk.msg_id = query_id AND pk.key = doc)
+ UNION ALL SELECT msg_id, 'recall', CAST(r AS INT), picked[r] FROM (SELECT msg_id, picked, unnest(range(1, len(picked) + 1)) AS r FROM ons)"""
 ORACLE["message_history"] = with_(
     M, "al AS (SELECT msg_id, text, tm, session FROM m UNION ALL SELECT msg_id + 500, text, tm + INTERVAL '1' HOUR, 'fork' || session FROM m)",
 ) + f"SELECT msg_id, session FROM (SELECT *, first_value(session) OVER (PARTITION BY trim(text, {WS}) ORDER BY tm, msg_id) AS owner FROM al) WHERE session = owner"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -29,7 +31,7 @@ def build_session(app: str = "linklake", master: str | None = None, **conf) -> S
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, named by ``spark.checkpoint.dir``.
 
-    A machine-local folder is used only for a local master that names none.
+    A machine-local folder is used only for a local master that names none; it is deleted when the program ends.
     """
     conf = spark.sparkContext.getConf()
     shared = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -38,10 +40,25 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     local = tempfile.mkdtemp(prefix="linklake-")
+    atexit.register(shutil.rmtree, local, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", local)
     return local
 
 
+#: Tables written by ``cut_lineage`` and not yet dropped.
+_written: list[str] = []
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this program; call it when no result that reads them is needed any more."""
+    paths, _written[:] = list(_written), []
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(hadoop).delete(place, True)
+    return len(paths)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
@@ -50,4 +67,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

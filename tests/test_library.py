@@ -220,3 +220,15 @@ def test_wall_order_matches_the_rule(spark):
 
 def test_empty_library(spark):
     assert entries(Library.empty(spark)).count() == 0
+
+
+def test_written_tables_are_dropped(spark):
+    from linklake import session
+
+    kept = list(session._written)
+    session._written[:] = []
+    cut = cut_lineage(spark.range(3))
+    path = session._written[0]
+    assert cut.count() == 3 and library_io.exists(spark, path)
+    assert session.drop_written(spark) == 1 and not library_io.exists(spark, path)
+    session._written[:] = kept
