@@ -1,4 +1,4 @@
-"""Page metadata by regular expressions over the whole document (up to 4,000,000 characters)."""
+"""Page metadata by regular expressions over the whole document."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from .urls import blank_to_null
 
-DOCUMENT_CAP = 4_000_000
-
 # The entities that are decoded by name.
 NAMED_ENTITIES = [
     (r"&(?:amp|#38);", "&"), (r"&(?:lt|#60);", "<"), (r"&(?:gt|#62);", ">"),
@@ -57,9 +55,13 @@ def _collapse(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\s+", " ")
 
 
-def _meta_content(html: Column, name: str) -> Column:
-    """``content`` of the first matching meta tag; its closing quote must match its opening one."""
-    tag = F.regexp_extract(html, rf"""(?i)<meta[^>]+(?:name|property)\s*=\s*(["']){name}\1[^>]*>""", 0)
+META_TAG = r"(?i)<meta[^>]+>"
+
+
+def _meta_content(tags: Column, name: str) -> Column:
+    """``content`` of the first of the meta tags that bears the name; its closing quote must match its opening one."""
+    named = rf"""(?i)<meta[^>]+(?:name|property)\s*=\s*(["']){name}\1"""
+    tag = F.try_element_at(F.filter(tags, lambda t: t.rlike(named)), F.lit(1))
     value = F.regexp_extract(tag, r"""(?is)content\s*=\s*(["'])(.*?)\1""", 2)
     return blank_to_null(F.trim(value))
 
@@ -91,11 +93,15 @@ def _first_title(html: Column) -> Column:
     return folded["title"]
 
 
-def with_page_metadata(df: DataFrame, html: str = "html") -> DataFrame:
-    """Add ``page_title, og_title, description, site_name, image, lang`` read from ``html``."""
+def with_page_metadata(df: DataFrame, html: str = "html", title_most: int | None = None, description_most: int | None = None) -> DataFrame:
+    """Add ``page_title, og_title, description, site_name, image, lang`` read from ``html``.
+
+    The meta tags are found in one pass and looked through by name. ``title_most`` and
+    ``description_most`` cut those texts to so many characters; by default they stay whole.
+    """
     c = F.col
-    h = F.left(c(html), F.lit(DOCUMENT_CAP))
-    pick = lambda *names: F.coalesce(*[_meta_content(h, n) for n in names])
+    h, tags = c(html), c("_meta_tags")
+    pick = lambda *names: F.coalesce(*[_meta_content(tags, n) for n in names])
     raw = {
         "page_title": _first_title(h),
         "og_title": pick("og:title", "twitter:title"),
@@ -104,14 +110,13 @@ def with_page_metadata(df: DataFrame, html: str = "html") -> DataFrame:
         "image": pick("og:image", "twitter:image"),
     }
     lang = F.regexp_extract(h, r"""(?i)<html[^>]+lang\s*=\s*["']([^"']+)["']""", 1)
-    out = df.withColumns({**raw, "lang": blank_to_null(lang)})
+    out = df.withColumn("_meta_tags", F.regexp_extract_all(h, F.lit(META_TAG), F.lit(0)))
+    out = out.withColumns({**raw, "lang": blank_to_null(lang)}).drop("_meta_tags")
     # Decoded in steps of their own, so that no step repeats the one before it.
     out = out.withColumns({n: decode_entities(c(n)) for n in raw})
     out = out.withColumns({n: _decode_numeric(c(n), r"&#(\d+);", 10) for n in raw})
     out = out.withColumns({n: _collapse(_decode_numeric(c(n), r"(?i)&#x([0-9a-f]+);", 16)) for n in raw})
+    cut = lambda n, most: c(n) if most is None else F.left(n, F.lit(most))
     return out.withColumns(
-        {
-            "page_title": blank_to_null(F.left("page_title", F.lit(200))),
-            "description": blank_to_null(F.left("description", F.lit(500))),
-        }
+        {"page_title": blank_to_null(cut("page_title", title_most)), "description": blank_to_null(cut("description", description_most))}
     )

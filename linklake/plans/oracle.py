@@ -225,7 +225,7 @@ for _p, _t in [("&(?:amp|#38);", "&"), ("&(?:lt|#60);", "<"), ("&(?:gt|#62);", "
 
 def title_of(html: str) -> str:
     raw = f"trim(regexp_extract({html}, '(?is)<title[^>]*>(.*?)</title>', 1), {WS})"
-    return f"nullif(left(regexp_replace({ENT.replace('(h,', '(' + raw + ',')}, '\\s+', ' ', 'g'), 200), '')"
+    return f"nullif(regexp_replace({ENT.replace('(h,', '(' + raw + ',')}, '\\s+', ' ', 'g'), '')"
 
 
 ORACLE["page_metadata"] = (
