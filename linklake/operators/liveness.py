@@ -131,7 +131,7 @@ def check_submissions(submissions: DataFrame, head: DataFrame, page_verdicts: Da
     fetched = page_verdicts.groupBy("key").agg(
         F.max_by(
             F.struct("status", "code", F.col("note").alias("fetch_note"), "checked_at", "page_title", "og_title", "description", "github"),
-            "checked_at",
+            F.struct("checked_at", "status", "code", "final_url"),  # a total order for fetches at one time
         ).alias("v")
     )
     out = parts.join(known, "key", "left").join(fetched, "key", "left")

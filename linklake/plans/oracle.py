@@ -213,11 +213,24 @@ ORACLE["post_contexts"] = with_(
     P, ROWS, f"b AS (SELECT post_id, min(n) AS cut FROM ln WHERE regexp_matches(line, {q(LINK)}) GROUP BY 1)",
     f"c AS (SELECT ln.post_id, string_agg({trimmed('line')}, ' ' ORDER BY n) AS t FROM ln LEFT JOIN b USING (post_id) WHERE (cut IS NULL OR n < cut) AND {trimmed('line')} <> '' GROUP BY 1)",
 ) + "SELECT p.post_id, nullif(left(c.t, 240), '') AS context FROM p LEFT JOIN c USING (post_id)"
-ORACLE["post_leads"] = with_(
-    P, ROWS,
+LEADS = (
     f"b AS (SELECT post_id, n, {cleaned('regexp_split_to_array(' + trimmed('regexp_replace(line, ' + q(ORD) + ', ' + q('') + ')') + ', ' + q(rules.LEAD_STOP) + ')[1]')} AS name FROM ln "
-    f"WHERE regexp_matches(line, {q(ORD)}) AND NOT regexp_matches(line, {q(LINK)}))",
-) + "SELECT post_id, name, CAST(min(n) AS INT) AS pos FROM b WHERE name <> '' AND length(name) <= 40 GROUP BY 1, 2"
+    f"WHERE regexp_matches(line, {q(ORD)}) AND NOT regexp_matches(line, {q(LINK)}))"
+)
+ORACLE["post_leads"] = with_(P, ROWS, LEADS) + "SELECT post_id, name, CAST(min(n) AS INT) AS pos FROM b WHERE name <> '' AND length(name) <= 40 GROUP BY 1, 2"
+ORACLE["collected_inputs"] = with_(
+    *POST_CTES, LEADS, V, f"pu AS (SELECT post_id, unnest(regexp_extract_all(text, {q(ANY)})) AS url FROM p)", canon("pu", "pk"),
+    "pl AS (SELECT DISTINCT post_id FROM pk WHERE NOT starts_with(canon, 'https://t.co/'))",
+    "pn AS (SELECT post_id, count(DISTINCT name) AS names FROM b WHERE name <> '' AND length(name) <= 40 GROUP BY 1)",
+    "aq AS (SELECT sighting_id, CAST(page_id AS VARCHAR) AS post_id FROM v WHERE page_id % 3 = 1)",
+    "st AS (SELECT aq.*, p.post_id IS NOT NULL AS read, pl.post_id IS NOT NULL AS linked, names FROM aq LEFT JOIN p USING (post_id) LEFT JOIN pl USING (post_id) LEFT JOIN pn USING (post_id))",
+    "iv AS (SELECT sighting_id, CASE page_id % 3 WHEN 0 THEN url ELSE 'no link ' || url END AS raw FROM v WHERE page_id % 3 <> 1)", canon("iv", "ic", "raw"),
+    """al AS (SELECT 'x' AS what, count(*) AS n FROM f4 WHERE best = 1 AND post_id IN (SELECT post_id FROM aq)
+ UNION ALL SELECT 'manual', count(DISTINCT sighting_id) FROM ic WHERE canon IS NOT NULL
+ UNION ALL SELECT 'not a URL', count(*) FROM iv WHERE sighting_id NOT IN (SELECT sighting_id FROM ic WHERE canon IS NOT NULL)
+ UNION ALL SELECT CASE WHEN NOT read THEN 'post could not be read' WHEN names IS NOT NULL THEN 'no links in the post, but it names resources' ELSE 'post had no links' END, count(*) FROM st WHERE NOT linked GROUP BY 1
+ UNION ALL SELECT 'leads', sum(names) FROM st WHERE NOT linked AND names IS NOT NULL)""",
+) + "SELECT what, CAST(n AS BIGINT) AS n FROM al WHERE n > 0"
 ENT = "h"
 for _p, _t in [("&(?:amp|#38);", "&"), ("&(?:lt|#60);", "<"), ("&(?:gt|#62);", ">"), ("&(?:quot|#34);", '"'), ("&(?:apos|#39);", "'"), ("&nbsp;", " ")]:
     ENT = f"regexp_replace({ENT}, {q(_p)}, {q(_t)}, 'g')"
@@ -381,6 +394,19 @@ ORACLE["submission_entries"] = with_(
     SUB, "se AS (SELECT sy.*, v.src_by FROM sy JOIN v USING (sighting_id) WHERE reason IS NULL)", 
 ) + "SELECT key, count(DISTINCT coalesce(src_by, '2024-02-01')) FILTER (first) AS mentions, arg_min(note, sighting_id) AS first_claim FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY sighting_id) = 1 AS first FROM se) GROUP BY key"
 
+# No page of the test tables bears a description, and no submission names a post.
+ORACLE["issue_bodies"] = with_(SUB) + """SELECT sighting_id AS submission_id, 'Add: ' || coalesce(sy.title, key) AS title, array_to_string(list_filter([
+ '**URL:** ' || canon, '**Key:** `' || key || '`', '', '### Result of the fetch', '', '| | |', '|---|---|',
+ '| Liveness | `' || coalesce(sy.status, 'unchecked') || '`' || CASE WHEN coalesce(fa.code, 0) <> 0 THEN ' (HTTP ' || fa.code || ')' ELSE '' END ||
+  coalesce(' — checked ' || strftime(fa.checked_at, '%Y-%m-%dT%H:%M:%SZ'), '') || ' |',
+ '| Title | ' || coalesce(replace(sy.title, '|', '\\|'), '_not found_') || ' |', '| Description | _none_ |',
+ CASE WHEN len(flags) > 0 THEN '| Flags | ' || array_to_string(list_transform(flags, lambda f: '`' || f || '`'), ', ') || ' |' END, '',
+ CASE WHEN note <> '' THEN '### Reason given' || chr(10) || chr(10) || note || chr(10) END,
+ CASE WHEN known IS NOT NULL THEN '> Known as `' || key || '` (' || known || ' mention(s) so far).' || chr(10) || '> Filing it adds one more, and mentions decide the order.' || chr(10) END,
+ nullif(concat_ws(chr(10), CASE WHEN sy.status = 'blocked' THEN '> blocked: metadata could not be read' END,
+  CASE WHEN list_contains(flags, 'legal_risk') THEN '> legal_risk: a maintainer will decide' END, CASE WHEN sy.title IS NULL THEN '> no title could be read' END), '')
+ ], lambda x: x IS NOT NULL), chr(10)) AS body FROM sy LEFT JOIN fa USING (key) WHERE reason IS NULL"""
+
 # --- search ------------------------------------------------------------------------------
 
 
