@@ -15,7 +15,15 @@ from ..session import cut_lineage, shared_folder
 __all__ = ["bucket", "cut_lineage", "crc_mod", "map_rows", "runs", "shared_folder", "table"]
 
 
+#: Texts run from nothing to megabytes, so batches for Python are bounded by their bytes; a batch is held
+#: several times over, by the JVM, Arrow and Python.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.execution.arrow.maxRecordsPerBatch": "4000"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a data folder, in a session whose Arrow batches are bounded by ``BATCHES``."""
+    for k, v in BATCHES.items():
+        spark.conf.set(k, v)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -29,7 +29,7 @@ from .common import map_rows
 from .words import END, Encoded, portions, words_of
 
 NEVER = 1 << 60
-MOST_WORDS = 500_000
+MOST_WORDS = 300_000
 
 
 class Merges:

@@ -81,7 +81,7 @@ class Encoded:
     pieces only those of the present batch stay, which bounds memory and changes no result.
     """
 
-    def __init__(self, path: str, encode: Callable[[list[str]], list], most: int = 700_000):
+    def __init__(self, path: str, encode: Callable[[list[str]], list], most: int = 450_000):
         self.path, self.encode, self.most, self.known = path, encode, most, {}
         self.special = specials(path)
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
