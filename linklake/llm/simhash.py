@@ -31,6 +31,7 @@ SEED = 42
 SEGMENTS = ((0, 21), (21, 21), (42, 22))  # (first bit, bits)
 LEAST_BLOCK = 4096
 LARGEST_BLOCK = 1 << 20
+MOST_TASKS = 20_000
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -154,7 +155,9 @@ def linked(prints: DataFrame, radius: int = RADIUS, column: str = "fingerprint")
         member, root = forest(held[0], held[1] if len(held) == 2 else None, radius)
         return pd.DataFrame({"src": member.view(np.int64), "dst": root.view(np.int64)})
 
-    return components(pairs.groupBy("low", "high").applyInPandas(compare, "src long, dst long"))
+    # as many tasks as pairs of blocks, so that pairs aren't put together for their few bytes
+    dealt = pairs.repartition(min(n * (n + 1) // 2, MOST_TASKS), "low", "high")
+    return components(dealt.groupBy("low", "high").applyInPandas(compare, "src long, dst long"))
 
 
 def _labelled(docs: DataFrame, doc_id: str, text: str, radius: int) -> tuple[DataFrame, DataFrame]:
