@@ -25,7 +25,8 @@ def section_of(head: DataFrame) -> DataFrame:
 def grouped_sections(head: DataFrame, min_group: int = 2) -> DataFrame:
     """Fold sections with fewer than ``min_group`` rows into the rest and number the groups.
 
-    Group sizes are aggregated and joined back, so a section with most rows is not one window.
+    Group sizes are aggregated and joined back, so a section with most rows is not one window, and
+    groups are numbered by a range-partitioned sort.
     ``group_order`` puts the largest first and the rest last.
     """
     c = F.col
@@ -33,10 +34,11 @@ def grouped_sections(head: DataFrame, min_group: int = 2) -> DataFrame:
     sizes = rows.groupBy("section").agg(F.count("*").alias("n"))
     named = sizes.withColumn("group", F.when((c("n") < min_group), F.lit(REST)).otherwise(c("section")))
     totals = named.groupBy("group").agg(F.sum("n").alias("group_size"))
-    # Sections are folded to at most one row each; the numbering window runs over those only.
-    order = Window.orderBy((c("group") == REST), F.desc("group_size"), "group")
-    numbered = totals.withColumn("group_order", F.row_number().over(order))
-    lookup = named.select("section", "group").join(numbered, "group")
+    place = F.struct((c("group") == REST).alias("rest"), (-c("group_size")).alias("size"), c("group").alias("name"))
+    numbered = global_rank(totals.withColumn("_place", place), "_place", None, "group_order").drop("_place")
+    numbered = numbered.withColumn("group_order", c("group_order").cast("int"))
+    # Written down, so that the join below is one of two plain tables, whose hot section Spark splits.
+    lookup = cut_lineage(named.select("section", "group").join(numbered, "group"))
     return rows.join(lookup, "section")
 
 

@@ -307,9 +307,8 @@ def verified_library(spark, d):
     return head.select("key", "title", "lang", c("liveness.status").alias("status"), c("liveness.code").cast("bigint").alias("code"), "mentions")
 
 
-@query
-def repo_facts(spark, d):
-    """Repository API answers built from the parts table."""
+def _repo_api(spark, d) -> DataFrame:
+    """Answers of the repository interface, one for each part."""
     part = bridge.table(spark, d, "part")
     body = F.to_json(
         F.struct(
@@ -318,10 +317,16 @@ def repo_facts(spark, d):
         )
     )
     code = F.when(c("p_size") % 10 == 0, 404).when(c("p_size") % 10 == 1, 451).when(c("p_size") % 10 == 2, 500).otherwise(200)
-    api = part.select(
+    return part.select(
         F.concat(F.lit("github.com/p/"), c("p_partkey").cast("string")).alias("key"), code.alias("code"), body.alias("body"),
         F.lit(AS_OF).cast("timestamp").alias("checked_at"),
     )
+
+
+@query
+def repo_facts(spark, d):
+    """Repository API answers built from the parts table."""
+    api = _repo_api(spark, d)
     v = liveness.repo_verdicts(api)
     return v.select(
         "key", "status", "note", c("page_title").alias("title"), "description", c("github.stars").alias("stars"),
@@ -593,7 +598,13 @@ def enrichment(spark, d):
     pages = pages.groupBy("key").agg(
         *[F.max_by(x, F.struct("checked_at", "raw")).alias(x) for x in ("status", "page_title", "og_title", "description")]
     )
-    repos = liveness.repo_verdicts(spark.createDataFrame([], "key string, code int, body string, checked_at timestamp"))
+    api = _repo_api(spark, d)
+    named = api.select(
+        F.xxhash64("key").alias("msg_id"), F.lit(0).alias("idx"), "key", F.concat(F.lit("https://"), "key").alias("url"),
+        F.lit("a repository").alias("said"), c("checked_at").alias("at"), F.lit("repositories").alias("session"),
+    )
+    book = memory.capture(book, named)
+    repos = liveness.repo_verdicts(api)
     details = memory.enrichment(book, snaps, repos, pages, AS_OF)
     out = memory.apply_enrichment(book, details)
     return out.links.select("key", "kind", "title", "author", F.length("text").cast("bigint").alias("text_chars"), "status", "enrich_error")
@@ -722,7 +733,8 @@ def wall_cards(spark, d):
         "key", F.concat(F.lit("cat"), c("p") % 4).alias("cat"), F.when(c("p") % 5 != 0, F.concat(F.lit("标题"), "p")).alias("zh"),
         F.concat(F.lit("line "), "p").alias("en"), F.lit(None).cast("string").alias("name"),
     )
-    cats = spark.range(4).select(F.concat(F.lit("cat"), "id").alias("cat"), F.concat(F.lit("label"), "id").alias("label"), F.lit(0).alias("pos"))
+    number = (c("p") % 4).cast("string")
+    cats = keyed.select(F.concat(F.lit("cat"), number).alias("cat"), F.concat(F.lit("label"), number).alias("label"), F.lit(0).alias("pos")).distinct()
     shots = keyed.filter(c("p") % 7 != 1).select("key", F.lit(320).alias("w"), F.lit(200).alias("h"))
     cards, missing = views.wall_sites(lib, head, curation, cats, shots)
     n = missing.groupBy(F.regexp_replace("missing", "^shot:", "").alias("key")).agg(F.count("*").alias("missing"))
