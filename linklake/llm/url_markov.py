@@ -112,8 +112,8 @@ def scored(rows: DataFrame, table: DataFrame) -> DataFrame:
     kept = [c for c in numbered.columns if c != "codes"]
     each = numbered.select(*kept, F.explode_outer(_windows("codes")).alias("gram"))
     met = each.join(F.broadcast(table), "gram", "left")
-    others = [F.first(c).alias(c) for c in kept if c != "_row"]
-    return met.groupBy("_row").agg(*others, F.coalesce(F.avg(F.col("ratio").cast("decimal(20,9)")).cast("double"), F.lit(0.0)).alias("score")).drop("_row")
+    mean = F.coalesce(F.avg(F.col("ratio").cast("decimal(20,9)")).cast("double"), F.lit(0.0))
+    return met.groupBy(*kept).agg(mean.alias("score")).drop("_row")
 
 
 def threshold(scored: DataFrame) -> DataFrame:
