@@ -541,11 +541,12 @@ ORACLE["link_descriptions"] = with_(
  coalesce(note, '') AS note, project FROM lk LEFT JOIN ds USING (key) LEFT JOIN dn USING (key)"""
 ASK = f"regexp_matches(text, {q(rules.ASKS_ABOUT_PAST)})"
 # What a session was shown grows message by message, so the rule is a recursion over its messages.
-ONCE = f"""cl AS (SELECT session, msg_id, tm, list(key ORDER BY rank) AS ks FROM rt WHERE msg_id IN (SELECT msg_id FROM m WHERE NOT {ASK}) GROUP BY ALL),
+ONCE_ALL = """cl AS (SELECT session, msg_id, tm, list(key ORDER BY rank) AS ks FROM rt GROUP BY ALL),
 nn AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY tm, msg_id) AS i FROM cl),
 ons AS (SELECT session, msg_id, i, ks[1:3] AS picked, ks[1:3] AS shown FROM nn WHERE i = 1
  UNION ALL SELECT session, msg_id, i, fresh[1:3], list_concat(shown, fresh[1:3])
  FROM (SELECT n.session, n.msg_id, n.i, o.shown, list_filter(n.ks, lambda x: NOT list_contains(o.shown, x)) AS fresh FROM ons o JOIN nn n ON n.session = o.session AND n.i = o.i + 1))"""
+ONCE = ONCE_ALL.replace("FROM rt GROUP", f"FROM rt WHERE msg_id IN (SELECT msg_id FROM m WHERE NOT {ASK}) GROUP", 1)
 ORACLE["prompt_routes"] = with_(
     BOOK, KW, BF, f"qs AS (SELECT msg_id AS query_id, string_agg(term, ' ' ORDER BY term) AS query FROM kw JOIN (SELECT msg_id FROM m WHERE {ASK}) USING (msg_id) GROUP BY 1)",
     ranked("bf", "qs", "SELECT count(*) FROM lk", 5), RARE, ONCE, recursive=True,
@@ -636,3 +637,15 @@ ORACLE["stream_miss_rate"] = with_(events(), "ok AS (SELECT * FROM ev WHERE NOT
  round(coalesce(sum(misses) FILTER (kind = 's'), 0) / nullif(coalesce(sum(searches) FILTER (kind = 's'), 0), 0), 8) AS miss_rate FROM ok
  GROUP BY {HOUR} HAVING {HOUR} + INTERVAL '1' HOUR <= (SELECT max(tm) - INTERVAL '1' HOUR FROM ok)"""
 ORACLE["stream_distinct_messages"] = "SELECT CAST(conv_id AS VARCHAR) AS session, count(DISTINCT text) AS n FROM conversations WHERE role = 'user' GROUP BY 1"
+
+# --- files -------------------------------------------------------------------------------
+
+ORACLE["library_files"] = with_(LIB) + f"SELECT key, url, mentions, {TS('first_seen')} AS first_seen, {TS('last_seen')} AS last_seen FROM head"
+ORACLE["event_log_files"] = with_(f"sl AS ({SITE_LOG})") + """SELECT event_id % 50 = 7 AS bad, CASE WHEN event_id % 50 <> 7 THEN c END AS c, CASE WHEN event_id % 50 <> 7 THEN strftime(tm, '%Y-%m-%d') END AS day,
+ count(*) AS n, count(DISTINCT CASE WHEN event_id % 50 <> 7 THEN a END) AS kinds FROM sl GROUP BY 1, 2, 3"""
+ORACLE["backfill"] = with_(BOOK, VOC) + """SELECT 'links' AS what, count(*) AS n FROM lk UNION ALL SELECT 'said', count(*) FROM sd UNION ALL SELECT 'terms', count(*) FROM vo
+ UNION ALL SELECT 'messages', total FROM tl"""
+ORACLE["stream_search_chains"] = ORACLE["search_chains"]
+ORACLE["stream_recall"] = with_(BOOK, KW, RARE, ONCE_ALL, recursive=True) + (
+    "SELECT msg_id, session, CAST(r AS INT) AS rank, picked[r] AS key FROM (SELECT msg_id, session, picked, unnest(range(1, len(picked) + 1)) AS r FROM ons)"
+)

@@ -17,8 +17,8 @@ from ..operators import extract, liveness, memory, publish, recall, redirects, s
 from ..operators.library import Library, apply_fetches, entries, from_documents, to_documents, upsert, upsert_report
 from ..operators.memory import LinkBook
 from ..session import cut_lineage, shared_folder
-from ..sources import agent_logs, bookmarks, posts, schemas
-from . import bridge
+from ..sources import agent_logs, bookmarks, events, library_io, posts, schemas
+from . import bridge, pipelines
 
 AS_OF = datetime(2024, 2, 1)
 MOMENT = datetime(2024, 1, 3)
@@ -890,6 +890,43 @@ def document_round_trip(spark, d):
     return from_documents(docs).facts.unionByName(large).groupBy("key", "kind").agg(F.count("*").alias("n")).filter("kind <> 'flag' AND kind <> 'url'")
 
 
+# --- files -------------------------------------------------------------------------------
+
+
+@query
+def library_files(spark, d):
+    """The library written as JSON lines and read back where the first place asked is missing."""
+    lib = _library(spark, d)
+    docs, large = to_documents(lib)
+    path = _scratch(spark, "index")
+    library_io.write_documents(docs, path)
+    back = library_io.read_library(spark, path + "-missing", path)
+    whole = Library(back.facts.unionByName(large), back.state)
+    return entries(whole).select("key", "url", "mentions", _iso("first_seen").alias("first_seen"), _iso("last_seen").alias("last_seen"))
+
+
+@query
+def event_log_files(spark, d):
+    """The event log as plain and as compressed files, read as one input; broken lines are counted."""
+    v = bridge.view(spark, d, "site_log")
+    line = F.when(c("event_id") % 50 == 7, "{broken").otherwise(F.to_json(F.struct(F.date_format("tm", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("at"), "c", "a")))
+    path = _scratch(spark, "log")
+    for name, rows, how in (("plain", c("event_id") % 3 == 0, "none"), ("old", c("event_id") % 3 != 0, "gzip")):
+        v.filter(rows).select(line.alias("value")).write.option("compression", how).text(f"{path}/{name}")
+    rows = events.read_event_log(spark, f"{path}/*")
+    return rows.groupBy("bad", "c", F.date_format("at", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.count_distinct("a").alias("kinds"))
+
+
+@query
+def backfill(spark, d):
+    """All messages into a new link book and vocabulary, in numbers."""
+    book, vocab, total = pipelines.backfill(cut_lineage(bridge.messages(spark, d)))
+    n = lambda df, what: df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
+    return n(book.links, "links").unionByName(n(book.said, "said")).unionByName(n(vocab, "terms")).unionByName(
+        total.select(F.lit("messages").alias("what"), c("total").alias("n"))
+    )
+
+
 # --- streaming ---------------------------------------------------------------------------
 
 
@@ -932,3 +969,36 @@ def stream_distinct_messages(spark, d):
     out = _scratch(spark, "distinct")
     _finish(distinct_messages(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-cp").trigger(availableNow=True).start())
     return spark.read.parquet(out).groupBy("session").agg(F.count("*").alias("n"))
+
+
+@query
+def stream_search_chains(spark, d):
+    """Keystrokes as a stream, a record per visit; a later row moves the watermark past the last visit."""
+    from ..streaming.analytics import visit_chains
+
+    keys = bridge.view(spark, d, "keystrokes").filter("ts IS NOT NULL")
+    keys = keys.select("visit", c("ts").cast("timestamp").alias("ts"), "event_id", "q", "results")
+    folder, out = _scratch(spark, "keys"), _scratch(spark, "chains")
+    end = keys.agg((F.max("ts") + F.expr("INTERVAL 2 DAYS")).alias("ts")).select(
+        F.lit("(end)").alias("visit"), "ts", F.lit(-1).cast("bigint").alias("event_id"), F.lit("").alias("q"), F.lit(0).cast("bigint").alias("results")
+    )
+    for rows in (keys, end.filter("ts IS NOT NULL")):
+        rows.write.mode("append").parquet(folder)
+        stream = visit_chains(spark.readStream.schema(keys.schema).parquet(folder))
+        _finish(stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-cp").trigger(availableNow=True).start())
+    return spark.read.schema("visit string, searches bigint, misses bigint").parquet(out).filter("visit <> '(end)'")
+
+
+@query
+def stream_recall(spark, d):
+    """Prompts as a stream in two landings: rare-word recall, a link once per session over both."""
+    from ..streaming.capture import recall_prompts
+
+    book, msgs, _ = _book(spark, d)
+    vocab, total = _vocab(msgs)
+    folder, out = _scratch(spark, "prompts"), _scratch(spark, "recalled")
+    for rows in (msgs.filter(c("at") < F.lit(MOMENT)), msgs.filter(c("at") >= F.lit(MOMENT))):
+        rows.write.mode("append").parquet(folder)
+        prompts = spark.readStream.schema(msgs.schema).parquet(folder)
+        _finish(recall_prompts(prompts, lambda: book, vocab, total, out, out + "-cp").trigger(availableNow=True).start())
+    return spark.read.parquet(out).select("msg_id", "session", c("rank").cast("int").alias("rank"), "key")
