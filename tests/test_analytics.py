@@ -68,3 +68,14 @@ def test_skew_helpers_match_plain_operators(spark):
     side = spark.createDataFrame([("hot", 1), ("k1", 2)], "g string, x int")
     for how in ("inner", "left", "left_semi", "left_anti"):
         assert sorted(map(str, salted_join(df, side, ["g"], how).collect())) == sorted(map(str, df.join(side, ["g"], how).collect()))
+
+
+def test_rows_without_time_or_group_keep_their_neighbours(spark):
+    hour = lambda h: dt.datetime(2026, 1, 1, h)
+    rows = [("v", hour(1), 1, "a"), ("v", hour(3), 2, "b"), ("v", None, 3, "c"), (None, hour(2), 4, "d"), (None, None, 5, "e")]
+    df = spark.createDataFrame(rows, "visit string, ts timestamp, event_id int, q string")
+    got = {r.q: (r.prev_q, r.next_q) for r in with_neighbours(df, "visit", "ts", ["ts", "event_id"], "q").collect()}
+    assert got == {"c": (None, "a"), "a": ("c", "b"), "b": ("a", None), "e": (None, "d"), "d": ("e", None)}
+    known = spark.createDataFrame([("v", hour(2), "x"), (None, hour(1), "y")], "visit string, ts timestamp, w string").selectExpr("visit", "ts", "struct(w) AS s")
+    seen = {r.q: r.s and r.s.w for r in last_before(df, known, "visit", "ts", "s").collect()}
+    assert seen == {"a": None, "b": "x", "c": None, "d": "y", "e": None}

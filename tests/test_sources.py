@@ -74,11 +74,12 @@ def test_best_snapshot(spark):
     cases = {"1": [("fxtwitter", "whole https://m.com", False), ("syndication", "some longer text https://m.com https://n.com", False)],
              "2": [("fxtwitter", "x https://t.co/a", False), ("syndication", "x", False)],
              "3": [("fxtwitter", "x https://t.co/a", False), ("syndication", "longer text here with https://t.co/b", True)],
-             "4": [("fxtwitter", "longer than the other", True), ("syndication", "short", True)], "5": [("syndication", "only", True)]}
+             "4": [("fxtwitter", "longer than the other", True), ("syndication", "short", True)], "5": [("syndication", "only", True)],
+             "6": [("mirror", "from elsewhere", False)], "7": [("mirror", "whole https://m.com", False), ("syndication", "cut", True)]}
     rows = [(i, ch, t, tr) for i, xs in cases.items() for ch, t, tr in xs]
     df = spark.createDataFrame(rows, "post_id string, channel string, text string, truncated boolean")
     got = {r.post_id: r.channel for r in posts.best_snapshot(posts.with_completeness(df)).collect()}
-    assert got == {"1": "fxtwitter", "2": "syndication", "3": "syndication", "4": "fxtwitter", "5": "syndication"}
+    assert got == {"1": "fxtwitter", "2": "syndication", "3": "syndication", "4": "fxtwitter", "5": "syndication", "6": "mirror", "7": "mirror"}
 
 
 def test_event_files_and_live_rates(spark, tmp_path):
