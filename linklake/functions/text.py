@@ -71,14 +71,15 @@ def explode_tokens(df: DataFrame, text: str, token: str = "token") -> DataFrame:
     return runs.select(*keep, F.explode(run_tokens(F.col("_run"))).alias(token))
 
 
-def own_words(text: Column, limit: int = 600) -> Column:
-    """What a message says itself: no code, foreign tags, quotes, log lines or links."""
+def own_words(text: Column, limit: int | None = None) -> Column:
+    """What a message says itself: no code, foreign tags, quotes, log lines or links; cut to ``limit`` characters if given."""
     s = F.regexp_replace(text, r"(?s)```.*?```", " ")
     s = F.regexp_replace(s, r"(?is)<(?!pasted_content\b)([a-z_-]+)[^>]*>.*?</\1>", " ")
     lines = F.filter(
         F.split(s, "\n"), lambda l: ~(l.rlike(r"(?U)^\s*>") | l.rlike(rules.CODE_OR_LOG_LINE))
     )
-    return F.left(F.regexp_replace(F.array_join(lines, " "), rules.MESSAGE_LINK, " "), F.lit(limit))
+    own = F.regexp_replace(F.array_join(lines, " "), rules.MESSAGE_LINK, " ")
+    return own if limit is None else F.left(own, F.lit(limit))
 
 
 def memory_words(text: Column) -> Column:

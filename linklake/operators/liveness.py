@@ -17,11 +17,16 @@ from .skew import is_true
 REPO_KEY = r"^github\.com/"
 
 
-def with_liveness(log: DataFrame) -> DataFrame:
-    """Add ``status`` and ``note`` to rows of (code, error, body, mitigated)."""
+def with_liveness(log: DataFrame, looked_at: int | None = None, error_most: int | None = None) -> DataFrame:
+    """Add ``status`` and ``note`` to rows of (code, error, body, mitigated).
+
+    ``looked_at`` bounds the characters of the body searched for a challenge page, ``error_most`` those
+    of an error that are noted; by default both are whole.
+    """
     c = F.col
     code, err = c("code"), c("error")
-    blocked = is_true(F.left(c("body"), F.lit(8000)).rlike(rules.CHALLENGE_PAGE)) | is_true(c("mitigated"))
+    cut = lambda x, most: x if most is None else F.left(x, F.lit(most))
+    blocked = is_true(cut(c("body"), looked_at).rlike(rules.CHALLENGE_PAGE)) | is_true(c("mitigated"))
     ok = code.between(200, 299)
     refusal = code.isin(403, 429, 503)
     status = (
@@ -40,7 +45,7 @@ def with_liveness(log: DataFrame) -> DataFrame:
         .when(err.isNotNull() & err.rlike(rules.ERR_DNS), "dns-failure")
         .when(err.isNotNull() & err.rlike(rules.ERR_REFUSED), "unreachable")
         .when(err.isNotNull() & err.rlike(rules.ERR_TLS), "tls-error")
-        .when(err.isNotNull(), F.left(err, F.lit(120)))
+        .when(err.isNotNull(), cut(err, error_most))
         .when(refusal, F.when(blocked, "bot-challenge").otherwise(F.concat(F.lit("http "), code.cast("string"))))
         .when(code >= 500, F.concat(F.lit("server error "), code.cast("string")))
     )

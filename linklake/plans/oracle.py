@@ -315,7 +315,7 @@ STATUS = """CASE WHEN regexp_matches(error, '(?i)abort|timeout') THEN 'unknown'
  WHEN code BETWEEN 200 AND 299 THEN CASE WHEN challenge THEN 'blocked' ELSE 'alive' END WHEN code IN (403, 429, 503) THEN 'blocked' WHEN code IN (404, 410) THEN 'dead' ELSE 'unknown' END"""
 NOTE = """CASE error WHEN 'timeout' THEN 'timeout' WHEN 'ENOTFOUND' THEN 'dns-failure' WHEN 'ECONNREFUSED' THEN 'unreachable'
  ELSE CASE WHEN code IN (403, 429, 503) THEN CASE WHEN challenge THEN 'bot-challenge' ELSE 'http ' || code END WHEN code >= 500 THEN 'server error ' || code END END"""
-FL = f"""fl0 AS ({FETCH_LOG}), fl1 AS (SELECT *, regexp_matches(left(html, 8000), {q(rules.CHALLENGE_PAGE)}) AS challenge FROM fl0)"""
+FL = f"""fl0 AS ({FETCH_LOG}), fl1 AS (SELECT *, regexp_matches(html, {q(rules.CHALLENGE_PAGE)}) AS challenge FROM fl0)"""
 ORACLE["liveness_verdicts"] = with_(FL) + f"SELECT page_id, {STATUS} AS status, {NOTE} AS note FROM fl1"
 
 
@@ -488,7 +488,7 @@ ORACLE["link_notes"] = with_(BOOK) + "SELECT key, count(*) AS n, arg_max(text, t
 def own_words(text: str) -> str:
     lines = f"string_split(regexp_replace({text}, '(?s)```.*?```', ' ', 'g'), chr(10))"
     return (
-        f"left(regexp_replace(array_to_string(list_filter({lines}, lambda l: NOT regexp_matches(l, '^\\s*>') AND NOT regexp_matches(l, {q(rules.CODE_OR_LOG_LINE)})), ' '), {q(ML)}, ' ', 'g'), 600)"
+        f"regexp_replace(array_to_string(list_filter({lines}, lambda l: NOT regexp_matches(l, '^\\s*>') AND NOT regexp_matches(l, {q(rules.CODE_OR_LOG_LINE)})), ' '), {q(ML)}, ' ', 'g')"
     )
 
 
