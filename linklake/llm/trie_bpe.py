@@ -29,7 +29,7 @@ from .common import map_rows
 from .words import END, Encoded, portions, words_of
 
 NEVER = 1 << 60
-MOST_WORDS = 300_000
+MOST_WORDS, MOST_PIECES = 500_000, 700_000
 
 
 class Merges:
@@ -177,7 +177,7 @@ def coder(path: str) -> Encoded:
                 out.append((b"".join([known[w][0] for w in ws]), b"".join([known[w][1] for w in ws])))
         return out
 
-    held = Encoded(path, encode)
+    held = Encoded(path, encode, most=MOST_PIECES)
     return held
 
 
