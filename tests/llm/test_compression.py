@@ -68,3 +68,28 @@ def test_filter_keeps_all_columns(spark):
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {1, 2, 8, 12, None, 11}
     assert compression.keep_ordinary(no_docs(spark)).collect() == []
+
+
+def test_junk_that_passes_the_base_rule_is_rejected_and_clean_text_stays():
+    """Each quality-0 document of sf0.1 from 4 KB up that passes the base rule goes; no quality-1 document does."""
+    import pandas as pd
+    import zstandard
+
+    docs = pd.read_parquet("/root/testdata/sf0.1/documents.parquet").merge(pd.read_parquet("/root/testdata/sf0.1/labels.parquet"), on="doc_id")
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    found = [dict(zip(compression.NAMES, compression.assess(t, compression.LIMITS, squeeze)), quality=q) for t, q in zip(docs.text, docs.quality)]
+    found = [r for r in found if not r["base_failed"]]
+    junk = [r["kept"] for r in found if not r["quality"] and 4096 <= r["n_bytes"]]
+    assert len(junk) == 65 and not any(junk)
+    assert sum(not r["kept"] for r in found if not r["quality"]) > 120  # 9 with limits that only very repetitive text passes
+    assert all(r["kept"] for r in found if r["quality"])
+
+
+def test_symbols_stuck_to_words_are_rejected():
+    import zstandard
+
+    rng = random.Random(3)
+    clean = prose(900, 6)
+    laden = " ".join(w + rng.choice(("&&&", "%%%", "$$$", "***")) for w in clean.split())
+    kept = [compression.assess(t, compression.LIMITS, zstandard.ZstdCompressor(level=3).compress)[6] for t in (clean, laden)]
+    assert kept == [True, False]
