@@ -2,9 +2,9 @@
 
 Documents are tokenized, those longer than a sequence are cut, and the pieces are dealt into groups of
 bounded size. In a group, pieces go longest first into the fullest bin that takes them. Then a local
-search works on the underfull bins: it moves a document, or exchanges one for one, two for one or one
-for two, from the emptiest bin to a fuller one whenever the fuller one gains, which raises the sum of
-squared fills, until bins are empty. Bins that stay underfull are opened and their pieces packed again,
+search works on the bins with free room: it moves one or two pieces, or exchanges one or two for one or
+two, from the emptiest bin to a fuller one whenever the fuller one gains, which raises the sum of
+squared fills, until no exchange gains or no fewer bins can hold the tokens. Bins that stay underfull are opened and their pieces packed again,
 in fewer groups, until one group is left.
 
 Defined results: a null or empty text is the end token alone. Repeated rows are packed as often as they
@@ -17,7 +17,9 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -29,8 +31,6 @@ from .words import Encoded, library, portions, words_of
 LENGTH = 4096
 END_ID = 1
 GROUP = 20_000  # pieces a task packs at a time
-TRIES = 30_000  # pairs of bins that the local search of a group looks at
-UNDERFULL = 0.99
 OPEN = 0.98  # bins filled less are packed again with those of other groups
 
 
@@ -116,65 +116,130 @@ def best_fit(lengths: list[int], size: int) -> list[list[int]]:
     return bins
 
 
-def _exchange(out: list[int], into: list[int], lengths: list[int], free: int) -> tuple[list[int], list[int]] | None:
-    """The exchange between two bins that adds most to ``into`` without passing its free room: pieces there, pieces back."""
-    best, gain = None, 0
-    ones = sorted(out, key=lambda k: lengths[k])
-    own = [lengths[k] for k in ones]
-    twos = sorted((own[a] + own[b], a, b) for b in range(len(ones)) for a in range(b))
-    sums = [t[0] for t in twos]
-
-    def largest(most: int, backs: list[int]) -> None:
-        nonlocal best, gain
-        less = sum(lengths[k] for k in backs)
-        at = bisect_left(own, most + less + 1) - 1
-        if at >= 0 and own[at] - less > gain:
-            best, gain = ([ones[at]], backs), own[at] - less
-        if len(backs) < 2:
-            at = bisect_left(sums, most + less + 1) - 1
-            if at >= 0 and sums[at] - less > gain:
-                best, gain = ([ones[twos[at][1]], ones[twos[at][2]]], backs), sums[at] - less
-
-    largest(free, [])
-    backs = sorted(into, key=lambda k: lengths[k])
-    for a, y in enumerate(backs):
-        if gain == free:
-            break
-        largest(free, [y])
-        for z in backs[:a]:
-            largest(free, [y, z])
-    return best
+def _sums(held: list[int], lengths: list[int]) -> dict[int, tuple[int, ...]]:
+    """The different sums of one or two pieces of a bin, each with the places of such pieces."""
+    alike: dict[int, list[int]] = {}
+    for k in held:
+        alike.setdefault(lengths[k], []).append(k)
+    found = {n: (some[0],) for n, some in alike.items()}
+    for n, some in alike.items():
+        if len(some) > 1:
+            found.setdefault(2 * n, (some[0], some[1]))
+        for m, others in alike.items():
+            if m < n:
+                found.setdefault(n + m, (some[0], others[0]))
+    return found
+
 
+class _Sums:
+    """Every sum of no, one or two pieces of every bin with free room, in flat arrays.
 
-def local_search(bins: list[list[int]], lengths: list[int], size: int, tries: int = TRIES) -> list[list[int]]:
-    """Raise the sum of squared fills of the underfull bins by exchanges, emptiest bin first.
+    ``least``: the sum; ``reach``: the sum and the bin's free room; ``fill`` and ``bin`` of its bin. The bin takes
+    pieces of t tokens for these if ``least`` < t <= ``reach``. Entries of changed bins die (reach -1) until the next
+    compaction.
+    """
 
-    A bin is underfull below ``UNDERFULL`` of its size; the few tokens free in the others can't empty a bin.
-    A bin that can give nothing away stands aside until some other bin changes. Ends when no bin can
-    give, or after ``tries`` looks at a pair of bins, which only leaves the packing less tight.
+    def __init__(self, size: int) -> None:
+        self.size, self.n, self.dead = size, 0, 0
+        self.least, self.reach, self.fill = (np.zeros(1024, np.int16 if size < 1 << 14 else np.int64) for _ in range(3))
+        self.bin = np.zeros(1024, np.int64)
+        self.at: dict[int, slice] = {}
+
+    def put(self, b: int, fill: int, sums: list[int]) -> None:
+        self.drop(b)
+        if fill in (0, self.size):
+            return
+        while self.n + len(sums) + 1 > len(self.least):
+            for x in ("least", "reach", "fill", "bin"):
+                setattr(self, x, np.concatenate([getattr(self, x), np.zeros_like(getattr(self, x))]))
+        at = slice(self.n, self.n + len(sums) + 1)
+        self.least[at] = [0, *sums]
+        self.reach[at] = self.least[at] + (self.size - fill)
+        self.fill[at], self.bin[at], self.at[b], self.n = fill, b, at, at.stop
+
+    def drop(self, b: int) -> None:
+        if at := self.at.pop(b, None):
+            self.reach[at] = self.fill[at] = self.least[at] = -1
+            self.dead += at.stop - at.start
+            if self.dead > 1000 and 2 * self.dead > self.n:
+                left = np.flatnonzero(self.fill[: self.n] >= 0)
+                for x in ("least", "reach", "fill", "bin"):
+                    getattr(self, x)[: len(left)] = getattr(self, x)[left]
+                self.n, self.dead = len(left), 0
+                starts = np.flatnonzero(np.r_[True, np.diff(self.bin[: self.n]) != 0]).tolist() if self.n else []
+                self.at = {int(self.bin[i]): slice(i, j) for i, j in zip(starts, [*starts[1:], self.n])}
+
+    def takers(self, e: int, fill: int, sums: list[int]) -> tuple[int, int, int] | None:
+        """The exchange of pieces of ``e`` that raises squares most: sum given, bin that takes, sum given back."""
+        least, reach, fills = self.least[: self.n], self.reach[: self.n], self.fill[: self.n]
+        best, most = None, 0
+        fuller = fills >= fill
+        for t in sums:
+            at = np.flatnonzero((least < t) & (reach >= t) & fuller)
+            gain = t - least[at].astype(np.int64)
+            worth = gain * (gain + fills[at] - fill) * (self.bin[at] != e)
+            if len(at) and worth[i := int(worth.argmax())] > most:
+                best, most = (t, int(self.bin[at[i]]), int(least[at[i]])), worth[i]
+        return best
+
+    def givers(self, b: int, fill: int, sums: list[int]) -> tuple[int, int, int] | None:
+        """The exchange into ``b`` that raises squares most: sum given back, bin that gives, sum given."""
+        least, fills, free = self.least[: self.n], self.fill[: self.n], self.size - fill
+        best, most = None, 0
+        emptier = (fills <= fill) & (fills >= 0)
+        for t in (0, *sums):
+            at = np.flatnonzero((least > t) & (least <= t + free) & emptier)
+            gain = least[at].astype(np.int64) - t
+            worth = gain * (gain + fill - fills[at]) * (self.bin[at] != b)
+            if len(at) and worth[i := int(worth.argmax())] > most:
+                best, most = (t, int(self.bin[at[i]]), int(least[at[i]])), worth[i]
+        return best
+
+
+def local_search(bins: list[list[int]], lengths: list[int], size: int) -> list[list[int]]:
+    """Raise the sum of squared fills by exchanges of up to two pieces for up to two, emptiest bin first.
+
+    Ends when no exchange between any two bins gains, or with as few bins as the tokens need, below which no
+    packing gets. Each bin is tried as giver, and a changed bin also as taker, against all others at once.
     """
+    bins = [list(b) for b in bins]
     fill = [sum(lengths[k] for k in b) for b in bins]
-    most = UNDERFULL * size
-    order = sorted((k for k in range(len(bins)) if fill[k] < most), key=lambda k: (fill[k], k))
-    stuck: set[int] = set()
-    while tries > 0 and (e := next((k for k in order if k not in stuck), None)) is not None:
-        changed = []
-        for b in reversed(order):
-            if b == e or fill[b] < fill[e] or not bins[e]:
-                break
-            tries -= 1
-            if found := _exchange(bins[e], bins[b], lengths, size - fill[b]):
-                there, back = found
-                bins[e] = [k for k in bins[e] if k not in there] + back
-                bins[b] = [k for k in bins[b] if k not in back] + there
-                for x in (e, b):  # the fuller bin gains, so the sum of squares grows
-                    fill[x] = sum(lengths[k] for k in bins[x])
-                changed.append(b)
-        if changed and bins[e]:
-            stuck.clear()
+    spare = sum(f > 0 for f in fill) - -(-sum(fill) // size)
+    if spare <= 0:
+        return [b for b in bins if b]
+    index = _Sums(size)
+    sums: dict[int, dict[int, tuple[int, ...]]] = {}
+
+    def enter(b: int) -> None:
+        sums[b] = _sums(bins[b], lengths) if 0 < fill[b] < size else {}
+        index.put(b, fill[b], list(sums[b]))
+
+    for b in range(len(bins)):
+        enter(b)
+    waiting = [(fill[b], b, False) for b in range(len(bins)) if sums[b]]
+    heapify(waiting)
+    while waiting and spare > 0:
+        was, x, changed = heappop(waiting)
+        if was != fill[x] or not sums[x]:  # it has changed since, and waits again
+            continue
+        if found := index.takers(x, fill[x], list(sums[x])):
+            given, b, back = found
+            e = x
+        elif changed and (found := index.givers(x, fill[x], list(sums[x]))):
+            back, e, given = found
+            b = x
         else:
-            stuck.add(e)
-        order = sorted((k for k in order if bins[k] and fill[k] < most), key=lambda k: (fill[k], k))
+            continue
+        there, home = sums[e][given], sums[b].get(back, ()) if back else ()
+        bins[e] = [k for k in bins[e] if k not in there] + list(home)
+        bins[b] = [k for k in bins[b] if k not in home] + list(there)
+        fill[e] -= given - back
+        fill[b] += given - back
+        spare -= not bins[e]
+        for y in (e, b):
+            enter(y)
+            if sums[y]:
+                heappush(waiting, (fill[y], y, True))
     return [b for b in bins if b]
 
 

@@ -2,6 +2,7 @@ import random
 import zlib
 from array import array
 from collections import Counter, defaultdict
+from itertools import combinations, permutations
 
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -82,3 +83,37 @@ def test_search_never_lowers_squared_fill():
         assert square(found) >= square(start) and len(found) <= len(start)
         assert sorted(k for b in found for k in b) == list(range(60))
         assert all(sum(lengths[k] for k in b) <= 100 for b in found)
+
+
+def long_lengths(n):
+    rng, lengths = random.Random(1), []
+    while len(lengths) < n:
+        x = int(900 + rng.expovariate(1 / 780))
+        if x <= 4000:
+            lengths.append(x)
+    return lengths
+
+
+def test_long_documents_are_searched_to_the_end():
+    # best fit needs 2,498 sequences and a search cut after 30,000 looks hardly fewer; the lower bound is 2,378
+    lengths = long_lengths(6000)
+    found = packing.packed(lengths)
+    assert sorted(k for b in found for k in b) == list(range(6000))
+    assert all(sum(lengths[k] for k in b) <= 4096 for b in found)
+    assert len(found) <= 2420
+
+
+def test_no_exchange_is_left_that_gains():
+    def sums(held, lengths):
+        return {sum(lengths[k] for k in some) for n in (0, 1, 2) for some in combinations(held, n)}
+
+    rng = random.Random(5)
+    for _ in range(20):
+        lengths = [rng.randint(20, 70) for _ in range(80)]
+        found = packing.local_search(packing.best_fit(lengths, 100), lengths, 100)
+        if len(found) == -(-sum(lengths) // 100):
+            continue
+        fills = [sum(lengths[k] for k in b) for b in found]
+        for e, b in permutations(range(len(found)), 2):
+            if fills[b] >= fills[e]:
+                assert not any(0 < t - y <= 100 - fills[b] for t in sums(found[e], lengths) for y in sums(found[b], lengths))
