@@ -7,9 +7,10 @@ seen there (Witten-Bell). A URL's score is the logarithm of the ratio of its cha
 divided by its length. The threshold is the one that tells accepted from rejected URLs best
 on the fifth of the ruled URLs that the models don't see. URLs without a rule are allowed at or above it.
 
-Characters are folded into 32 symbols, so either model has 32^4 = 1,048,576 chances whatever the input. Counts
-come from one aggregation over all ruled URLs. The table of ratios has so many rows at any size of input and is
-broadcast; a URL's grams are looked up and summed where the URL was read.
+Characters are Unicode code points as they stand, case, digits and marks included. One aggregation counts the grams
+of all URLs, with none for those that don't train; the ratios of these grams are a table that grows with the corpus.
+A URL's grams meet it in an ordinary join, and are summed by URL. A gram that neither model saw gets what the shorter
+grams give.
 
 Defined results: a null URL or one without "://" has an empty host and path and no rule; a null or empty URL scores 0.
 Without accepted or without rejected URLs the ratio is what the other model and uniform chances give, and the
@@ -25,11 +26,11 @@ from .common import cut_lineage
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# symbol 1..26 letters, 27 digit, 28 slash, 29 dot, 30 dash, 31 query and fragment marks, 0 all else and the start
-ALPHABET = LOWER + "0/.-?"
-FOLD_FROM, FOLD_TO = UPPER + "123456789" + "&=#", LOWER + "000000000" + "???"
-BITS, ORDER = 5, 3
-SIZE = 1 << BITS
+# Nothing is folded. The tests' brute force numbers the characters of its ASCII URLs by these three.
+ALPHABET = "".join(map(chr, range(33, 127)))
+FOLD_FROM = FOLD_TO = ""
+ORDER = 3
+SIZE = 32  # a character that a model never saw has the chance 1 / SIZE in both, before smoothing
 STEP = 0.01  # width of a score class in calibration
 SPAN = 1000  # score classes on either side of zero
 
@@ -52,68 +53,58 @@ def ruling(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def symbols(url: str) -> Column:
-    """The URL's characters as symbols 0 to 31."""
-    folded = F.translate(F.coalesce(F.col(url), F.lit("")), FOLD_FROM, FOLD_TO)
-    letters = F.filter(F.split(folded, ""), lambda ch: ch != "")
-    return F.transform(letters, lambda ch: F.instr(F.lit(ALPHABET), ch))
-
-
-def ratios(ruled: DataFrame) -> DataFrame:
-    """(gram, ratio): log ratio of the two models' chances, for all 32^4 grams. ``ruled``: (codes, accepted)."""
-    each = ruled.select("accepted", F.explode(_windows("codes")).alias("gram"))
-    counted = each.groupBy("gram").agg(
-        F.sum(F.when(F.col("accepted"), 1).otherwise(0)).alias("n_yes"), F.sum(F.when(F.col("accepted"), 0).otherwise(1)).alias("n_no")
-    )
+    """The URL's characters."""
+    return F.filter(F.split(F.coalesce(F.col(url), F.lit("")), ""), lambda ch: ch != "")
+
+
+def ratios(rows: DataFrame) -> DataFrame:
+    """(gram, ratio): log ratio of the two models' chances for every gram of ``rows``.
+
+    ``rows``: (codes, accepted); a row whose ``accepted`` is null trains neither model.
+    """
+    each = rows.select("accepted", F.explode(_windows("codes")).alias("gram"))
+    counted = each.groupBy("gram").agg(F.count_if("accepted").alias("n_yes"), F.count_if(~F.col("accepted")).alias("n_no"))
     counted = cut_lineage(counted)
-    spark = ruled.sparkSession
-    chances = spark.range(1).select(F.lit(0).cast("int").alias("gram"), F.lit(1 / SIZE).alias("p_yes"), F.lit(1 / SIZE).alias("p_no"))
+    chances = None
     for order in range(ORDER + 1):
-        size = SIZE ** (order + 1)
-        some = counted.groupBy((F.col("gram") % size).alias("gram")).agg(F.sum("n_yes").alias("n_yes"), F.sum("n_no").alias("n_no"))
-        before = F.shiftright("gram", BITS).alias("before")
-        seen = some.groupBy(before).agg(
-            *[F.sum(f"n_{s}").alias(f"all_{s}") for s in ("yes", "no")], *[F.sum((F.col(f"n_{s}") > 0).cast("long")).alias(f"kinds_{s}") for s in ("yes", "no")]
+        # the last order + 1 characters; their predecessors; the shorter gram drops the farthest of these
+        some = counted.groupBy(F.slice("gram", ORDER + 1 - order, order + 1).alias("gram")).agg(F.sum("n_yes").alias("n_yes"), F.sum("n_no").alias("n_no"))
+        some = some.withColumn("before", F.slice("gram", 1, order)).withColumn("rest", F.slice("gram", 2, order))
+        seen = some.groupBy("before").agg(
+            *[F.sum(f"n_{s}").alias(f"all_{s}") for s in ("yes", "no")], *[F.count_if(F.col(f"n_{s}") > 0).alias(f"kinds_{s}") for s in ("yes", "no")]
         )
-        full = spark.range(size).select(F.col("id").cast("int").alias("gram")).withColumn("before", before)
-        shorter = chances.select(F.col("gram").alias("rest"), F.col("p_yes").alias("q_yes"), F.col("p_no").alias("q_no"))
-        # the shorter gram drops the farthest predecessor; at the least order it is the one uniform chance
-        full = full.withColumn("rest", F.col("gram") % (SIZE**order) if order else F.lit(0))
-        met = full.join(some, "gram", "left").join(seen, "before", "left").join(shorter, "rest")
+        met = some.join(seen, "before")
+        if chances is None:
+            met = met.withColumns({f"q_{s}": F.lit(1 / SIZE) for s in ("yes", "no")})
+        else:
+            met = met.join(chances.select(F.col("gram").alias("rest"), F.col("p_yes").alias("q_yes"), F.col("p_no").alias("q_no")), "rest")
         new = {}
         for s in ("yes", "no"):
-            n, whole, kinds = (F.coalesce(f"{k}_{s}", F.lit(0)) for k in ("n", "all", "kinds"))
-            new[f"p_{s}"] = F.when(whole == 0, F.col(f"q_{s}")).otherwise((n + kinds * F.col(f"q_{s}")) / (whole + kinds))
+            n, whole, kinds, shorter = (F.col(f"{k}_{s}") for k in ("n", "all", "kinds", "q"))
+            new[f"p_{s}"] = F.when(whole == 0, shorter).otherwise((n + kinds * shorter) / (whole + kinds))
         chances = met.select("gram", *[v.alias(k) for k, v in new.items()])
     return chances.select("gram", F.log(F.col("p_yes") / F.col("p_no")).cast("float").alias("ratio"))
 
 
 def _windows(codes: str) -> Column:
-    """All grams of an array of symbols, by position: no state, so long URLs take linear time."""
-    padded = F.concat(F.array_repeat(F.lit(0), ORDER), F.col(codes))
+    """All grams of an array of characters, by position: no state, so long URLs take linear time. The start is the empty text."""
+    padded = F.concat(F.array_repeat(F.lit(""), ORDER), F.col(codes))
     n = F.size(codes)
     places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-
-    def gram(i: Column) -> Column:
-        out = F.element_at(padded, i)
-        for k in range(1, ORDER + 1):
-            out = F.shiftleft(out, BITS) + F.element_at(padded, i + k)
-        return out
-
-    return F.transform(places, gram)
+    return F.transform(places, lambda i: F.array(*[F.element_at(padded, i + k) for k in range(ORDER + 1)]))
 
 
 def scored(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """Add ``score``, the mean log ratio of the grams of ``codes``, and drop ``codes``.
+    """Add ``score``, the mean log ratio of the grams of ``codes``, and drop ``codes`` and ``_row``.
 
-    The table of ratios has 32^4 rows whatever the input, so it may be broadcast. A row's grams never
-    leave their task apart: they are summed there, and one sum a row is shuffled.
+    ``rows`` have a number ``_row`` of their own and are written already. Only the numbers and grams meet the table,
+    whose common grams Spark splits.
     """
-    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
-    kept = [c for c in numbered.columns if c != "codes"]
-    each = numbered.select(*kept, F.explode_outer(_windows("codes")).alias("gram"))
-    met = each.join(F.broadcast(table), "gram", "left")
-    mean = F.coalesce(F.avg(F.col("ratio").cast("decimal(20,9)")).cast("double"), F.lit(0.0))
-    return met.groupBy(*kept).agg(mean.alias("score")).drop("_row")
+    each = rows.select("_row", F.explode(_windows("codes")).alias("gram"))
+    mean = F.avg(F.col("ratio").cast("decimal(20,9)")).cast("double")
+    means = each.join(table, "gram").groupBy("_row").agg(mean.alias("score"))
+    found = rows.drop("codes").join(means, "_row", "left")
+    return found.withColumn("score", F.coalesce("score", F.lit(0.0))).drop("_row")
 
 
 def threshold(scored: DataFrame) -> DataFrame:
@@ -142,8 +133,9 @@ def judged(pages: DataFrame, rules=RULES, page_id: str = "page_id", url: str = "
     rows = rows.withColumn("ruling", ruling(F.col("host"), F.col("path"), rules))
     part = F.crc32(F.coalesce("url", F.lit("")).cast("binary")) % 5
     rows = rows.select("page_id", "host", "path", "ruling", (part == 0).alias("calibrates"), symbols("url").alias("codes"))
-    ruled = rows.filter("ruling IS NOT NULL AND NOT calibrates")
-    table = cut_lineage(ratios(ruled.select("codes", (F.col("ruling.verdict") == "allow").alias("accepted"))))
+    rows = cut_lineage(rows.withColumn("_row", F.monotonically_increasing_id()))
+    trains = F.when(~F.col("calibrates"), F.col("ruling.verdict") == "allow")  # null without a ruling, too
+    table = cut_lineage(ratios(rows.select("codes", trains.alias("accepted"))))
     found = cut_lineage(scored(rows, table))
     held_out = found.filter("ruling IS NOT NULL AND calibrates").select("score", (F.col("ruling.verdict") == "allow").alias("accepted"))
     least = cut_lineage(threshold(held_out)).scalar()

@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from linklake.llm import url_markov as U
 
@@ -101,3 +102,15 @@ def test_no_pages(spark):
 def test_plan_is_native(spark, data):
     plan = U.judged(spark.read.parquet(f"{data}/pages.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|BroadcastNestedLoop|Cartesian", plan)
+
+
+def test_characters_are_told_apart(spark):
+    ruled = ["http://a.example.org/en/1%d" % i for i in range(30)] + ["http://a.example.org/en/2%d" % i for i in range(30)]
+    free = ["http://b.net/en/1x", "http://b.net/en/2x", "http://b.net/EN/2x", "http://b.net/日本", "http://b.net/日月", "http://b.net/%41", "http://b.net/_:1", "http://b.net/😀"]
+    pages = spark.createDataFrame(list(enumerate([*ruled, *free])), "page_id long, url string")
+    got = {r.page_id: r for r in U.judged(pages).collect()}
+    one, two, upper = (got[len(ruled) + k].score for k in range(3))
+    assert len(got) == len(ruled) + len(free) and one < two and upper != two
+    rows = pages.select(U.symbols("url").alias("codes"), F.lit(True).alias("accepted"))
+    grams = {"".join(r.gram) for r in U.ratios(rows).collect()}
+    assert grams == {u[max(0, i - 3) : i + 1] for u in [*ruled, *free] for i in range(len(u))}
