@@ -12,7 +12,7 @@ from .skew import is_true, last_before, salted_join, with_neighbours
 
 RARE_LINKS = 5
 MIN_SCORE = 10.0
-RECENT_LIMIT = 300
+RECENT_LIMIT = 300  # UTF-16 units of a message in live recent recall; the replay has no limit
 RECENT_DAYS = 7
 
 
@@ -151,17 +151,18 @@ def remark_trail(book: LinkBook) -> DataFrame:
 
 def recent_candidates(
     messages: DataFrame, book: LinkBook, vocab: DataFrame, total: DataFrame, days: int = RECENT_DAYS, skip: bool = True,
-    picks: DataFrame | None = None,
+    picks: DataFrame | None = None, longest: int | None = None,
 ) -> DataFrame:
     """``msg_id, at, session, term, key, thing, in_title, last_at`` of links handed over lately.
 
     Words meet links on (term, day): a link takes part only on days it was handed over and the
     ``days`` after. The exact time and session test is an as-of lookup of the link's last remark,
-    so messages are never paired with single remarks.
+    so messages are never paired with single remarks. Messages of more than ``longest`` UTF-16 units are
+    left out if it is set.
     """
     c = F.col
-    short = messages.filter((utf16_length(c("text")) <= RECENT_LIMIT))
-    asked = weighted_terms(short, vocab, total).filter("total > 0 AND n <= total / 50").select("msg_id", "at", "session", "term")
+    heard = messages if longest is None else messages.filter(utf16_length(c("text")) <= longest)
+    asked = weighted_terms(heard, vocab, total).filter("total > 0 AND n <= total / 50").select("msg_id", "at", "session", "term")
     asked = asked.filter(~(c("term").rlike("[一-鿿]") & c("term").rlike(rules.FUNCTION_CHARS))).withColumn("day", F.to_date("at"))
     active = book.said.select("key", F.to_date("at").alias("d")).distinct()
     active = active.select("key", F.explode(F.sequence(c("d"), F.date_add("d", days))).alias("day")).distinct()
@@ -196,8 +197,10 @@ def rank_recent(candidates: DataFrame, limit: int = 3) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(newest)).filter(c("rank") <= limit)
 
 
-def recall_recent(messages: DataFrame, book: LinkBook, vocab: DataFrame, total: DataFrame, limit: int = 3, **kw) -> DataFrame:
-    return rank_recent(recent_candidates(messages, book, vocab, total, **kw), limit)
+def recall_recent(
+    messages: DataFrame, book: LinkBook, vocab: DataFrame, total: DataFrame, limit: int = 3, longest: int | None = RECENT_LIMIT, **kw
+) -> DataFrame:
+    return rank_recent(recent_candidates(messages, book, vocab, total, longest=longest, **kw), limit)
 
 
 def route_prompts(
