@@ -8,12 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, cosine_lsh, gru_toxicity, mil_quality, packing, simhash, token_count, trie_bpe, url_markov, warc
+from . import (
+    byte_bpe, compression, cosine_lsh, gru_toxicity, mil_quality, packing, simhash, spelling, token_count, trie_bpe, url_markov, warc,
+)
 from .common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}  # SQL can express none of these; the tests hold them against brute force
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -83,3 +86,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_markov.judged(table(spark, sf_dir, "pages"))
+
+
+@query
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, ["doc_id"])
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.counts(table(spark, sf_dir, "documents")))
