@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    byte_bpe, compression, cosine_lsh, gru_toxicity, mil_quality, packing, simhash, spelling, token_count, trie_bpe, url_markov, warc,
+    byte_bpe, compression, cosine_lsh, gru_toxicity, mil_quality, packing, prefix_trie, simhash, spelling, token_count, trie_bpe, url_markov, warc,
 )
 from .common import crc_mod, table
 
@@ -88,6 +88,11 @@ def op10_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_markov.judged(table(spark, sf_dir, "pages"))
 
 
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.digested(table(spark, sf_dir, "conversations"))
+
+
 @query
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, ["doc_id"])
