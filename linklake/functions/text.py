@@ -15,6 +15,11 @@ def utf16_length(c: Column) -> Column:
     return F.length(c) + astral
 
 
+def shortened(c: Column, length: int | None) -> Column:
+    """The first ``length`` characters, or the whole text where no length is given."""
+    return c if length is None else F.left(c, F.lit(length))
+
+
 def fold_space(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
@@ -28,14 +33,19 @@ def clean_label(c: Column) -> Column:
 
 
 def stem(t: Column) -> Column:
-    """Fold plain English suffixes; the first rule that applies wins."""
+    """Fold plain English suffixes; the first rule that applies wins.
+
+    Most tokens end in none of them, which is seen without a regular expression.
+    """
     n = F.length(t)
     cut = lambda k: F.substring(t, F.lit(1), n - k)
+    may_fold = t.endswith("s") | t.endswith("ing") | t.endswith("ed")
     return (
-        F.when((n < 4) | t.rlike("[^a-z0-9]"), t)
-        .when(t.rlike("[^aeiou]ies$"), F.concat(cut(3), F.lit("y")))
-        .when(t.rlike("(sses|shes|ches|xes)$"), cut(2))
-        .when(t.rlike("[^s]s$"), cut(1))
+        F.when((n < 4) | ~may_fold, t)
+        .when(t.rlike("[^a-z0-9]"), t)
+        .when(t.endswith("ies") & t.rlike("[^aeiou]ies$"), F.concat(cut(3), F.lit("y")))
+        .when(t.endswith("es") & t.rlike("(sses|shes|ches|xes)$"), cut(2))
+        .when(t.endswith("s") & ~t.endswith("ss"), cut(1))
         .when((n > 5) & t.endswith("ing"), cut(3))
         .when((n > 5) & t.endswith("ed"), cut(2))
         .otherwise(t)
@@ -57,9 +67,12 @@ def run_tokens(run: Column) -> Column:
         _bigrams(run),
         F.when(n <= 4, F.array(run)).otherwise(F.array().cast("array<string>")),
     )
-    parts = F.filter(F.split(run, "[.+#_-]"), lambda p: (F.length(p) > 2) & (p != run))
-    latin = F.concat(F.array(run), F.filter(F.array(stem(run)), lambda s: s != run), parts)
-    return F.when(run.rlike(rules.CJK_LETTER), cjk).otherwise(latin)
+    none = F.array().cast("array<string>")
+    joined = F.length(F.translate(run, ".+#_-", "")) < n
+    parts = F.when(joined, F.filter(F.split(run, "[.+#_-]"), lambda p: (F.length(p) > 2) & (p != run))).otherwise(none)
+    stemmed = stem(run)
+    latin = F.concat(F.array(run), F.when(stemmed != run, F.array(stemmed)).otherwise(none), parts)
+    return F.when((F.octet_length(run) > n) & run.rlike(rules.CJK_LETTER), cjk).otherwise(latin)
 
 
 def explode_tokens(df: DataFrame, text: str, token: str = "token") -> DataFrame:

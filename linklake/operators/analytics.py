@@ -8,11 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
+from ..functions.text import shortened
 from ..sources import schemas
 from .skew import is_true, with_neighbours
 
-VALUE_CAP = 80
-
 
 def _param(name: str, args: str = "args") -> Column:
     """First value of a query-string field, form-decoded; empty when absent."""
@@ -133,9 +132,11 @@ def not_opted_out(visits: DataFrame) -> DataFrame:
     return visits.filter(~F.greatest(*[F.coalesce(F.col(s), F.lit(True)) for s in signals]))
 
 
-def visit_records(pageviews: DataFrame) -> DataFrame:
+def visit_records(pageviews: DataFrame, longest: int | None = None, language: int | None = None) -> DataFrame:
     """First summary of each visit as the fields that are sent: zero and blank ones are left out.
 
+    Texts are cut to ``longest`` characters and the language to ``language``, if given.
+
     Input: ``visit, ts, searches, misses, opens, facets, copied, referrer, own_host, width, language``.
     """
     c = F.col
@@ -144,19 +145,19 @@ def visit_records(pageviews: DataFrame) -> DataFrame:
         F.min_by(F.struct(*[x for x in pageviews.columns if x != "visit"]), "ts").alias("v")
     ).select("visit", "v.*")
     nonzero = lambda x: F.when(c(x) != 0, c(x))
-    cut = lambda x: F.when(x != "", F.left(x, F.lit(VALUE_CAP)))
+    cut = lambda x: F.when(x != "", shortened(x, longest))
     return first.select(
         "visit", nonzero("searches").alias("n"), nonzero("misses").alias("m"), nonzero("opens").alias("o"),
         nonzero("facets").alias("f"), F.when(c("copied"), 1).alias("c"), cut(F.when(host != c("own_host"), host)).alias("ref"),
         F.when(c("width") < 560, "sm").when(c("width") < 1000, "md").otherwise("lg").alias("w"),
-        cut(F.left(F.coalesce("language", F.lit("")), F.lit(5))).alias("l"),
+        cut(shortened(F.coalesce("language", F.lit("")), language)).alias("l"),
     )
 
 
-def encode_event(kind: str, fields: dict[str, Column]) -> Column:
+def encode_event(kind: str, fields: dict[str, Column], longest: int | None = None) -> Column:
     """The query string one event is logged as."""
     parts = [F.lit("e=" + kind)]
     for name, value in fields.items():
         text = value.cast("string")
-        parts.append(F.when((text != "") & (text != "0"), F.concat(F.lit(name + "="), F.url_encode(F.left(text, F.lit(VALUE_CAP))))))
+        parts.append(F.when((text != "") & (text != "0"), F.concat(F.lit(name + "="), F.url_encode(shortened(text, longest)))))
     return F.concat_ws("&", *parts)

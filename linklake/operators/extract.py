@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import urls
-from ..functions.text import clean_label, trim_space, utf16_length
+from ..functions.text import clean_label, shortened, trim_space, utf16_length
 from .skew import is_true
 
 UNEXPANDED = r"^https://t\.co/"
@@ -65,7 +65,7 @@ def _lines(posts: DataFrame, id_col: str, text: str) -> DataFrame:
     return posts.select(id_col, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n")).alias("n", "line"))
 
 
-def extract_resources(posts: DataFrame, id_col: str = "post_id", text: str = "text", max_note: int = 200) -> DataFrame:
+def extract_resources(posts: DataFrame, id_col: str = "post_id", text: str = "text", max_note: int | None = None) -> DataFrame:
     """``post, pos, url, name, note, section`` rows in the order the author listed them."""
     c = F.col
     post = Window.partitionBy(id_col).orderBy("n")
@@ -135,7 +135,7 @@ def extract_resources(posts: DataFrame, id_col: str = "post_id", text: str = "te
     pos = F.struct(c("n"), c("k"))
     found = found.select(
         id_col, pos.alias("pos"), c("u_url").alias("url"), urls.blank_to_null(c("name")).alias("name"),
-        urls.blank_to_null(F.left("note", F.lit(max_note))).alias("note"), "section",
+        urls.blank_to_null(shortened(c("note"), max_note)).alias("note"), "section",
     )
     # A heading over a single link is a misread name; this comes before duplicates are dropped.
     covered = F.count("*").over(Window.partitionBy(id_col, "section"))
@@ -149,7 +149,7 @@ def extract_resources(posts: DataFrame, id_col: str = "post_id", text: str = "te
     return rich.select(id_col, "pos", "url", "b.name", "b.note", "b.section")
 
 
-def post_context(posts: DataFrame, id_col: str = "post_id", text: str = "text", limit: int = 240) -> DataFrame:
+def post_context(posts: DataFrame, id_col: str = "post_id", text: str = "text", limit: int | None = None) -> DataFrame:
     """The prose above the first link of each post (row-local: the text is cut at that link's line)."""
     c = F.col
     lines = F.split(F.coalesce(c(text), F.lit("")), r"\r?\n")
@@ -157,16 +157,18 @@ def post_context(posts: DataFrame, id_col: str = "post_id", text: str = "text",
     upto = F.array_position(linked, True)
     lead = F.when(upto > 0, F.slice(lines, F.lit(1), (upto - 1).cast("int"))).otherwise(lines)
     kept = F.filter(F.transform(lead, trim_space), lambda l: l != "")
-    return posts.select(id_col, urls.blank_to_null(F.left(F.array_join(kept, " "), F.lit(limit))).alias("context"))
+    return posts.select(id_col, urls.blank_to_null(shortened(F.array_join(kept, " "), limit)).alias("context"))
 
 
-def leads_in(posts: DataFrame, id_col: str = "post_id", text: str = "text") -> DataFrame:
-    """Names in numbered lines that hold no link, for a person to resolve."""
+def leads_in(posts: DataFrame, id_col: str = "post_id", text: str = "text", longest: int | None = None) -> DataFrame:
+    """Names in numbered lines that hold no link, for a person to resolve; those over ``longest`` UTF-16 units are left out if it is given."""
     c = F.col
     listed = _lines(posts, id_col, text).filter(c("line").rlike(rules.ORDINAL) & ~c("line").rlike(rules.POST_LINK))
     body = trim_space(F.regexp_replace("line", rules.ORDINAL, ""))
     named = listed.withColumn("name", clean_label(F.split(body, rules.LEAD_STOP, 2)[0]))
-    named = named.filter((c("name") != "") & (utf16_length(c("name")) <= 40))
+    named = named.filter(c("name") != "")
+    if longest is not None:
+        named = named.filter(utf16_length(c("name")) <= longest)
     return named.groupBy(id_col, "name").agg(F.min("n").alias("pos"))
 
 

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import urls
 from ..functions.privacy import with_privacy
-from ..functions.text import fold_space, is_relayed, memory_words, own_words, utf16_length
+from ..functions.text import fold_space, is_relayed, memory_words, own_words, shortened, utf16_length
 from .screening import drop_ignored
-from .search import Index, build_index, expand_queries, score, top_k
+from .search import Index, best_scores, build_index, expand_queries, top_k
 from .skew import is_true, salted_join
 
 REACH = 100
@@ -185,7 +185,7 @@ def newest_links(book: LinkBook, limit: int = 20) -> DataFrame:
     return book.links.orderBy(F.desc("first_seen"), "key").limit(limit)
 
 
-def describe_links(book: LinkBook, limit: int = 90) -> DataFrame:
+def describe_links(book: LinkBook, limit: int | None = None) -> DataFrame:
     """One line per link: day, what it is, the best remark, the last conclusion, the last project."""
     c = F.col
     order = F.struct("at", "ord")
@@ -203,8 +203,8 @@ def describe_links(book: LinkBook, limit: int = 90) -> DataFrame:
     what = F.coalesce(urls.blank_to_null(c("title")), urls.blank_to_null(c("text")), F.lit(""))
     return out.select(
         "key", "url", F.date_format("first_seen", "yyyy-MM-dd").alias("day"),
-        F.left(F.regexp_replace(what, r"(?U)\s+", " "), F.lit(limit)).alias("what"),
-        F.left(F.coalesce("short", "any", F.lit("")), F.lit(limit)).alias("said"),
+        shortened(F.regexp_replace(what, r"(?U)\s+", " "), limit).alias("what"),
+        shortened(F.coalesce("short", "any", F.lit("")), limit).alias("said"),
         F.coalesce("note", F.lit("")).alias("note"), "project",
     )
 
@@ -231,7 +231,7 @@ def book_fields(book: LinkBook) -> DataFrame:
 def find_links(book: LinkBook, queries: DataFrame, k: int = 8, index: Index | None = None) -> DataFrame:
     """Explicit search of the book: ranked, not gated. ``query_id, doc, score, rank``."""
     index = index or build_index(book_fields(book), book.links.agg(F.count("*").alias("n")))
-    return top_k(score(index, expand_queries(queries)), k)
+    return top_k(best_scores(index, expand_queries(queries), k), k)
 
 
 # --- enrichment --------------------------------------------------------------------------
@@ -245,7 +245,10 @@ def enrich_due(book: LinkBook, as_of: datetime, everything: bool = False) -> Dat
     return book.links.filter(due).select("key", "url", "enriched_at", "enrich_error")
 
 
-def enrichment(book: LinkBook, posts: DataFrame, repos: DataFrame, pages: DataFrame, as_of: datetime) -> DataFrame:
+def enrichment(
+    book: LinkBook, posts: DataFrame, repos: DataFrame, pages: DataFrame, as_of: datetime,
+    title_length: int | None = None, text_length: int | None = None,
+) -> DataFrame:
     """What each link is, by kind: the post's words, the repository's facts, or the page's title.
 
     ``posts`` are best snapshots by ``post_id``; ``repos`` and ``pages`` are verdict rows by link key.
@@ -262,13 +265,11 @@ def enrichment(book: LinkBook, posts: DataFrame, repos: DataFrame, pages: DataFr
     )
     media = F.when(F.size("p.media") > 0, F.array_distinct("p.media"))
     post_title = F.coalesce(
-        urls.blank_to_null(c("p.article.title")), urls.blank_to_null(F.left(head, F.lit(120))),
-        F.when(F.array_contains(media, "video"), F.concat(F.lit("@"), c("p.author"), F.lit(" 的视频帖"))),
-    )
-    post_text = F.left(
-        F.concat_ws("\n", urls.blank_to_null(c("p.article.title")), urls.blank_to_null(c("p.article.preview")), urls.blank_to_null(words)),
-        F.lit(2000),
+        urls.blank_to_null(c("p.article.title")), urls.blank_to_null(shortened(head, title_length)),
+        F.when(F.array_contains(media, "video"), F.concat(F.lit("@"), c("p.author"), F.lit(rules.VIDEO_POST))),
     )
+    parts = [urls.blank_to_null(c("p.article.title")), urls.blank_to_null(c("p.article.preview")), urls.blank_to_null(words)]
+    post_text = shortened(F.concat_ws("\n", *parts), text_length)
     p = posts.select("post_id", F.struct(*[x for x in posts.columns if x != "post_id"]).alias("p"))
     r = repos.select("key", F.struct("status", "page_title", "description", "github").alias("r"))
     g = pages.select("key", F.struct("status", "page_title", "og_title", "description").alias("g"))

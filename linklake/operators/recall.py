@@ -12,7 +12,6 @@ from .skew import is_true, last_before, salted_join, with_neighbours
 
 RARE_LINKS = 5
 MIN_SCORE = 10.0
-RECENT_LIMIT = 300  # UTF-16 units of a message in live recent recall; the replay has no limit
 RECENT_DAYS = 7
 
 
@@ -20,32 +19,41 @@ def asks_about_past(text: Column) -> Column:
     return is_true(text.rlike(rules.ASKS_ABOUT_PAST))
 
 
-def link_terms(book: LinkBook) -> DataFrame:
-    """``key, term, own_at, body_at, title_at``: from when each word identifies a link.
+def link_words(said: DataFrame, notes: DataFrame, links: DataFrame) -> DataFrame:
+    """``key, term, own_at, body_at, title_at``: the earliest time at which a text holds each word, by kind of text.
 
     Titles, topics, notes and short remarks are a link's own words; its text and long remarks are
-    body words. A link exists from its first remark, so nothing of it is available earlier.
+    body words. Titles and texts have no time and count from the beginning.
     """
     c = F.col
-    born = book.said.groupBy("key").agg(F.min("at").alias("born"))
     short = utf16_length(c("text")) <= SHORT_REMARK
-    said = book.said.select("key", c("text"), c("at"), F.when(short, "own").otherwise("body").alias("part"))
-    notes = book.notes.select("key", "text", "at", F.lit("own").alias("part"))
+    said = said.select("key", c("text"), c("at"), F.when(short, "own").otherwise("body").alias("part"))
+    notes = notes.select("key", "text", "at", F.lit("own").alias("part"))
     long_form = F.array(
         F.struct(F.lit("title").alias("part"), F.concat_ws(" ", "title", F.array_join(F.coalesce("topics", F.array().cast("array<string>")), " ")).alias("text")),
         F.struct(F.lit("body").alias("part"), c("text").alias("text")),
     )
-    head = book.links.select("key", F.explode(long_form).alias("f")).select(
+    head = links.select("key", F.explode(long_form).alias("f")).select(
         "key", "f.text", F.lit(None).cast("timestamp").alias("at"), "f.part"
     )
     texts = said.unionByName(notes).unionByName(head).filter("text <> ''").dropDuplicates(["key", "text", "part", "at"])
     words = texts.select("key", "at", "part", F.explode(memory_words(c("text"))).alias("term"))
     when = lambda *parts: F.min(F.when(c("part").isin(*parts), F.coalesce(c("at"), F.lit("1970-01-01").cast("timestamp"))))
-    agg = words.groupBy("key", "term").agg(
+    return words.groupBy("key", "term").agg(
         when("own", "title").alias("own_at"), when("body").alias("body_at"), when("title").alias("title_at")
     )
-    live = lambda x: F.when(c(x).isNotNull(), F.greatest(x, "born")).alias(x)
-    return salted_join(agg, born, ["key"], spread=["term"]).select("key", "term", live("own_at"), live("body_at"), live("title_at"))
+
+
+def since_born(words: DataFrame, born: DataFrame) -> DataFrame:
+    """``link_words`` from when each link exists: nothing of it is available before its first remark (``born``)."""
+    live = lambda x: F.when(F.col(x).isNotNull(), F.greatest(x, "born")).alias(x)
+    return salted_join(words, born, ["key"], spread=["term"]).select("key", "term", live("own_at"), live("body_at"), live("title_at"))
+
+
+def link_terms(book: LinkBook) -> DataFrame:
+    """``key, term, own_at, body_at, title_at``: from when each word identifies a link."""
+    born = book.said.groupBy("key").agg(F.min("at").alias("born"))
+    return since_born(link_words(book.said, book.notes, book.links), born)
 
 
 def rare_link_terms(terms: DataFrame, rare: int = RARE_LINKS) -> DataFrame:
@@ -89,16 +97,20 @@ def _said_elsewhere(as_of: bool) -> Column:
 
 def recall_candidates(
     messages: DataFrame, book: LinkBook, vocab: DataFrame, total: DataFrame, as_of: bool = False,
-    skip: bool = True, rare: int = RARE_LINKS, min_score: float = MIN_SCORE, picks: DataFrame | None = None,
+    skip: bool = True, rare: int = RARE_LINKS, min_score: float = MIN_SCORE, picks: DataFrame | None = None, terms: DataFrame | None = None,
 ) -> DataFrame:
     """Every link that passes the rare-word rule for a message, with its score, before the top 3.
 
+    ``terms`` are the book's rare words where they are kept (``rare_link_terms``); they are worked out when not given.
+
     The word join meets at most ``rare`` links per term. ``skip`` leaves out links in the message
     itself (``picks``, found again when not given) and links only ever handed over in the same session.
     """
     c = F.col
     asked = keywords(messages, vocab, total)
-    hits = salted_join(asked, rare_link_terms(link_terms(book), rare), ["term"], spread=["msg_id"])
+    if terms is None:
+        terms = rare_link_terms(link_terms(book), rare)
+    hits = salted_join(asked, terms, ["term"], spread=["msg_id"])
     if as_of:
         hits = hits.filter(c("common_from").isNull() | (c("at") <= c("common_from")))
         own, body = is_true(c("own_at") < c("at")), is_true(c("body_at") < c("at"))
@@ -198,7 +210,7 @@ def rank_recent(candidates: DataFrame, limit: int = 3) -> DataFrame:
 
 
 def recall_recent(
-    messages: DataFrame, book: LinkBook, vocab: DataFrame, total: DataFrame, limit: int = 3, longest: int | None = RECENT_LIMIT, **kw
+    messages: DataFrame, book: LinkBook, vocab: DataFrame, total: DataFrame, limit: int = 3, longest: int | None = None, **kw
 ) -> DataFrame:
     return rank_recent(recent_candidates(messages, book, vocab, total, longest=longest, **kw), limit)
 

@@ -1,4 +1,12 @@
-"""Batch keyword search: an inverted index and BM25 over weighted fields."""
+"""Batch keyword search: an inverted index and BM25 over weighted fields, with exact top-k pruning.
+
+A posting's impact is its share of a score apart from the query's weight, so it is stored. Impacts are cut into bands, and the
+index keeps the highest impact of every term and of every band. A top-k search first scores the best bands of each
+query's strongest terms, which gives the score that the k-th result reaches at least. Terms whose highest impacts together
+fall short of it can't bring in a document of their own: they are only looked up for documents that the other terms brought
+in and that can still reach it. Of those other terms only the bands are read in which a document could still reach it.
+What is left out could not have been among the k best, so results are those of scoring everything.
+"""
 
 from __future__ import annotations
 
@@ -16,13 +24,28 @@ from .skew import salted_join
 FACT_FIELDS = {"name": "names", "tag": "tags", "section": "sections", "claim": "claims"}
 
 
+#: Bands of impacts are this far apart in logarithm.
+BAND = 0.1
+#: Strongest terms of a query whose best bands are scored first. More of them give a closer bound, not other results.
+SEEDS = 4
+#: Scores are compared after rounding to six digits, and sums differ in their last ones.
+SLACK = 2e-6
+
+
 @dataclass
 class Index:
-    """``postings(doc, term, tf, len)``, ``term_stats(term, df)`` and ``totals(n, avg_len)``."""
+    """``postings(doc, term, impact, band)``, ``bands(term, band, top, below)`` and ``terms(term, df, top)``.
+
+    ``below`` counts the postings of a term in higher bands.
+    """
 
     postings: DataFrame
-    term_stats: DataFrame
-    totals: DataFrame
+    bands: DataFrame
+    terms: DataFrame
+
+    @property
+    def term_stats(self) -> DataFrame:
+        return self.terms.select("term", "df")
 
 
 def library_fields(library: Library, head: DataFrame) -> DataFrame:
@@ -50,40 +73,50 @@ def field_weight(field: Column) -> Column:
     return out
 
 
-def build_index(fields: DataFrame, n_docs: DataFrame | None = None, keep: bool = False) -> Index:
-    """One pass: tokens are weighed and combined on the map side into one row per (doc, term).
+def count_terms(fields: DataFrame) -> DataFrame:
+    """``doc, term, tf, cnt``: weighed and plain counts, combined on the map side."""
+    return explode_tokens(fields, "text", "term").groupBy("doc", "term").agg(
+        F.sum(field_weight(F.col("field"))).alias("tf"), F.count("*").alias("cnt")
+    )
+
+
+def build_index(fields: DataFrame, n_docs: DataFrame | None = None) -> Index:
+    """Index of ``doc, field, text``; its tables are written down once.
 
     ``n_docs`` (one row, column ``n``) counts documents without any token as well; by default
-    only documents with text are counted. ``keep`` writes the (doc, term) rows down once for the
-    three tables derived from them.
+    only documents with text are counted.
     """
     c = F.col
-    tokens = explode_tokens(fields, "text", "term")
-    postings = tokens.groupBy("doc", "term").agg(
-        F.sum(field_weight(c("field"))).alias("tf"), F.count("*").alias("cnt")
-    )
-    if keep:
-        postings = cut_lineage(postings)
-    lengths = postings.groupBy("doc").agg(F.sum("cnt").alias("len"))
-    totals = lengths.agg(F.count("*").alias("n"), F.sum("len").alias("total"))
-    if n_docs is not None:
-        totals = totals.select("total").join(F.broadcast(n_docs.select("n")), F.lit(True))
-    totals = totals.select(
-        "n", (F.coalesce(c("total"), F.lit(0)) / F.greatest(c("n"), F.lit(1))).alias("avg_len")
-    )
-    stats = postings.groupBy("term").agg(F.count("*").alias("df"))
-    return Index(postings.join(lengths, "doc").select("doc", "term", "tf", "len"), stats, totals)
+    counts = cut_lineage(count_terms(fields))
+    lengths = counts.groupBy("doc").agg(F.sum("cnt").alias("len"))
+    totals = lengths.agg(F.count("*").alias("n"), F.sum("len").alias("total")).first()
+    n = totals.n if n_docs is None else n_docs.first().n
+    n, average = F.lit(float(n)), F.lit((totals.total or 0) / max(n, 1))
+    stats = counts.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (n - c("df") + 0.5) / (c("df") + 0.5))
+    k1, b = F.lit(rules.BM25_K1), F.lit(rules.BM25_B)
+    impact = c("idf") * (c("tf") * (k1 + 1)) / (c("tf") + k1 * (1 - b + b * (c("len") / average)))
+    met = counts.join(lengths, "doc").join(stats.withColumn("idf", idf).filter("idf > 0"), "term")
+    postings = met.select("doc", "term", impact.alias("impact")).withColumn("band", F.floor(F.log("impact") / BAND).cast("int"))
+    postings = cut_lineage(postings)
+    bands = postings.groupBy("term", "band").agg(F.max("impact").alias("top"), F.count("*").alias("n"))
+    higher = Window.partitionBy("term").orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)
+    bands = bands.select("term", "band", "top", "n", F.coalesce(F.sum("n").over(higher), F.lit(0)).alias("below"))
+    bands = cut_lineage(bands)
+    terms = bands.groupBy("term").agg(F.sum("n").alias("df"), F.max("top").alias("top"))
+    return Index(postings, bands.drop("n"), terms)
 
 
 def write_index(index: Index, path: str) -> None:
-    """Persist the index once; postings are clustered by term, so a scan for a few terms prunes."""
-    index.postings.repartitionByRange("term", "doc").sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(path + "/postings")
-    index.term_stats.repartitionByRange("term").write.mode("overwrite").parquet(path + "/term_stats")
-    index.totals.coalesce(1).write.mode("overwrite").parquet(path + "/totals")
+    """Persist the index once; postings lie in impact order of each term, so a scan for a few terms and bands prunes."""
+    order = ["term", F.desc("band"), "doc"]
+    index.postings.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path + "/postings")
+    index.bands.repartitionByRange("term").write.mode("overwrite").parquet(path + "/bands")
+    index.terms.repartitionByRange("term").write.mode("overwrite").parquet(path + "/terms")
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
-    return Index(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "term_stats", "totals")])
+    return Index(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "bands", "terms")])
 
 
 def synonyms(spark: SparkSession) -> DataFrame:
@@ -113,35 +146,86 @@ def expand_queries(queries: DataFrame, expand: bool = True, query: str = "query"
     return typed.unionByName(added).groupBy("query_id", "term").agg(F.max("weight").alias("weight"))
 
 
+def _asked(query_terms: DataFrame) -> DataFrame:
+    """``query_id, n_typed, n_terms``."""
+    return query_terms.groupBy("query_id").agg(F.count_if(F.col("weight") == 1.0).alias("n_typed"), F.count("*").alias("n_terms"))
+
+
+def _sums(hits: DataFrame) -> DataFrame:
+    """Weighed impacts of each (query, document) that ``hits`` hold, and the terms they come from."""
+    c = F.col
+    return hits.groupBy("query_id", "doc").agg(
+        F.sum(c("weight") * c("impact")).alias("raw"), F.count_if(c("weight") == 1.0).alias("typed_hit"), F.count("*").alias("hit")
+    )
+
+
+def _cover() -> Column:
+    c = F.col
+    return F.coalesce(F.try_divide(F.nullif(c("typed_hit"), F.lit(0)), c("n_typed")), c("hit") / c("n_terms"))
+
+
+def _score(cover: Column) -> Column:
+    return F.col("raw") * (0.55 + 0.45 * cover)
+
+
 def score(index: Index, query_terms: DataFrame) -> DataFrame:
-    """``query_id, doc, score`` before priors.
+    """``query_id, doc, score`` before priors, of every document that shares a term with a query.
+
+    The postings join is salted: a frequent term is split over tasks, and the sum per (query, doc) combines on the map side.
+    """
+    hits = salted_join(index.postings, query_terms.join(index.terms.select("term"), "term"), ["term"], spread=["doc"])
+    return salted_join(_sums(hits), _asked(query_terms), ["query_id"], spread=["doc"]).select("query_id", "doc", _score(_cover()).alias("score"))
 
-    Query terms are joined with document frequencies first, so only terms that occur reach the
-    postings. The postings join is salted: a frequent term is split over tasks, and the sum per
-    (query, doc) combines on the map side.
+
+def best_scores(index: Index, query_terms: DataFrame, k: int, priors: DataFrame | None = None) -> DataFrame:
+    """``query_id, doc, score``: scores times priors of all documents that can be among a query's ``k`` best, and few others.
+
+    ``priors`` (doc, prior) also says which documents count; all do without it.
     """
     c = F.col
-    asked = query_terms.groupBy("query_id").agg(
-        F.count_if(c("weight") == 1.0).alias("n_typed"), F.count("*").alias("n_terms")
-    )
-    weighed = (
-        query_terms.join(index.term_stats, "term")
-        .join(F.broadcast(index.totals), F.lit(True))
-        .withColumn("idf", F.log(1 + (c("n") - c("df") + 0.5) / (c("df") + 0.5)))
-        .filter("idf > 0")
-    )
-    hits = salted_join(index.postings, weighed, ["term"], spread=["doc"])
-    k1, b = F.lit(rules.BM25_K1), F.lit(rules.BM25_B)
-    part = c("weight") * c("idf") * (c("tf") * (k1 + 1)) / (c("tf") + k1 * (1 - b + b * (c("len") / c("avg_len"))))
-    scored = hits.groupBy("query_id", "doc").agg(
-        F.sum(part).alias("raw"), F.count_if(c("weight") == 1.0).alias("typed_hit"), F.count("*").alias("hit")
-    )
-    cover = F.coalesce(
-        F.try_divide(F.nullif(c("typed_hit"), F.lit(0)), c("n_typed")), c("hit") / c("n_terms")
-    )
-    return salted_join(scored, asked, ["query_id"], spread=["doc"]).select(
-        "query_id", "doc", (c("raw") * (0.55 + 0.45 * cover)).alias("score")
-    )
+    query_terms = cut_lineage(query_terms)
+    asked = _asked(query_terms)
+    if priors is not None:
+        priors = cut_lineage(priors)
+    most = 1.0 if priors is None else float(priors.agg(F.max("prior")).first()[0] or 0.0)
+
+    def counting(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("prior", F.lit(1.0)) if priors is None else rows.join(priors, "doc")
+
+    # each query's terms, strongest first, with the most they can add; ``rest`` is what this and all weaker terms can
+    by_strength = Window.partitionBy("query_id").orderBy(F.desc("bound"), "term")
+    terms = query_terms.join(index.terms.select("term", "top"), "term").withColumn("bound", c("weight") * c("top"))
+    terms = terms.withColumns({
+        "nth": F.row_number().over(by_strength),
+        "rest": F.sum("bound").over(by_strength.rowsBetween(0, Window.unboundedFollowing)),
+        "total": F.sum("bound").over(Window.partitionBy("query_id")),
+    })
+    terms = cut_lineage(terms)
+
+    # what the k-th result reaches at least
+    seeds = index.bands.filter(c("below") < k).join(terms.filter(c("nth") <= SEEDS), "term").select("query_id", "term", "weight", "band")
+    some = counting(_sums(seeds.join(index.postings, ["term", "band"]))).join(asked, "query_id")
+    # more hits can lower the share of terms found only where none was typed
+    least = F.when(c("typed_hit") > 0, _cover()).otherwise(F.least(_cover(), 1 / F.greatest(c("n_typed"), F.lit(1))))
+    low = some.select("query_id", "doc", (_score(least) * c("prior")).alias("score"))
+    reached = top_k(low, k).filter(c("rank") == k).select("query_id", (c("score") - SLACK).alias("least"))
+    terms = terms.join(reached, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+    terms = cut_lineage(terms.withColumn("alone", c("rest") * most >= c("least")))
+
+    # postings of the terms that can bring a document in, where their band allows it
+    strong = index.bands.join(terms.filter("alone"), "term").filter((c("weight") * index.bands["top"] + c("total") - c("bound")) * most >= c("least"))
+    brought = _sums(strong.select("query_id", "term", "weight", "band").join(index.postings, ["term", "band"]))
+    weak = terms.filter("NOT alone")
+    limits = terms.groupBy("query_id").agg(F.max("least").alias("least"), F.sum(F.when(~c("alone"), c("bound")).otherwise(0.0)).alias("weak_bound"))
+    left = counting(brought).join(limits, "query_id").filter((c("raw") + c("weak_bound")) * c("prior") >= c("least"))
+    left = cut_lineage(left.select("query_id", "doc", "raw", "typed_hit", "hit", "prior"))
+
+    # the other terms, for these documents only
+    looked_up = left.select("query_id", "doc").join(weak.select("query_id", "term", "weight"), "query_id").join(index.postings, ["doc", "term"])
+    more = _sums(looked_up).withColumnsRenamed({x: f"more_{x}" for x in ("raw", "typed_hit", "hit")})
+    both = left.join(more, ["query_id", "doc"], "left").join(asked, "query_id")
+    both = both.withColumns({x: c(x) + F.coalesce(f"more_{x}", F.lit(0)) for x in ("raw", "typed_hit", "hit")})
+    return both.select("query_id", "doc", (_score(_cover()) * c("prior")).alias("score"))
 
 
 def prior(head: DataFrame) -> DataFrame:
@@ -182,9 +266,7 @@ def search_library(
 ) -> DataFrame:
     """``query_id, rank, doc, score`` over a library with priors and visibility filters."""
     index = index or build_index(library_fields(library, head), head.agg(F.count("*").alias("n")))
-    seen = allowed(head, **filters)
-    scored = score(index, expand_queries(queries)).join(prior(seen), "doc")
-    return top_k(scored.withColumn("score", F.col("score") * F.col("prior")).drop("prior"), k)
+    return top_k(best_scores(index, expand_queries(queries), k, prior(allowed(head, **filters))), k)
 
 
 def get_by_key(library: Library, head: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -209,8 +291,8 @@ def browse(library: Library, head: DataFrame, section: str | None = None, tag: s
     return rows.orderBy(F.desc("mentions"), F.desc(F.coalesce("github.stars", F.lit(0))), "key").limit(limit)
 
 
-def brief(library: Library, head: DataFrame) -> DataFrame:
-    """Short view of each resource: name and description with fallbacks, 8 tags, 3 claims."""
+def brief(library: Library, head: DataFrame, tags: int | None = None, claims: int | None = None) -> DataFrame:
+    """Short view of each resource: name and description with fallbacks, all or the first ``tags`` and ``claims``."""
     c = F.col
 
     def firsts(kind, n=None):
@@ -222,7 +304,7 @@ def brief(library: Library, head: DataFrame) -> DataFrame:
             F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias(kind)
         )
 
-    out = head.join(firsts("section"), "key", "left").join(firsts("tag", 8), "key", "left").join(firsts("claim", 3), "key", "left")
+    out = head.join(firsts("section"), "key", "left").join(firsts("tag", tags), "key", "left").join(firsts("claim", claims), "key", "left")
     some = lambda *n: F.coalesce(*[F.when(c(x) != "", c(x)) for x in n])
     return out.select(
         "key", some("title", "first_name", "key").alias("name"), "url",

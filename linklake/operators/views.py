@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import shortened
 from ..session import cut_lineage
 from .library import Library
 from .skew import is_true
@@ -46,7 +47,7 @@ def _escape(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"([|\[\]])", r"\\$1"), r"\n+", " "))
 
 
-def list_lines(head: DataFrame, min_group: int = 2) -> DataFrame:
+def list_lines(head: DataFrame, min_group: int = 2, longest: int | None = None) -> DataFrame:
     """``group_order, group, mentions, stars, key, line``: Markdown lines, to be written in that order."""
     c = F.col
     some = lambda *n: F.coalesce(*[F.when(c(x) != "", c(x)) for x in n])
@@ -55,7 +56,7 @@ def list_lines(head: DataFrame, min_group: int = 2) -> DataFrame:
     mark = F.lit("")
     for status, text in STATUS_MARK.items():
         mark = F.when(c("liveness.status") == status, text).otherwise(mark)
-    desc = F.left(_escape(some("description", "first_claim")), F.lit(180))
+    desc = shortened(_escape(some("description", "first_claim")), longest)
     meta = F.concat_ws(
         " · ", F.when(stars > 0, F.concat(F.lit("★"), F.format_number(stars, 0))),
         F.when(c("mentions") > 1, F.concat(c("mentions").cast("string"), F.lit(" sources"))),
@@ -101,7 +102,7 @@ def render_list(head: DataFrame, title: str, min_group: int = 2) -> DataFrame:
     return lines.orderBy("x.part", "x.g", "x.h", "x.m", "x.s", "x.k").select("x.value")
 
 
-def wall_sites(library: Library, head: DataFrame, curation: DataFrame, categories: DataFrame, shots: DataFrame) -> tuple[DataFrame, DataFrame]:
+def wall_sites(library: Library, head: DataFrame, curation: DataFrame, categories: DataFrame, shots: DataFrame, tags: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Site and repository cards, and what is missing for them.
 
     ``curation(key, cat, zh, en, name)``, ``categories(cat, label, pos)`` and ``shots(key, w, h)`` are
@@ -122,9 +123,11 @@ def wall_sites(library: Library, head: DataFrame, curation: DataFrame, categorie
     rows = rows.join(shot, "key", "left")
     labels = categories.groupBy("cat").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "label"))), lambda x: x["label"]).alias("labels"))
     order = Window.partitionBy("key").orderBy("pos")
-    tags = library.facts.filter("kind = 'tag'").withColumn("r", F.row_number().over(order)).filter("r <= 6")
-    tags = tags.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "value"))), lambda x: x["value"]).alias("own_tags"))
-    rows = rows.join(labels, "cat", "left").join(tags, "key", "left")
+    own = library.facts.filter("kind = 'tag'").withColumn("r", F.row_number().over(order))
+    if tags is not None:
+        own = own.filter(c("r") <= tags)
+    own = own.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "value"))), lambda x: x["value"]).alias("own_tags"))
+    rows = rows.join(labels, "cat", "left").join(own, "key", "left")
     none = F.array().cast("array<string>")
     cards = rows.filter(is_repo | is_true(c("shot"))).select(
         F.when(is_repo, "repo").otherwise("site").alias("kind"), "key", "url", "cat",
@@ -223,7 +226,7 @@ def category_counts(items: DataFrame, categories: DataFrame) -> DataFrame:
     return categories.select("cat", "cat_pos").distinct().join(counts, "cat").orderBy("cat_pos")
 
 
-def issue_bodies(checked: DataFrame) -> DataFrame:
+def issue_bodies(checked: DataFrame, longest: int | None = None) -> DataFrame:
     """``submission_id, title, body`` of accepted submissions, ready to be filed by a person."""
     c = F.col
     pipe = lambda x: F.replace(x, F.lit("|"), F.lit("\\|"))
@@ -240,7 +243,7 @@ def issue_bodies(checked: DataFrame) -> DataFrame:
             F.lit("### Result of the fetch"), F.lit(""), F.lit("| | |"), F.lit("|---|---|"),
             F.concat(F.lit("| Liveness | `"), F.coalesce("status", F.lit("unchecked")), F.lit("`"), code, F.coalesce(F.concat(F.lit(" — checked "), iso), F.lit("")), F.lit(" |")),
             F.concat(F.lit("| Title | "), F.coalesce(pipe(c("title")), F.lit("_not found_")), F.lit(" |")),
-            F.concat(F.lit("| Description | "), F.coalesce(pipe(F.left("description", F.lit(300))), F.lit("_none_")), F.lit(" |")),
+            F.concat(F.lit("| Description | "), F.coalesce(pipe(shortened(c("description"), longest)), F.lit("_none_")), F.lit(" |")),
             F.when(c("github.stars").isNotNull(), repo),
             F.when(F.size("flags") > 0, F.concat(F.lit("| Flags | "), F.array_join(F.transform("flags", lambda f: F.concat(F.lit("`"), f, F.lit("`"))), ", "), F.lit(" |"))),
             F.when(c("from_post").isNotNull(), F.concat(F.lit("| Source post | "), c("from_post"), F.lit(" |"))),

@@ -199,7 +199,7 @@ POST_CTES = (
       coalesce(nullif({cleaned("regexp_replace(substr(line, strpos(line, raw) + length(raw)), " + q(SEP_BEFORE) + ", '')")}, ''), below, '') AS nt
       FROM c4 WHERE NOT starts_with(canon, 'https://t.co/'))""",
     """f2 AS (SELECT *, length(nm) > 40 OR regexp_matches(nm, '[。！？]') AS prose FROM f1)""",
-    """f3 AS (SELECT post_id, n, k, url, nullif(CASE WHEN prose THEN '' ELSE nm END, '') AS name, nullif(left(CASE WHEN prose AND nt = '' THEN nm ELSE nt END, 200), '') AS note,
+    """f3 AS (SELECT post_id, n, k, url, nullif(CASE WHEN prose THEN '' ELSE nm END, '') AS name, nullif(CASE WHEN prose AND nt = '' THEN nm ELSE nt END, '') AS note,
       CASE WHEN count(*) OVER (PARTITION BY post_id, section) >= 2 THEN section END AS section FROM f2)""",
     """f4 AS (SELECT *, row_number() OVER (PARTITION BY post_id, url ORDER BY (name IS NOT NULL)::INT * 2 + (note IS NOT NULL)::INT + (section IS NOT NULL)::INT DESC, n, k) AS best,
       first_value(n) OVER (PARTITION BY post_id, url ORDER BY n, k) AS n0, first_value(k) OVER (PARTITION BY post_id, url ORDER BY n, k) AS k0 FROM f3)""",
@@ -212,16 +212,16 @@ ORACLE["post_library"] = with_(
 ORACLE["post_contexts"] = with_(
     P, ROWS, f"b AS (SELECT post_id, min(n) AS cut FROM ln WHERE regexp_matches(line, {q(LINK)}) GROUP BY 1)",
     f"c AS (SELECT ln.post_id, string_agg({trimmed('line')}, ' ' ORDER BY n) AS t FROM ln LEFT JOIN b USING (post_id) WHERE (cut IS NULL OR n < cut) AND {trimmed('line')} <> '' GROUP BY 1)",
-) + "SELECT p.post_id, nullif(left(c.t, 240), '') AS context FROM p LEFT JOIN c USING (post_id)"
+) + "SELECT p.post_id, nullif(c.t, '') AS context FROM p LEFT JOIN c USING (post_id)"
 LEADS = (
     f"b AS (SELECT post_id, n, {cleaned('regexp_split_to_array(' + trimmed('regexp_replace(line, ' + q(ORD) + ', ' + q('') + ')') + ', ' + q(rules.LEAD_STOP) + ')[1]')} AS name FROM ln "
     f"WHERE regexp_matches(line, {q(ORD)}) AND NOT regexp_matches(line, {q(LINK)}))"
 )
-ORACLE["post_leads"] = with_(P, ROWS, LEADS) + "SELECT post_id, name, CAST(min(n) AS INT) AS pos FROM b WHERE name <> '' AND length(name) <= 40 GROUP BY 1, 2"
+ORACLE["post_leads"] = with_(P, ROWS, LEADS) + "SELECT post_id, name, CAST(min(n) AS INT) AS pos FROM b WHERE name <> '' GROUP BY 1, 2"
 ORACLE["collected_inputs"] = with_(
     *POST_CTES, LEADS, V, f"pu AS (SELECT post_id, unnest(regexp_extract_all(text, {q(ANY)})) AS url FROM p)", canon("pu", "pk"),
     "pl AS (SELECT DISTINCT post_id FROM pk WHERE NOT starts_with(canon, 'https://t.co/'))",
-    "pn AS (SELECT post_id, count(DISTINCT name) AS names FROM b WHERE name <> '' AND length(name) <= 40 GROUP BY 1)",
+    "pn AS (SELECT post_id, count(DISTINCT name) AS names FROM b WHERE name <> '' GROUP BY 1)",
     "aq AS (SELECT sighting_id, CAST(page_id AS VARCHAR) AS post_id FROM v WHERE page_id % 3 = 1)",
     "st AS (SELECT aq.*, p.post_id IS NOT NULL AS read, pl.post_id IS NOT NULL AS linked, names FROM aq LEFT JOIN p USING (post_id) LEFT JOIN pl USING (post_id) LEFT JOIN pn USING (post_id))",
     "iv AS (SELECT sighting_id, CASE page_id % 3 WHEN 0 THEN url ELSE 'no link ' || url END AS raw FROM v WHERE page_id % 3 <> 1)", canon("iv", "ic", "raw"),
@@ -353,8 +353,8 @@ ORACLE["refresh_due"] = with_(CK) + f"""SELECT key, CASE WHEN starts_with(key, '
  WHERE NOT list_contains(flags, 'private') AND (checked_at IS NULL OR checked_at < TIMESTAMP '2024-01-25 00:00:00')"""
 ORACLE["verified_library"] = with_(CK) + "SELECT key, title, lang, status, CAST(code AS BIGINT) AS code, mentions FROM ck"
 ORACLE["brief_entries"] = with_(
-    CK, "bt AS (SELECT key, string_agg(x, '|' ORDER BY o) AS tags FROM (SELECT key, tag AS x, min(sighting_id) AS o, row_number() OVER (PARTITION BY key ORDER BY min(sighting_id)) AS r FROM placed GROUP BY 1, 2) WHERE r <= 8 GROUP BY 1)",
-    "bc AS (SELECT key, string_agg(x, '|' ORDER BY o) AS claimed FROM (SELECT key, note AS x, min(sighting_id) AS o, row_number() OVER (PARTITION BY key ORDER BY min(sighting_id)) AS r FROM placed GROUP BY 1, 2) WHERE r <= 3 GROUP BY 1)",
+    CK, "bt AS (SELECT key, string_agg(x, '|' ORDER BY o) AS tags FROM (SELECT key, tag AS x, min(sighting_id) AS o, row_number() OVER (PARTITION BY key ORDER BY min(sighting_id)) AS r FROM placed GROUP BY 1, 2) GROUP BY 1)",
+    "bc AS (SELECT key, string_agg(x, '|' ORDER BY o) AS claimed FROM (SELECT key, note AS x, min(sighting_id) AS o, row_number() OVER (PARTITION BY key ORDER BY min(sighting_id)) AS r FROM placed GROUP BY 1, 2) GROUP BY 1)",
 ) + "SELECT key, coalesce(title, name1) AS name, claim1 AS description, tags, claimed, coalesce(status, 'unchecked') AS status, mentions AS sources FROM ck JOIN bt USING (key) JOIN bc USING (key)"
 ED0 = canon("(SELECT key AS src, final_url FROM ck WHERE final_url <> '' AND status <> 'dead')", "ec", "final_url")
 EDGES = f"""{ED0}, {keyed('ec', 'ek').replace(DEPTH + ',', '', 1)}, ed AS (SELECT src, key AS dst FROM ek WHERE src <> key),
@@ -519,7 +519,7 @@ rr AS (SELECT h.*, round(raw, 2) AS score, EXISTS (SELECT 1 FROM nt WHERE nt.key
 rt AS (SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY score DESC, noted DESC, born DESC, key) AS rank FROM rr)"""
 ORACLE["recall_rare"] = with_(BOOK, KW, RARE) + "SELECT msg_id, CAST(rank AS INT) AS rank, key, score, matched FROM rt WHERE rank <= 3"
 RECENT = f"""{LT},
-ak AS (SELECT mt.* FROM mt JOIN (SELECT msg_id FROM m WHERE length(text) <= 300) USING (msg_id) LEFT JOIN vo USING (term), tl WHERE total > 0 AND coalesce(n, 0) <= total / 50),
+ak AS (SELECT mt.* FROM mt LEFT JOIN vo USING (term), tl WHERE total > 0 AND coalesce(n, 0) <= total / 50),
 pr AS (SELECT a.msg_id, a.tm, a.session, a.term, lt.key, coalesce(title_at < a.tm, FALSE) AS in_title FROM ak a JOIN lt USING (term) WHERE own_at < a.tm
   AND EXISTS (SELECT 1 FROM sd WHERE sd.key = lt.key AND sd.tm < a.tm AND sd.tm >= a.tm - INTERVAL '7' DAY AND sd.session <> a.session)
   AND NOT EXISTS (SELECT 1 FROM pk WHERE pk.key = lt.key AND pk.msg_id = a.msg_id)),
@@ -537,7 +537,7 @@ ORACLE["newest_links"] = with_(BOOK) + f"SELECT key, {TS('first_seen')} AS first
 ORACLE["link_descriptions"] = with_(
     BOOK, "ds AS (SELECT key, arg_max(text, {'l': length(text), 'a': -epoch_us(tm)}) FILTER (text <> '' AND length(text) <= 80) AS short, arg_min(text, tm) FILTER (text <> '') AS any_text, arg_max(project, tm) AS project FROM sd GROUP BY 1)",
     "dn AS (SELECT key, arg_max(text, tm) AS note FROM nt GROUP BY 1)",
-) + """SELECT key, strftime(first_seen, '%Y-%m-%d') AS day, left(regexp_replace(coalesce(title, ''), '\\s+', ' ', 'g'), 90) AS what, left(coalesce(short, any_text, ''), 90) AS said,
+) + """SELECT key, strftime(first_seen, '%Y-%m-%d') AS day, regexp_replace(coalesce(title, ''), '\\s+', ' ', 'g') AS what, coalesce(short, any_text, '') AS said,
  coalesce(note, '') AS note, project FROM lk LEFT JOIN ds USING (key) LEFT JOIN dn USING (key)"""
 ASK = f"regexp_matches(text, {q(rules.ASKS_ABOUT_PAST)})"
 # What a session was shown grows message by message, so the rule is a recursion over its messages.
@@ -607,7 +607,7 @@ ESC = lambda x: f"trim(regexp_replace(regexp_replace({x}, '([|\\[\\]])', '\\\\\\
 ORACLE["list_lines"] = with_(
     CK, "sg AS (SELECT *, coalesce(sec1, lsec1, tag1, 'Other') AS section FROM ck)", "sn AS (SELECT *, count(*) OVER (PARTITION BY section) AS n FROM sg)",
 ) + f"""SELECT key, CASE WHEN n < 2 THEN 'Other' ELSE section END AS "group", '- **[' || {ESC("coalesce(title, name1)")} || '](' || url || ')**' ||
- CASE status WHEN 'blocked' THEN ' ⚠︎' WHEN 'unknown' THEN ' ?' WHEN 'dead' THEN ' ✗' ELSE '' END || ' — ' || left({ESC('claim1')}, 180) || CASE WHEN mentions > 1 THEN ' <sub>' || mentions || ' sources</sub>' ELSE '' END AS line FROM sn"""
+ CASE status WHEN 'blocked' THEN ' ⚠︎' WHEN 'unknown' THEN ' ?' WHEN 'dead' THEN ' ✗' ELSE '' END || ' — ' || {ESC('claim1')} || CASE WHEN mentions > 1 THEN ' <sub>' || mentions || ' sources</sub>' ELSE '' END AS line FROM sn"""
 ORACLE["wall_order"] = """WITH i AS (SELECT CASE WHEN p_size > 30 THEN 's' ELSE 'v' END || p_partkey AS key, CASE WHEN p_size <= 30 THEN 'video' WHEN p_size % 3 = 0 THEN 'repo' ELSE 'site' END AS kind,
  p_partkey AS tm, p_size % 5 AS mentions, p_retailprice > 1900 AS pick FROM part),
 r AS (SELECT *, row_number() OVER (PARTITION BY kind = 'video' ORDER BY CASE WHEN kind = 'video' THEN 0 - tm ELSE 0 - mentions END, kind = 'repo', key) AS n FROM i WHERE NOT pick)

@@ -399,7 +399,7 @@ def tokens(spark, d):
 
 @query
 def term_df(spark, d):
-    return search.build_index(_doc_fields(spark, d)).term_stats
+    return search.count_terms(_doc_fields(spark, d)).groupBy("term").agg(F.count("*").alias("df"))
 
 
 @query
@@ -415,8 +415,8 @@ def expanded_queries(spark, d):
 def bm25_topk(spark, d):
     """Every benchmark passage as a query over all documents."""
     queries = bridge.table(spark, d, "benchmark").select(c("item_id").alias("query_id"), c("text").alias("query"))
-    index = search.build_index(_doc_fields(spark, d), bridge.table(spark, d, "documents").agg(F.count("*").alias("n")), keep=True)
-    best = search.top_k(search.score(index, search.expand_queries(queries)).withColumn("score", F.round("score", 6)), 10)
+    index = search.build_index(_doc_fields(spark, d), bridge.table(spark, d, "documents").agg(F.count("*").alias("n")))
+    best = search.top_k(search.best_scores(index, search.expand_queries(queries), 10).withColumn("score", F.round("score", 6)), 10)
     return best.select("query_id", "doc", "rank", "score")
 
 
@@ -428,8 +428,8 @@ def library_search(spark, d):
     v = bridge.view(spark, d, "sightings")
     queries = v.select(F.concat_ws(" ", "note", "tag").alias("query")).distinct().withColumn("query_id", c("query"))
     index = search.build_index(search.library_fields(lib, head), head.agg(F.count("*").alias("n")))
-    scored = search.score(index, search.expand_queries(queries)).join(search.prior(search.allowed(head)), "doc")
-    scored = scored.select("query_id", "doc", F.round(c("score") * c("prior"), 6).alias("score"))
+    scored = search.best_scores(index, search.expand_queries(queries), 5, search.prior(search.allowed(head)))
+    scored = scored.withColumn("score", F.round("score", 6))
     return search.top_k(scored, 5).select("query_id", "doc", "rank", "score")
 
 
@@ -519,7 +519,7 @@ def find_links(spark, d):
     book, _, _ = _book(spark, d)
     titles = with_page_metadata(bridge.table(spark, d, "pages")).select(c("page_id").alias("query_id"), c("page_title").alias("query"))
     index = search.build_index(memory.book_fields(book), book.links.agg(F.count("*").alias("n")))
-    scored = search.score(index, search.expand_queries(titles)).withColumn("score", F.round("score", 6))
+    scored = search.best_scores(index, search.expand_queries(titles), 5).withColumn("score", F.round("score", 6))
     return search.top_k(scored, 5).select("query_id", "doc", "rank", "score")
 
 
@@ -991,14 +991,115 @@ def stream_search_chains(spark, d):
 
 @query
 def stream_recall(spark, d):
-    """Prompts as a stream in two landings: rare-word recall, a link once per session over both."""
-    from ..streaming.capture import recall_prompts
+    """Prompts as a stream in two landings: rare-word recall, a link once per session over both.
 
+    The book's words land before them in two parts, with a compaction in between.
+    """
+    from ..streaming.capture import prompt_candidates, recalled
+    from ..streaming.keyed import use_rocksdb
+
+    use_rocksdb(spark)
     book, msgs, _ = _book(spark, d)
     vocab, total = _vocab(msgs)
-    folder, out = _scratch(spark, "prompts"), _scratch(spark, "recalled")
+    folder, found, out = (_scratch(spark, x) for x in ("prompts", "candidates", "recalled"))
+    words = _landed_words(spark, book, _scratch(spark, "words"))
     for rows in (msgs.filter(c("at") < F.lit(MOMENT)), msgs.filter(c("at") >= F.lit(MOMENT))):
         rows.write.mode("append").parquet(folder)
         prompts = spark.readStream.schema(msgs.schema).parquet(folder)
-        _finish(recall_prompts(prompts, lambda: book, vocab, total, out, out + "-cp").trigger(availableNow=True).start())
-    return spark.read.parquet(out).select("msg_id", "session", c("rank").cast("int").alias("rank"), "key")
+        _finish(prompt_candidates(prompts, book, words, vocab, total, found, found + "-cp").trigger(availableNow=True).start())
+        shown = recalled(spark, found).writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-cp")
+        _finish(shown.trigger(availableNow=True).start())
+    return spark.read.parquet(out).select("msg_id", "session", "rank", "key")
+
+
+def _landed_words(spark, book, path):
+    """The word table of a book whose remarks land in two parts, later ones first."""
+    from ..operators.memory import LinkBook
+    from ..streaming.word_table import WordTable
+
+    words = WordTable(spark, path)
+    early = c("at") < F.lit(MOMENT)
+    words.land(LinkBook(book.links.filter(F.xxhash64("key") % 2 == 0), book.said.filter(~early), book.notes), 0)
+    words.compact()
+    words.land(LinkBook(book.links.filter(F.xxhash64("key") % 2 != 0), book.said.filter(early), book.notes.limit(0)), 1)
+    return words
+
+
+@query
+def word_table(spark, d):
+    """For each rare word of the book the first links that hold it, from the table kept by landings."""
+    book, _, _ = _book(spark, d)
+    rows = _landed_words(spark, book, _scratch(spark, "words")).rare_terms()
+    return rows.select("term", "key", _iso(F.least("own_at", "body_at")).alias("since"), _iso("common_from").alias("common_from"))
+
+
+@query
+def stream_stale(spark, d):
+    """Fetches as a stream in two landings: each time a resource had gone a week without one. A later row ends the stream."""
+    from ..streaming.keyed import stale_resources, use_rocksdb
+
+    use_rocksdb(spark)
+    fetches = bridge.fetches(spark, d).select("key", c("checked_at").cast("timestamp").alias("checked_at"))
+    before = fetches.groupBy("key").agg(F.min("checked_at").alias("checked_at")).filter(F.xxhash64("key") % 3 == 0)
+    before = cut_lineage(before.withColumn("checked_at", c("checked_at") - F.expr("INTERVAL 10 DAYS")))
+    folder, out = _scratch(spark, "fetched"), _scratch(spark, "stale")
+    end = fetches.agg((F.max("checked_at") + F.expr("INTERVAL 30 DAYS")).alias("checked_at")).select(F.lit("(end)").alias("key"), "checked_at")
+    half = F.lit(MOMENT).cast("timestamp") + F.expr("INTERVAL 15 DAYS")
+    for rows in (fetches.filter(c("checked_at") < half), fetches.filter(c("checked_at") >= half), end.filter("checked_at IS NOT NULL")):
+        rows.write.mode("append").parquet(folder)
+        stale = stale_resources(spark.readStream.schema(fetches.schema).parquet(folder), before)
+        _finish(stale.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-cp").trigger(availableNow=True).start())
+    return spark.read.parquet(out).filter("key <> '(end)'").select("key", _iso("checked_at").alias("checked_at"), _iso("due_at").alias("due_at"))
+
+
+@query
+def stream_growing_log(spark, d):
+    """Logs of messages that are written to while a stream follows them: half lines, completed lines, files cut short."""
+    from ..sources.growing_log import growing_lines
+
+    rows = bridge.table(spark, d, "conversations").filter("conv_id IS NOT NULL AND turn IS NOT NULL")
+    line = F.concat(F.lit("{\"turn\":"), c("turn").cast("string"), F.lit(",\"text\":\""), F.md5(F.coalesce("text", F.lit("")).cast("binary")), F.lit("\"}"))
+    rows = rows.select(F.floor(c("conv_id") / 20).cast("int").alias("log"), "conv_id", "turn", line.alias("line"))
+    logs, out = _scratch(spark, "logs"), _scratch(spark, "followed")
+    # first and second turns; the second turn's lines stop halfway at first, and a third of the files is written anew in the end
+    first, second, rest = rows.filter("turn = 0"), rows.filter("turn = 1"), rows.filter("turn > 1")
+    last = second.groupBy("log").agg(F.max("conv_id").alias("conv_id"))
+    cut = second.join(last, ["log", "conv_id"], "left_semi")
+    whole = second.join(last, ["log", "conv_id"], "left_anti")
+    begun = cut.withColumn("line", F.substring("line", 1, 20))
+    ended = cut.withColumn("line", F.substring("line", 21, 1 << 20))
+    steps = [
+        [(first, "a", "\n"), (whole, "a", "\n"), (begun, "a", "")],
+        [(ended, "a", "\n"), (rest.filter("log % 3 <> 0"), "a", "\n")],
+        [(first.filter("log % 3 = 0 AND conv_id % 20 = 1"), "w", "\n")],
+    ]
+    for step in steps:
+        for part, mode, after in step:
+            _write_logs(part, logs, mode, after)
+        query_ = growing_lines(spark, logs).writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-cp").start()
+        try:
+            query_.processAllAvailable()
+        finally:
+            query_.stop()
+    read = spark.read.parquet(out)
+    return read.select(F.regexp_extract("file", r"(\d+)\.jsonl$", 1).cast("int").alias("log"), "pos", "value")
+
+
+def _write_logs(rows: DataFrame, folder: str, mode: str, after: str) -> None:
+    """Append lines to the log files of a folder, or write these anew; a file is written by one task."""
+    import os
+    from urllib.parse import urlparse
+
+    local = urlparse(folder).path
+
+    def write(batches):
+        os.makedirs(local, exist_ok=True)
+        opened = set()
+        for batch in batches:
+            for log, line in zip(batch.column("log").to_pylist(), batch.column("line").to_pylist(), strict=True):
+                with open(f"{local}/{log}.jsonl", mode if log not in opened else "a", encoding="utf-8") as f:
+                    f.write(line + after)
+                opened.add(log)
+        return iter(())
+
+    rows.repartition("log").sortWithinPartitions("log", "turn", "conv_id").select("log", "line").mapInArrow(write, "n int").count()

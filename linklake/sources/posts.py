@@ -87,7 +87,7 @@ def collect_inputs(inputs: DataFrame, posts: DataFrame, as_of: datetime, credit:
             c("post_id").alias("_post"), F.struct("url", "author", "created_at", "likes", "retweets", "views", "channel", "text").alias("p")
         )
         good = good.join(credit.select("raw", c("post_id").alias("_post")), "raw", "left").join(p, "_post", "left")
-        first_line = urls.blank_to_null(F.left(F.split("p.text", r"\r?\n")[0], F.lit(240)))
+        first_line = urls.blank_to_null(F.split("p.text", r"\r?\n")[0])
         known = {
             "type": F.lit("x"), "post": c("p.url"), "post_id": c("_post"), "author": c("p.author"), "at": c("p.created_at"),
             "context": first_line, "channel": c("p.channel"), "resolved_by_hand": F.lit(True),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,10 +10,8 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.analytics import parse_events
-from ..operators.liveness import refresh_due
-from ..operators.library import Library, entries
 from ..sources.library_io import exists
-from .capture import write_batch
+from .word_table import write_batch
 
 LATENESS = "1 hour"
 VISIT_GAP_MS = 30 * 60 * 1000
@@ -99,24 +96,3 @@ def visit_chains(keystrokes: DataFrame, lateness: str = LATENESS) -> DataFrame:
             "q string, n bigint, searches bigint, misses bigint", "append", GroupStateTimeout.EventTimeTimeout,
         )
     )
-
-
-def due_when_landed(
-    spark: SparkSession, verdicts: DataFrame, library: Library, as_of: datetime, out: str, checkpoint: str
-) -> DataStreamWriter:
-    """After each landed batch of fetch verdicts, write the resources not checked for a week.
-
-    Run with the ``availableNow`` trigger from a scheduler. Verdicts are appended; the due list is
-    taken from the library and all verdicts so far.
-    """
-    log = out + "_checked"
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        write_batch(batch.select("key", "checked_at"), log, batch_id)
-        checked = spark.read.parquet(log).groupBy("key").agg(F.max("checked_at").alias("seen"))
-        head = entries(library).join(checked, "key", "left")
-        newest = F.greatest("liveness.checked_at", "seen")
-        head = head.withColumn("liveness", F.struct(newest.alias("checked_at")))
-        write_batch(refresh_due(head, as_of), out, batch_id)
-
-    return verdicts.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)

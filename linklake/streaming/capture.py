@@ -1,22 +1,21 @@
 """Messages and links as they arrive.
 
-Landing contract: producers rotate their logs, so a file that appears is complete. Spark's file
-source remembers in its checkpoint which files it has read; nothing is read twice and no half
-line is ever seen.
+Two ways in. ``landed_lines`` takes logs that are rotated: a file that appears is complete, and Spark's file source
+remembers which files it has read. ``sources.growing_log`` follows logs that are still being written, line by line.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.memory import LinkBook, capture, pick_links
-from ..operators.recall import _once_per_session, rank_rare, recall_candidates
+from ..operators.recall import rank_rare, recall_candidates
 from ..sources.agent_logs import messages_1
 from ..sources.library_io import exists
+from .keyed import shown_once
+from .word_table import WordTable, write_batch
 
 
 def landed_lines(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
@@ -36,11 +35,6 @@ def batch_messages(batch: DataFrame) -> DataFrame:
     return messages_1(batch.select("file", pos.alias("pos"), "value"))
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Idempotent append: a batch that is run again replaces its own folder."""
-    df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-
 def capture_queued(lines: DataFrame, out: str, checkpoint: str, ignore: DataFrame | None = None) -> DataStreamWriter:
     """Record links of messages typed mid-turn; the other messages are captured by the prompt path.
 
@@ -64,27 +58,25 @@ def distinct_messages(messages: DataFrame, delay: str = "1 hour") -> DataFrame:
     return messages.withWatermark("at", delay).dropDuplicatesWithinWatermark(["session", "text"])
 
 
-def recall_prompts(
-    prompts: DataFrame, book: Callable[[], LinkBook], vocab: DataFrame, total: DataFrame, out: str, checkpoint: str
-) -> DataStreamWriter:
-    """Rare-word recall for each new prompt, every link at most once per session.
+CANDIDATES = "msg_id bigint, session string, key string, rank int, at timestamp"
 
-    The links shown so far are the earlier batches of the output itself, of the sessions that the batch holds.
-    """
+
+def prompt_candidates(
+    prompts: DataFrame, book: LinkBook, words: WordTable, vocab: DataFrame, total: DataFrame, out: str, checkpoint: str
+) -> DataStreamWriter:
+    """Every link that a prompt's rare words name, by rank. The book's words come from the table kept for it."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        ranked = rank_rare(recall_candidates(batch, book(), vocab, total), None)
-        if exists(spark, out):
-            shown = spark.read.parquet(out).filter(F.col("batch") < batch_id).select("session", "key")
-            shown = shown.join(batch.select("session").distinct(), "session", "left_semi").distinct()
-            ranked = ranked.join(shown, ["session", "key"], "left_anti")
-        rows = ranked.select("msg_id", F.lit("rare").alias("channel"), "session", "at", "rank", "key")
-        once = (
-            rows.repartition("session").sortWithinPartitions("session", "channel", "at", "msg_id", "rank")
-            .mapInPandas(_once_per_session, "msg_id bigint, channel string, session string, key string, rank int")
-        )
-        times = batch.select("msg_id", "at")
-        write_batch(once.join(times, "msg_id").select("msg_id", "session", "key", "rank", "at"), out, batch_id)
+        ranked = rank_rare(recall_candidates(batch, book, vocab, total, terms=words.rare_terms()), None)
+        write_batch(ranked.select("msg_id", "session", "key", F.col("rank").cast("int").alias("rank"), "at"), out, batch_id)
 
     return prompts.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+
+
+def recalled(spark: SparkSession, candidates: str) -> DataFrame:
+    """Stream of ``msg_id, session, key, rank, at``: the best three links of each prompt, every link once per session.
+
+    ``candidates`` is the folder that ``prompt_candidates`` fills; the links shown are keyed state.
+    """
+    landed = spark.readStream.schema(CANDIDATES).option("recursiveFileLookup", "true").parquet(candidates)
+    return shown_once(landed)
