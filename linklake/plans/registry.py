@@ -996,9 +996,7 @@ def stream_recall(spark, d):
     The book's words land before them in two parts, with a compaction in between.
     """
     from ..streaming.capture import prompt_candidates, recalled
-    from ..streaming.keyed import use_rocksdb
 
-    use_rocksdb(spark)
     book, msgs, _ = _book(spark, d)
     vocab, total = _vocab(msgs)
     folder, found, out = (_scratch(spark, x) for x in ("prompts", "candidates", "recalled"))
@@ -1036,18 +1034,15 @@ def word_table(spark, d):
 @query
 def stream_stale(spark, d):
     """Fetches as a stream in two landings: each time a resource had gone a week without one. A later row ends the stream."""
-    from ..streaming.keyed import stale_resources, use_rocksdb
+    from ..streaming.keyed import stale_resources
 
-    use_rocksdb(spark)
     fetches = bridge.fetches(spark, d).select("key", c("checked_at").cast("timestamp").alias("checked_at"))
-    before = fetches.groupBy("key").agg(F.min("checked_at").alias("checked_at")).filter(F.xxhash64("key") % 3 == 0)
-    before = cut_lineage(before.withColumn("checked_at", c("checked_at") - F.expr("INTERVAL 10 DAYS")))
     folder, out = _scratch(spark, "fetched"), _scratch(spark, "stale")
     end = fetches.agg((F.max("checked_at") + F.expr("INTERVAL 30 DAYS")).alias("checked_at")).select(F.lit("(end)").alias("key"), "checked_at")
     half = F.lit(MOMENT).cast("timestamp") + F.expr("INTERVAL 15 DAYS")
     for rows in (fetches.filter(c("checked_at") < half), fetches.filter(c("checked_at") >= half), end.filter("checked_at IS NOT NULL")):
         rows.write.mode("append").parquet(folder)
-        stale = stale_resources(spark.readStream.schema(fetches.schema).parquet(folder), before)
+        stale = stale_resources(spark.readStream.schema(fetches.schema).parquet(folder))
         _finish(stale.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-cp").trigger(availableNow=True).start())
     return spark.read.parquet(out).filter("key <> '(end)'").select("key", _iso("checked_at").alias("checked_at"), _iso("due_at").alias("due_at"))
 

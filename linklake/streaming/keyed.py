@@ -1,134 +1,98 @@
 """Live operators on keyed state: links shown per session, and resources that fall stale.
 
-State lives in Spark's RocksDB store, one entry per session or resource, and is changed only for the keys of a
-batch or of a timer that fires. So the work of a batch follows the batch and not what came before it.
+Spark keeps one state per session or resource and touches only those of a batch or of a timer that fires. So the
+work of a batch follows the batch and not what came before it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime, timedelta
-from itertools import groupby
+from datetime import timedelta
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-WEEK_MS = 7 * 24 * 3600 * 1000
+SHOWN = "msg_id bigint, session string, key string, rank int, at timestamp"
+DUE = "key string, checked_at timestamp, due_at timestamp"
+WEEK = timedelta(days=7)
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """Queries with keyed state need this store; it spills to disk, so state may outgrow memory."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+def _table(rows: list[tuple], schema: str) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
 
 
-def _ms(at: datetime) -> int:
-    return int(at.timestamp() * 1000)
+def _ms(at: pd.Timestamp) -> int:
+    return int(at.value // 1_000_000)
 
 
-def _rearm(handle: StatefulProcessorHandle, at_ms: int) -> None:
-    for timer in list(handle.listTimers()):
-        handle.deleteTimer(timer)
-    handle.registerTimer(at_ms)
-
-
-class ShownOnce(StatefulProcessor):
-    """The best candidates of each message that its session hasn't been shown yet.
+def shown_once(candidates: DataFrame, most: int = 3, silence: timedelta = timedelta(days=30)) -> DataFrame:
+    """The ``most`` best of each message's streamed ``candidates`` (same columns) that its session hasn't been shown yet.
 
-    State: the keys shown. A timer forgets a session that has been silent for ``silence_ms`` of processing time.
+    State: the links shown to a session and by which message; a timer ends it when event time is ``silence`` past the session's
+    last message, and messages further behind than that are left out by Spark's watermark. A message's candidates arrive in one batch. Messages without a session are sessions of their own, and a message that comes again,
+    from a batch that was run twice, shows nothing more.
     """
-
-    def __init__(self, most: int, silence_ms: int):
-        self.most, self.silence_ms = most, silence_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.shown = handle.getMapState("shown", "key string", "msg_id bigint")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        by_message = sorted(rows, key=lambda r: (r.at, r.msg_id, r.rank))
-        for (at, msg), candidates in groupby(by_message, key=lambda r: (r.at, r.msg_id)):
-            candidates = list(candidates)
-            shown_by = [self.shown.getValue((r.key,))[0] if self.shown.containsKey((r.key,)) else None for r in candidates]
-            if msg in shown_by:  # the same message again, from a batch that was run twice
+    silence_ms = int(silence.total_seconds() * 1000)
+
+    def pick(own: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        keys, by = map(list, state.get) if state.exists else ([], [])
+        shown, answered, out = set(keys), set(by), []
+        rows = pd.concat(list(batches)).sort_values(["at", "msg_id", "rank"])
+        for (at, msg), group in rows.groupby(["at", "msg_id"], sort=True, dropna=False):
+            if msg in answered:
                 continue
-            # a link already shown gives its place to the next one
-            fresh = [r for r, by in zip(candidates, shown_by, strict=True) if by is None]
-            for i, r in enumerate(fresh[: self.most]):
-                self.shown.updateValue((r.key,), (msg,))
-                yield Row(msg_id=msg, session=r.session, key=r.key, rank=i + 1, at=at)
-        _rearm(self.handle, timerValues.getCurrentProcessingTimeInMs() + self.silence_ms)
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.shown.clear()
-        return iter(())
-
-
-def shown_once(candidates: DataFrame, most: int = 3, silence: timedelta = timedelta(days=30)) -> DataFrame:
-    """``msg_id, session, key, rank, at`` of streamed ``candidates`` with the same columns.
+            session = group["session"].iloc[0]
+            for i, key in enumerate([k for k in group["key"] if k not in shown][:most]):
+                out.append((msg, session, key, i + 1, at))
+                shown.add(key)
+                keys.append(key)
+                by.append(int(msg))
+        state.update((keys, by))
+        last = rows["at"].max()
+        state.setTimeoutTimestamp(max(0 if pd.isna(last) else _ms(last), state.getCurrentWatermarkMs()) + silence_ms)
+        yield _table(out, SHOWN)
 
-    A message's candidates arrive in one batch. Messages without a session are sessions of their own.
-    """
     own = F.coalesce(F.concat(F.lit("s:"), "session"), F.concat(F.lit("m:"), F.col("msg_id").cast("string")))
-    return candidates.withColumn("_own", own).groupBy("_own").transformWithState(
-        ShownOnce(most, int(silence.total_seconds() * 1000)), "msg_id bigint, session string, key string, rank int, at timestamp", "append", "processingTime",
+    timely = candidates.withWatermark("at", f"{silence_ms} milliseconds")
+    return timely.withColumn("_own", own).groupBy("_own").applyInPandasWithState(
+        pick, SHOWN, "keys array<string>, messages array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
-class Staleness(StatefulProcessor):
-    """When a resource has gone a week without a fetch.
-
-    State: the last fetch and whether it has been reported. A fetch re-arms the timer; a later fetch that comes after the
-    week was over reports the lapse itself, so results don't depend on how rows fall into batches.
-    """
-
-    def __init__(self, week_ms: int):
-        self.week_ms = week_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "at timestamp, reported boolean")
+def stale_resources(verdicts: DataFrame, lateness: str = "1 day", age: timedelta = WEEK) -> DataFrame:
+    """``key, checked_at, due_at`` of each resource when event time passes ``age`` after its last fetch.
 
-    def _due(self, name: str, at: datetime) -> Row:
-        return Row(key=name, checked_at=at, due_at=at + timedelta(milliseconds=self.week_ms))
-
-    def _known(self) -> tuple:
-        return tuple(self.last.get()) if self.last.exists() else (None, False)
-
-    def handleInitialState(self, key: tuple, initialState: Row, timerValues) -> None:
-        if initialState.checked_at is not None:
-            self.last.update((initialState.checked_at, False))
-            self.handle.registerTimer(_ms(initialState.checked_at) + self.week_ms)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        at, reported = self._known()
-        for fetched in sorted(r.checked_at for r in rows if r.checked_at is not None):
-            if at is not None and fetched <= at:
-                continue
-            if at is not None and not reported and _ms(fetched) > _ms(at) + self.week_ms:
-                yield self._due(key[0], at)
-            at, reported = fetched, False
-        if at is not None and not reported:
-            self.last.update((at, False))
-            _rearm(self.handle, _ms(at) + self.week_ms)
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        at, reported = self._known()
-        if at is not None and not reported:
-            self.last.update((at, True))
-            yield self._due(key[0], at)
-
-
-def stale_resources(verdicts: DataFrame, checked: DataFrame | None = None, lateness: str = "1 day", week_ms: int = WEEK_MS) -> DataFrame:
-    """``key, checked_at, due_at`` of each resource when event time passes a week after its last fetch.
-
-    ``verdicts`` (key, checked_at) is a stream; ``checked`` (key, checked_at) says what was fetched before it began. Resources
-    never fetched are due at once and need no state: take them from the library. Verdicts later than ``lateness`` behind
-    the newest are too late for the watermark and are left out by Spark.
+    ``verdicts`` (key, checked_at) is a stream of fetches. State: a resource's last fetch, and whether its lapse is reported. A
+    fetch sets the timer anew; one that comes after the week was over reports the lapse itself, so results don't depend on how
+    rows fall into batches. Fetches that are later than ``lateness`` behind the newest are left out by Spark's watermark.
     """
-    timely = verdicts.filter("key IS NOT NULL").withWatermark("checked_at", lateness)
-    before = None if checked is None else checked.filter("key IS NOT NULL").groupBy("key")
-    return timely.groupBy("key").transformWithState(
-        Staleness(week_ms), "key string, checked_at timestamp, due_at timestamp", "append", "eventTime", before,
-    )
+    age_ms = int(age.total_seconds() * 1000)
+
+    def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at_ms, reported = state.get if state.exists else (None, False)
+        lapsed = []
+        if state.hasTimedOut:
+            lapsed, reported = [at_ms], True
+        else:
+            for fetched in sorted(_ms(x) for b in batches for x in b["checked_at"]):
+                if at_ms is not None and fetched <= at_ms:
+                    continue
+                if at_ms is not None and not reported and fetched > at_ms + age_ms:
+                    lapsed.append(at_ms)
+                at_ms, reported = fetched, False
+            if not reported and at_ms + age_ms <= state.getCurrentWatermarkMs():
+                lapsed.append(at_ms)
+                reported = True
+        state.update((at_ms, reported))
+        if not reported:
+            state.setTimeoutTimestamp(at_ms + age_ms)
+        times = pd.to_datetime(pd.Series(lapsed, dtype="int64"), unit="ms")
+        yield pd.DataFrame({"key": key[0], "checked_at": times, "due_at": times + age})
+
+    timely = verdicts.filter("key IS NOT NULL AND checked_at IS NOT NULL").withWatermark("checked_at", lateness)
+    return timely.groupBy("key").applyInPandasWithState(watch, DUE, "at_ms bigint, reported boolean", "append", GroupStateTimeout.EventTimeTimeout)
