@@ -649,3 +649,18 @@ ORACLE["stream_search_chains"] = ORACLE["search_chains"]
 ORACLE["stream_recall"] = with_(BOOK, KW, RARE, ONCE_ALL, recursive=True) + (
     "SELECT msg_id, session, CAST(r AS INT) AS rank, picked[r] AS key FROM (SELECT msg_id, session, picked, unnest(range(1, len(picked) + 1)) AS r FROM ons)"
 )
+ORACLE["word_table"] = with_(BOOK, LT) + f"""SELECT term, key, {TS('since')} AS since, {TS('common')} AS common_from FROM (
+ SELECT term, key, since, row_number() OVER w AS r, max(CASE WHEN nth = 6 THEN since END) OVER (PARTITION BY term) AS common
+ FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY since, key) AS nth FROM (SELECT term, key, least(own_at, body_at) AS since FROM lt))
+ WINDOW w AS (PARTITION BY term ORDER BY since, key)) WHERE r <= 5"""
+ORACLE["stream_growing_log"] = """WITH r AS (SELECT CAST(floor(conv_id / 20) AS INT) AS log, conv_id, turn, '{"turn":' || turn || ',"text":"' || md5(coalesce(text, '')) || '"}' AS line
+ FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+l AS (SELECT log, max(conv_id) AS last FROM r WHERE turn = 1 GROUP BY 1),
+o AS (SELECT r.*, CASE WHEN turn = 0 THEN 0 WHEN turn = 1 AND conv_id <> last THEN 1 WHEN turn = 1 THEN 2 ELSE 3 END AS part FROM r LEFT JOIN l USING (log)),
+k AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY log ORDER BY part, turn, conv_id) AS upto FROM o WHERE part < 3 OR log % 3 <> 0),
+n AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY log ORDER BY conv_id) AS upto FROM r WHERE turn = 0 AND log % 3 = 0 AND conv_id % 20 = 1)
+SELECT log, CAST(upto - length(line) - 1 AS BIGINT) AS pos, line AS value FROM k
+UNION ALL SELECT log, CAST(upto - length(line) - 1 AS BIGINT), line FROM n WHERE (SELECT max(upto) FROM n m WHERE m.log = n.log) < (SELECT max(upto) FROM k WHERE k.log = n.log)"""
+ORACLE["stream_stale"] = with_(FL, canon("fl1", "fc"), keyed("fc", "fk")) + f"""SELECT key, {TS('checked_at')} AS checked_at, {TS("checked_at + INTERVAL '7' DAY")} AS due_at FROM (
+ SELECT key, checked_at, lead(checked_at) OVER (PARTITION BY key ORDER BY checked_at) AS later FROM (SELECT DISTINCT key, checked_at FROM fk WHERE key IS NOT NULL))
+ WHERE later IS NULL OR later > checked_at + INTERVAL '7' DAY"""
