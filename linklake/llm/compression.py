@@ -3,20 +3,20 @@
 Method: the ratio of plain to compressed size says how repetitive a text is. A document is kept if
 its whole ratio lies in the band for its length, and if few of its bytes lie in fixed chunks whose
 own ratio is out of the band for chunks. Short texts compress badly and long ones well, so every
-length has limits of its own. They are fixed numbers taken from the spread of ratios in a labelled
-sample, the 88,145 texts of quality 1 in check_l: the closest line over all of them, straight between
-powers of two, and 0.03 beyond it above; 0.3 beyond it below, as scripts of several bytes compress less.
-Above 64 KB the sample has five such texts, so there the limits are carried on.
+length has limits of its own. They are fitted to the table at hand (``fit_limits``): from the spread of ratios over
+the documents labelled good, in classes of length, all of them counted. A class with too few labelled documents takes
+the wide limits of ``LIMITS``, which ordinary prose in any script meets.
 
 Defined results: a null or empty text has no words, fails the base rule and is rejected. Repeated
-rows get equal verdicts. Null ids and extra columns are carried along and never read.
+rows get equal verdicts. Null ids and extra columns are carried along and never read. Texts of any length are compressed whole.
+Empty tables of documents or labels give the wide limits. Labels that contradict each other for an id don't count, nor do null ids.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -37,18 +37,22 @@ class Limits:
     chunks. ``level``: zstandard level."""
 
     bands: tuple[tuple[int, float, float], ...] = (
-        (1, 0.0, 1.25), (64, 0.52, 1.25), (128, 0.66, 1.44), (256, 0.84, 1.72), (512, 1.08, 1.83), (1024, 1.24, 2.23),
-        (2048, 1.45, 2.24), (4096, 1.65, 2.3), (8192, 1.7, 2.42), (16384, 1.9, 2.49), (32768, 1.95, 2.54),
-        (65536, 1.95, 2.62), (131072, 1.95, 2.68), (1048576, 1.95, 2.9),
+        (1, 0.0, 2.0), (64, 0.4, 2.5), (256, 0.7, 3.0), (1024, 1.05, 3.5), (4096, 1.25, 4.0), (16384, 1.35, 4.5), (65536, 1.45, 5.0), (1048576, 1.45, 6.0),
     )
     chunk: int = 4096
-    chunk_low: float = 1.2
-    chunk_high: float = 2.33
+    chunk_low: float = 1.25
+    chunk_high: float = 4.0
     chunk_share: float = 0.25
     level: int = 3
 
 
+#: Limits that need no sample.
 LIMITS = Limits()
+#: Classes of length are powers of two; one counts if it has this many labelled documents.
+LEAST_LABELLED = 50
+#: Share of labelled documents that may lie beyond a limit on its side, before the margins.
+BEYOND = 0.0005
+MARGIN_LOW, MARGIN_HIGH = 0.3, 0.03  # scripts of several bytes compress less, so there is more room below
 SCHEMA = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean,"
     " kept boolean, n_bytes long, ratio double, worst_chunk_ratio double, bad_chunk_share double"
@@ -135,6 +139,46 @@ def measures(text: str | Column, limits: Limits = LIMITS) -> Column:
     return F.pandas_udf(run, SCHEMA)(F.col(text) if isinstance(text, str) else text)
 
 
+def chunk_spread(text: str | None, limits: Limits, squeeze) -> tuple[int, float, float | None]:
+    """Bytes and ratio of a text, and the ratio of the chunk in its middle, if it is longer than a chunk."""
+    data = (text or "").encode("utf-8", "replace")
+    middle = (len(data) - limits.chunk) // 2
+    part = data[middle : middle + limits.chunk]
+    return len(data), len(data) / len(squeeze(data)) if data else 0.0, len(part) / len(squeeze(part)) if middle > 0 else None
+
+
+def fit_limits(docs: DataFrame, labels: DataFrame, limits: Limits = LIMITS, text: str = "text", label: str = "quality") -> Limits:
+    """``limits`` with the bands of the documents that ``labels`` (doc_id, 0/1) calls good.
+
+    One pass over the labelled documents; what reaches the driver is a row for each class of length. A class's limits stand at the mean
+    length (by logarithm) of its documents, and go straight between classes. Beyond the last class they are carried on.
+    """
+    good = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("least"), F.max(label).alias("most"))
+    good = good.filter("least = 1 AND most = 1").select("doc_id")
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        squeeze = zstandard.ZstdCompressor(level=limits.level).compress
+        return pd.DataFrame([chunk_spread(x, limits, squeeze) for x in texts.tolist()], columns=["bytes", "ratio", "chunk"])
+
+    made = docs.select("doc_id", F.col(text).alias("text")).join(good, "doc_id", "left_semi")
+    made = made.select(F.pandas_udf(run, "bytes long, ratio double, chunk double")("text").alias("m")).select("m.*").filter("bytes > 0")
+    ends = lambda x: F.percentile_approx(x, F.array(F.lit(BEYOND), F.lit(1 - BEYOND)), 10_000)
+    by_length = made.groupBy(F.floor(F.log2("bytes")).alias("class")).agg(F.count("*").alias("n"), F.avg(F.log2("bytes")).alias("at"), ends("ratio").alias("ends"))
+    fitted = {r["class"]: r for r in by_length.collect() if r.n >= LEAST_LABELLED}
+    if not fitted:
+        return limits
+    bands = [(int(2**r.at), max(0.0, r.ends[0] - MARGIN_LOW), r.ends[1] + MARGIN_HIGH) for _, r in sorted(fitted.items())]
+    # shorter and longer texts than any labelled one: the wide limits, from the next power of two on
+    first, last = min(fitted), max(fitted)
+    short = [(n, *band(n, limits)) for n in (2 ** (first - 1), 1) if n < bands[0][0] and first > 0]
+    long = [(n, *band(n, limits)) for n in (2 ** (last + 2), 1 << 24) if n > bands[-1][0]]
+    chunks = made.filter("chunk IS NOT NULL").agg(F.count("*").alias("n"), ends("chunk").alias("ends")).first()
+    low, high = limits.chunk_low, limits.chunk_high
+    if chunks.n >= LEAST_LABELLED:
+        low, high = max(0.0, chunks.ends[0] - MARGIN_LOW), chunks.ends[1] + MARGIN_HIGH
+    return replace(limits, bands=(*sorted(short), *bands, *long), chunk_low=low, chunk_high=high)
+
+
 def keep_ordinary(docs: DataFrame, text: str = "text", limits: Limits = LIMITS) -> DataFrame:
     """The rows of ``docs`` whose text passes the base rule and the compression bands, all columns as they were."""
     return docs.filter(measures(text, limits)["kept"])

@@ -4,8 +4,8 @@ Documents are tokenized, those longer than a sequence are cut, and the pieces ar
 bounded size. In a group, pieces go longest first into the fullest bin that takes them. Then a local
 search works on the bins with free room: it moves one or two pieces, or exchanges one or two for one or
 two, from the emptiest bin to a fuller one whenever the fuller one gains, which raises the sum of
-squared fills, until no exchange gains or no fewer bins can hold the tokens. Bins that stay underfull are opened and their pieces packed again,
-in fewer groups, until one group is left.
+squared fills, until no exchange gains or no fewer bins can hold the tokens. Bins that stay underfull are opened and their pieces
+dealt anew among fewer groups, until a round closes few more. Groups never grow.
 
 Defined results: a null or empty text is the end token alone. Repeated rows are packed as often as they
 come. Null ids are carried along.
@@ -22,15 +22,17 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import bucket, cut_lineage, map_rows
+from .common import cut_lineage, map_rows
 from .words import Encoded, library, portions, words_of
 
 LENGTH = 4096
 END_ID = 1
 GROUP = 20_000  # pieces a task packs at a time
+DEALT, FULL, ROW = "_packing_group", "_packing_full", "_packing_row"
 OPEN = 0.98  # bins filled less are packed again with those of other groups
 
 
@@ -253,7 +255,7 @@ def packed(lengths: list[int], size: int = LENGTH) -> list[list[int]]:
 def _packer(turn: int, last: bool, size: int, schema: pa.Schema):
     def run(group: pa.Table) -> pa.Table:
         lengths = group["length"].to_pylist()
-        number = group["_group"][0].as_py()
+        number = group[DEALT][0].as_py()
         rows, ids, offsets, full = [], [], [], []
         for b, held in enumerate(packed(lengths, size)):
             at = 0
@@ -264,7 +266,7 @@ def _packer(turn: int, last: bool, size: int, schema: pa.Schema):
                 offsets.append(at)
                 full.append(closed)
                 at += lengths[k]
-        made = group.drop_columns("_group").take(pa.array(rows, pa.int64()))
+        made = group.drop_columns(DEALT).take(pa.array(rows, pa.int64()))
         columns = [*made.columns, pa.array(ids, pa.int64()), pa.array(offsets, pa.int64()), pa.array(full, pa.bool_())]
         return pa.Table.from_arrays(columns, names=schema.names).cast(schema)
 
@@ -272,37 +274,35 @@ def _packer(turn: int, last: bool, size: int, schema: pa.Schema):
 
 
 def pack(items: DataFrame, size: int = LENGTH, group: int = GROUP) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to rows with a ``length`` of at most ``size``.
+    """Add ``sequence_id`` and ``offset`` to rows with a ``length`` of at most ``size``; columns of these names are replaced.
 
-    Groups of about ``group`` rows are packed apart; what stays in underfull bins is packed again with
-    what other groups left, so only the last group leaves more than a few tokens free in a bin.
+    Groups of about ``group`` rows are packed apart. What stays in underfull bins is dealt anew among fewer groups and packed
+    again, as long as a round closes a tenth of the rows; then bins stay as they are. So no task ever holds more than a group.
     """
-    kept = [f for f in items.schema if f.name not in ("sequence_id", "offset")]
-    names = [f.name for f in kept]
-    added = [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("full", T.BooleanType())]
-    out = T.StructType(kept + added)
-    rest = items.select(*names)
+    names = [f.name for f in items.schema if f.name not in ("sequence_id", "offset")]
+    number = T.StructField(ROW, T.LongType())
+    added = [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField(FULL, T.BooleanType())]
+    out = T.StructType([items.schema[x] for x in names] + [number] + added)
+    # a number of its own deals equal rows to different groups; it is written down, so that it stays the same
+    rest = cut_lineage(items.select(*names, F.monotonically_increasing_id().alias(ROW)))
     done, turn, left = [], 0, rest.count()
     while True:
-        groups = max(1, round(left / group))
-        dealt = rest.withColumn("_group", bucket(groups, *names))
+        groups = max(1, -(-left // group))
+        dealt = rest.withColumn(DEALT, F.pmod(F.xxhash64(ROW, F.lit(turn)), F.lit(groups)).cast("int"))
         run = _packer(turn, groups == 1, size, to_arrow_schema(out))
-        made = cut_lineage(dealt.groupBy("_group").applyInArrow(run, out))
-        done.append(made.filter("full").drop("full"))
-        if groups == 1:
+        made = cut_lineage(dealt.groupBy(DEALT).applyInArrow(run, out))
+        now = made.filter(~F.col(FULL)).count()
+        over = not now or now > 0.9 * left
+        done.append(made if over else made.filter(FULL))
+        if over:
             break
-        rest = made.filter("not full").select(*names)
-        now = rest.count()
-        if not now:
-            break
-        if now > 0.9 * left:  # hardly any bin gets full: fewer, larger groups
-            group *= 2
+        rest = made.filter(~F.col(FULL)).select(*names, ROW)
         left, turn = now, turn + 1
     whole = done[0]
     for d in done[1:]:
         whole = whole.union(d)
-    return whole
+    return whole.drop(FULL, ROW)
 
 
 def pack_documents(docs: DataFrame, path: str, keep: list[str], text: str = "text", length: int = LENGTH) -> DataFrame:
-    return pack(cut_lineage(pieces(docs, path, keep, text, length)), length)
+    return pack(pieces(docs, path, keep, text, length), length)

@@ -34,7 +34,8 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", compression.measures("text").alias("m")).select("doc_id", "m.*")
+    limits = compression.fit_limits(docs, table(spark, sf_dir, "labels"))
+    return docs.select("doc_id", compression.measures("text", limits).alias("m")).select("doc_id", "m.*")
 
 
 @query

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import map_rows
-from .words import END, Encoded, portions, words_of
+from .words import END, SHORT, Encoded, portions, words_of
 
 NEVER = 1 << 60
 MOST_WORDS, MOST_PIECES = 500_000, 700_000
@@ -175,6 +175,9 @@ def coder(path: str) -> Encoded:
                 out.append(known[ws[0]])
             else:
                 out.append((b"".join([known[w][0] for w in ws]), b"".join([known[w][1] for w in ws])))
+        for w in new:  # only short words are kept for the next batch, so that memory is bounded by bytes
+            if len(w) > SHORT:
+                del known[w]
         return out
 
     held = Encoded(path, encode, most=MOST_PIECES)

@@ -20,6 +20,7 @@ WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 # Latin letters, ASCII marks and the usual spaces: lower-casing, NFC and classes are certain here
 UNSURE = re.compile("[^\t-\r\x20-\x7e\xa1\xab\xbb\xbf-\xd6\xd8-\xf6\xf8-įĹ-ňŊ-ž–—‘-”…€]")
 END = "</w>"
+SHORT = 64
 
 
 @lru_cache(maxsize=4)
@@ -78,7 +79,8 @@ class Encoded:
     """What each piece between white space becomes, worked out once for a batch and kept for the next.
 
     ``encode`` takes the batch's unknown pieces and gives their values. When it holds over ``most``
-    pieces only those of the present batch stay, which bounds memory and changes no result.
+    pieces only those of the present batch stay, and pieces of over ``SHORT`` characters, such as whole texts of doubtful
+    characters, are never kept for the next batch. That bounds memory by bytes and changes no result.
     """
 
     def __init__(self, path: str, encode: Callable[[list[str]], list], most: int = 450_000):
@@ -100,8 +102,9 @@ class Encoded:
         met = set().union(*texts)
         if len(self.known) > self.most:
             self.known = {x: self.known[x] for x in met if x in self.known}
-        new = met.difference(self.known)
-        if new:
-            new = list(new)
-            self.known.update(zip(new, self.encode(new), strict=True))
-        return self.known.__getitem__
+        new = list(met.difference(self.known))
+        long = {}
+        for x, value in zip(new, self.encode(new) if new else (), strict=True):
+            (self.known if len(x) <= SHORT else long)[x] = value
+        known = self.known
+        return (lambda x: long[x] if x in long else known[x]) if long else known.__getitem__

@@ -117,3 +117,20 @@ def test_no_exchange_is_left_that_gains():
         for e, b in permutations(range(len(found)), 2):
             if fills[b] >= fills[e]:
                 assert not any(0 < t - y <= 100 - fills[b] for t in sums(found[e], lengths) for y in sums(found[b], lengths))
+
+
+def test_groups_stay_bounded_where_no_bin_fills_up(spark, monkeypatch):
+    """Pieces of just over half a sequence never share one: every one is a bin, and no task sees more than a group."""
+    items = spark.createDataFrame([(i % 7, 2100) for i in range(9000)], "doc_id long, length long")
+    jobs = []
+    keep = packing._packer
+    monkeypatch.setattr(packing, "_packer", lambda turn, last, size, schema: jobs.append(last) or keep(turn, last, size, schema))
+    made = packing.pack(items, group=500)
+    assert made.count() == 9000 and made.select("sequence_id").distinct().count() == 9000
+    assert jobs == [False]  # one round, and not a last group of everything
+
+
+def test_columns_of_the_same_names(spark):
+    items = spark.createDataFrame([(1, 5, 9, 9, "f")], "doc_id long, length long, sequence_id long, offset long, full string")
+    (row,) = packing.pack(items).collect()
+    assert (row.doc_id, row.length, row.offset, row.full) == (1, 5, 0, "f")

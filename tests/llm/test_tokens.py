@@ -81,3 +81,12 @@ def test_ties_follow_the_library():
     for _ in range(2000):
         word = "".join(rng.choice("abc") for _ in range(rng.randint(1, 10)))
         assert own.count(word) == len(lib.encode(word).ids)
+
+
+def test_memory_between_batches_holds_short_pieces_only():
+    held = trie_bpe.coder(WORD_BPE)
+    texts = ["👍 " + "word " * 500 + str(i) for i in range(20)] + ["x" * 5000]
+    lib = Tokenizer.from_file(WORD_BPE)
+    for text, (ids, _) in zip(texts, trie_bpe.encode_texts(texts, WORD_BPE), strict=True):
+        assert array("I", ids).tolist() == lib.encode(text, add_special_tokens=False).ids
+    assert max(map(len, held.known)) <= 64
