@@ -15,8 +15,9 @@ from linklake.llm.common import crc_mod, cut_lineage, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rule and the compression bands."""
-    return compression.keep_ordinary(docs)
+    """Documents that pass the base rule and the compression bands, which are fitted to the labelled documents of ``sf_dir``."""
+    limits = compression.fit_limits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return compression.keep_ordinary(docs, limits=limits)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
