@@ -594,7 +594,7 @@ ORACLE["search_chains"] = with_(
 ORACLE["client_classes"] = """SELECT CASE user_id % 5 WHEN 0 THEN 'none' WHEN 2 THEN 'bot' WHEN 3 THEN 'bot' ELSE 'browser' END AS class, count(*) AS n FROM events GROUP BY 1"""
 ORACLE["visit_records"] = """WITH e AS (SELECT *, user_id || '-' || strftime(ts, '%d') AS visit FROM events), f AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY visit ORDER BY ts, event_id) = 1)
 SELECT visit, nullif(event_id % 7, 0) AS n, nullif(event_id % 3, 0) AS m, nullif(event_id % 2, 0) AS o, CAST(NULL AS BIGINT) AS f, CASE WHEN event_id % 4 = 0 THEN 1 END AS c,
- CASE WHEN event_id % 5 <> 3 THEN 'site' || event_id % 5 || '.com' END AS ref, CASE WHEN event_id % 1500 < 560 THEN 'sm' WHEN event_id % 1500 < 1000 THEN 'md' ELSE 'lg' END AS w, 'en-US' AS l FROM f"""
+ CASE WHEN event_id % 5 <> 3 THEN 'site' || event_id % 5 || '.com' END AS ref, CASE WHEN event_id % 1500 < 560 THEN 'sm' WHEN event_id % 1500 < 1000 THEN 'md' ELSE 'lg' END AS w, 'en-US-posix' AS l FROM f"""
 ORACLE["opted_in"] = "SELECT count(*) AS n, CAST(sum(event_id % 7) AS BIGINT) AS searches FROM events WHERE event_id % 6 <> 0 AND event_id % 9 <> 0 AND event_id % 13 <> 0"
 
 # --- views and sources -------------------------------------------------------------------
