@@ -24,6 +24,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut_lineage
+
 SYMBOLS = [b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">"]
 SPACES = " \t\n\x0b\x0c\r"
 WINDOW = 5
@@ -150,7 +152,7 @@ def chunk_spread(text: str | None, limits: Limits, squeeze) -> tuple[int, float,
 def fit_limits(docs: DataFrame, labels: DataFrame, limits: Limits = LIMITS, text: str = "text", label: str = "quality") -> Limits:
     """``limits`` with the bands of the documents that ``labels`` (doc_id, 0/1) calls good.
 
-    One pass over the labelled documents; what reaches the driver is a row for each class of length. A class's limits stand at the mean
+    One pass over the documents, of which ids and ratios meet the labels; what reaches the driver is a row for each class of length. A class's limits stand at the mean
     length (by logarithm) of its documents, and go straight between classes. Beyond the last class they are carried on.
     """
     good = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("least"), F.max(label).alias("most"))
@@ -160,8 +162,9 @@ def fit_limits(docs: DataFrame, labels: DataFrame, limits: Limits = LIMITS, text
         squeeze = zstandard.ZstdCompressor(level=limits.level).compress
         return pd.DataFrame([chunk_spread(x, limits, squeeze) for x in texts.tolist()], columns=["bytes", "ratio", "chunk"])
 
-    made = docs.select("doc_id", F.col(text).alias("text")).join(good, "doc_id", "left_semi")
-    made = made.select(F.pandas_udf(run, "bytes long, ratio double, chunk double")("text").alias("m")).select("m.*").filter("bytes > 0")
+    # ratios of all texts are worked out where the texts lie; only these few numbers are moved to meet the labels
+    made = docs.select("doc_id", F.pandas_udf(run, "bytes long, ratio double, chunk double")(F.col(text)).alias("m")).select("doc_id", "m.*")
+    made = cut_lineage(made.filter("bytes > 0").join(good, "doc_id", "left_semi"))
     ends = lambda x: F.percentile_approx(x, F.array(F.lit(BEYOND), F.lit(1 - BEYOND)), 10_000)
     by_length = made.groupBy(F.floor(F.log2("bytes")).alias("class")).agg(F.count("*").alias("n"), F.avg(F.log2("bytes")).alias("at"), ends("ratio").alias("ends"))
     fitted = {r["class"]: r for r in by_length.collect() if r.n >= LEAST_LABELLED}
