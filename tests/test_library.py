@@ -32,13 +32,13 @@ def fetch(spark, *rows):
 
 
 ROWS = [
-    sighting(1, "https://www.beautifului.dev/", "Beautiful UI", type="x", author="a", post_id="1"),
-    sighting(2, "https://beautifului.dev", "BeautifulUI", type="chrome", folder="design"),
-    sighting(3, "https://a.com/", section="审美 设计相关", tags=["design"], type="chrome", folder="Other Bookmarks/审美 设计相关"),
-    sighting(4, "https://a.com/", section="电子书", type="x", post_id="1"),
-    sighting(5, "https://merp.example.com/login", "E", type="chrome", folder="work"),
-    sighting(6, "https://nivod.vip/", "泥视频", "电影、剧集、综艺、动漫", "影视", type="x", context="不想花钱，又想看书、追剧、听歌？这 15 个资源站可以先存着。"),
-    sighting(7, "https://annas-archive.gl/", type="manual", by="me"),
+    sighting(1, "https://www.lanternkit.dev/", "Lantern Kit", type="x", author="a", post_id="1"),
+    sighting(2, "https://lanternkit.dev", "LanternKit", type="chrome", folder="design"),
+    sighting(3, "https://a.com/", section="陶艺 手作资料", tags=["design"], type="chrome", folder="Other Bookmarks/陶艺 手作资料"),
+    sighting(4, "https://a.com/", section="木工", type="x", post_id="1"),
+    sighting(5, "https://tally.example.com/login", "E", type="chrome", folder="work"),
+    sighting(6, "https://reelbarn.tv/", "Reelbarn", "watch free movies", "Evenings", type="x", context="Three sites for a rainy weekend."),
+    sighting(7, "https://libgen.example.net/", type="manual", by="me"),
     sighting(8, "https://b.com/?token=1", type="manual"),
     sighting(9, "https://b.com/ok", type="x", author="z"),
 ]
@@ -46,11 +46,11 @@ ROWS = [
 
 def test_fold(spark):
     got = docs(upsert(None, frame(spark, ROWS)).kept())
-    assert got["beautifului.dev"].mentions == 2 and got["beautifului.dev"].names == ["Beautiful UI", "BeautifulUI"]
-    assert got["a.com"].local_sections == ["审美 设计相关"] and got["a.com"].sections == ["电子书"] and got["a.com"].tags == ["design"]
-    assert got["merp.example.com"].url == "https://merp.example.com/" and got["merp.example.com"].flags == ["demoted"]
-    assert got["nivod.vip"].flags == ["legal_risk"]
-    assert got["annas-archive.gl"].flags == ["legal_risk", "shadow_library"]
+    assert got["lanternkit.dev"].mentions == 2 and got["lanternkit.dev"].names == ["Lantern Kit", "LanternKit"]
+    assert got["a.com"].local_sections == ["陶艺 手作资料"] and got["a.com"].sections == ["木工"] and got["a.com"].tags == ["design"]
+    assert got["tally.example.com"].url == "https://tally.example.com/" and got["tally.example.com"].flags == ["demoted"]
+    assert got["reelbarn.tv"].flags == ["legal_risk"]
+    assert got["libgen.example.net"].flags == ["legal_risk", "shadow_library"]
     # A root address with a secret has nowhere to walk up to, so the resource is private as a whole.
     assert got["b.com"].flags == ["private"]
 
@@ -60,7 +60,7 @@ def test_two_batches_equal_one(spark):
     two = docs(upsert(upsert(None, frame(spark, ROWS[:4])).kept(), frame(spark, ROWS[4:])).kept())
     assert one == two
     report = {r.key: r.created for r in upsert_report(upsert(None, frame(spark, ROWS[:3])).kept(), frame(spark, ROWS[3:5])).collect()}
-    assert report == {"a.com": False, "merp.example.com": True}
+    assert report == {"a.com": False, "tally.example.com": True}
 
 
 def test_flag_of_a_replaced_address_stays(spark):
@@ -75,14 +75,14 @@ def test_flag_of_a_replaced_address_stays(spark):
 def test_publish_gate_and_sanitising(spark):
     lib = upsert(None, frame(spark, ROWS)).kept()
     why = {r.key: r.why for r in publish.publish_gate(entries(lib)).collect()}
-    assert why == {"beautifului.dev": None, "a.com": None, "merp.example.com": "demoted-without-public-source", "nivod.vip": "legal_risk",
-                   "annas-archive.gl": "legal_risk", "b.com": "private"}
-    vouched = upsert(lib, frame(spark, [sighting(20, "https://merp.example.com/", type="x", author="q")]))
-    assert {r.key: r.why for r in publish.publish_gate(entries(vouched)).collect()}["merp.example.com"] is None
+    assert why == {"lanternkit.dev": None, "a.com": None, "tally.example.com": "demoted-without-public-source", "reelbarn.tv": "legal_risk",
+                   "libgen.example.net": "legal_risk", "b.com": "private"}
+    vouched = upsert(lib, frame(spark, [sighting(20, "https://tally.example.com/", type="x", author="q")]))
+    assert {r.key: r.why for r in publish.publish_gate(entries(vouched)).collect()}["tally.example.com"] is None
     shipped = publish.published_library(lib)
     text = " ".join(r.v for r in shipped.facts.select(F.to_json(F.struct("*")).alias("v")).collect())
-    assert "审美" not in text and "design\"" in text and "folder" not in text
-    rows = {r.type: r for r in shipped.facts.filter("kind = 'source' AND key = 'beautifului.dev'").select("source.*").collect()}
+    assert "陶艺" not in text and "design\"" in text and "folder" not in text
+    rows = {r.type: r for r in shipped.facts.filter("kind = 'source' AND key = 'lanternkit.dev'").select("source.*").collect()}
     assert rows["bookmark"].at is None and rows["x"].author == "a"
     held = {r.why: r.n for r in publish.held_counts(entries(lib)).collect()}
     assert held == {"demoted-without-public-source": 1, "legal_risk": 2, "private": 1}
@@ -96,20 +96,20 @@ def test_source_dates_are_cut_to_the_month(spark):
 
 
 def test_rename_folds_and_catch_all_does_not(spark):
-    rows = [sighting(1, "https://godly.website/", "Godly", type="chrome", folder="d"), sighting(2, "https://recent.design/", "Recent", type="x", post_id="9"),
+    rows = [sighting(1, "https://moodwall.site/", "Moodwall", type="chrome", folder="d"), sighting(2, "https://fresh.gallery/", "Fresh", type="x", post_id="9"),
             *[sighting(10 + i, f"https://{h}.com/", type="x", post_id=h) for i, h in enumerate("abc")]]
-    log = fetch(spark, ("godly.website", 200, None, "<title>G</title>", "https://recent.design/?ref=godly"),
+    log = fetch(spark, ("moodwall.site", 200, None, "<title>G</title>", "https://fresh.gallery/?ref=moodwall"),
                 *[(f"{h}.com", 200, None, None, "https://hub.com/") for h in "abc"])
     lib = apply_fetches(upsert(None, frame(spark, rows)).kept(), liveness.verdicts(log)).kept()
     head = cut_lineage(entries(lib))
     moves = cut_lineage(redirects.plan_moves(head))
     merged = redirects.merge_redirects(lib, moves, head).kept()
     got = docs(merged)
-    assert set(got) == {"recent.design", "a.com", "b.com", "c.com"}
-    assert got["recent.design"].aliases == ["godly.website"] and got["recent.design"].names == ["Recent", "Godly"]
-    assert got["recent.design"].mentions == 2 and got["recent.design"].first_seen == T0 + dt.timedelta(minutes=1)
-    wanted = spark.createDataFrame([("godly.website",), ("a.com",), ("none.com",)], "name string")
-    assert {(r.name, r.key) for r in search.get_by_key(merged, entries(merged), wanted).collect()} == {("godly.website", "recent.design"), ("a.com", "a.com")}
+    assert set(got) == {"fresh.gallery", "a.com", "b.com", "c.com"}
+    assert got["fresh.gallery"].aliases == ["moodwall.site"] and got["fresh.gallery"].names == ["Fresh", "Moodwall"]
+    assert got["fresh.gallery"].mentions == 2 and got["fresh.gallery"].first_seen == T0 + dt.timedelta(minutes=1)
+    wanted = spark.createDataFrame([("moodwall.site",), ("a.com",), ("none.com",)], "name string")
+    assert {(r.name, r.key) for r in search.get_by_key(merged, entries(merged), wanted).collect()} == {("moodwall.site", "fresh.gallery"), ("a.com", "a.com")}
 
 
 @pytest.mark.parametrize("edges, want", [
@@ -143,7 +143,7 @@ def test_refresh_due(spark):
     lib = upsert(None, frame(spark, ROWS)).kept()
     lib = apply_fetches(lib, liveness.verdicts(fetch(spark, ("a.com", 200, None, None, None))))
     due = {r.key for r in liveness.refresh_due(entries(lib), T0 + dt.timedelta(days=3)).collect()}
-    assert "a.com" not in due and "b.com" not in due and "beautifului.dev" in due
+    assert "a.com" not in due and "b.com" not in due and "lanternkit.dev" in due
     assert "a.com" in {r.key for r in liveness.refresh_due(entries(lib), T0 + dt.timedelta(days=8)).collect()}
 
 
@@ -203,7 +203,7 @@ def test_export(spark, tmp_path):
     assert out["published"] == 2 and out["held"]["legal_risk"] == 2
     packed = "".join(p.read_text() for p in sorted((tmp_path / "index/resources.json").glob("part-*")))
     entries_ = json.loads(packed)["entries"]
-    assert json.loads(packed)["count"] == len(entries_) == 2 and "审美" not in packed
+    assert json.loads(packed)["count"] == len(entries_) == 2 and "陶艺" not in packed
     assert [-e["mentions"] for e in entries_] == sorted(-e["mentions"] for e in entries_)
 
 
