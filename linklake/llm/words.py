@@ -80,11 +80,11 @@ class Encoded:
 
     ``encode`` takes the batch's unknown pieces and gives their values. When it holds over ``most``
     pieces only those of the present batch stay, and pieces of over ``SHORT`` characters, such as whole texts of doubtful
-    characters, are never kept for the next batch. That bounds memory by bytes and changes no result.
+    characters, are forgotten when the next batch comes. That bounds memory by bytes and changes no result.
     """
 
     def __init__(self, path: str, encode: Callable[[list[str]], list], most: int = 450_000):
-        self.path, self.encode, self.most, self.known = path, encode, most, {}
+        self.path, self.encode, self.most, self.known, self.long = path, encode, most, {}, []
         self.special = specials(path)
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
 
@@ -100,11 +100,12 @@ class Encoded:
     def learn(self, texts: list[list[str]]) -> Callable[[str], object]:
         """Make every piece of the batch known; gives the look-up."""
         met = set().union(*texts)
+        for x in self.long:  # those of the batch before
+            del self.known[x]
         if len(self.known) > self.most:
             self.known = {x: self.known[x] for x in met if x in self.known}
         new = list(met.difference(self.known))
-        long = {}
-        for x, value in zip(new, self.encode(new) if new else (), strict=True):
-            (self.known if len(x) <= SHORT else long)[x] = value
-        known = self.known
-        return (lambda x: long[x] if x in long else known[x]) if long else known.__getitem__
+        if new:
+            self.known.update(zip(new, self.encode(new), strict=True))
+        self.long = [x for x in new if len(x) > SHORT]
+        return self.known.__getitem__
