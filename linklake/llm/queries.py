@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from . import (
     byte_bpe, compression, cosine_lsh, gru_toxicity, mil_quality, packing, prefix_trie, simhash, spelling, token_count, trie_bpe, url_markov, warc,
 )
+from .check_sql import SQL
 from .common import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}  # SQL can express none of these; the tests hold them against brute force
+ORACLE: dict[str, str] = dict(SQL)
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
