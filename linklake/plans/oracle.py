@@ -635,7 +635,7 @@ HOUR = "date_trunc('hour', tm)"
 ORACLE["stream_miss_rate"] = with_(events(), "ok AS (SELECT * FROM ev WHERE NOT malformed)") + f"""SELECT {TS(HOUR)} AS window_start, count(*) FILTER (kind = 's') AS visits,
  CAST(coalesce(sum(searches) FILTER (kind = 's'), 0) AS BIGINT) AS searches, CAST(coalesce(sum(misses) FILTER (kind = 's'), 0) AS BIGINT) AS misses, count(*) FILTER (kind = 'miss') AS gaps,
  round(coalesce(sum(misses) FILTER (kind = 's'), 0) / nullif(coalesce(sum(searches) FILTER (kind = 's'), 0), 0), 8) AS miss_rate FROM ok
- GROUP BY {HOUR} HAVING {HOUR} + INTERVAL '1' HOUR <= (SELECT max(tm) - INTERVAL '1' HOUR FROM ok)"""
+ GROUP BY {HOUR}"""
 ORACLE["stream_distinct_messages"] = "SELECT CAST(conv_id AS VARCHAR) AS session, count(DISTINCT text) AS n FROM conversations WHERE role = 'user' GROUP BY 1"
 
 # --- files -------------------------------------------------------------------------------

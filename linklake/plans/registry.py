@@ -930,13 +930,6 @@ def backfill(spark, d):
 # --- streaming ---------------------------------------------------------------------------
 
 
-def _event_stream(spark, d) -> DataFrame:
-    static = bridge.table(spark, d, "events")
-    stream = spark.readStream.schema(static.schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    stream.createOrReplaceTempView("events")
-    return spark.sql(bridge.SITE_LOG).withColumn("at", c("tm").cast("timestamp"))
-
-
 def _finish(query_) -> None:
     query_.awaitTermination()  # raises what the stream failed with
 
@@ -947,12 +940,16 @@ def _scratch(spark, name: str) -> str:
 
 @query
 def stream_miss_rate(spark, d):
-    """The event log as a stream: one final row per hour the watermark has passed."""
+    """The event log as a stream: one final row per hour. A later row moves the watermark past the last hour."""
     from ..streaming.analytics import hourly_rates
 
-    out = _scratch(spark, "rates")
-    hours = hourly_rates(_event_stream(spark, d).select("at", "c", "a"))
-    _finish(hours.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-cp").trigger(availableNow=True).start())
+    rows = bridge.view(spark, d, "site_log").select(c("tm").cast("timestamp").alias("at"), "c", "a")
+    folder, out = _scratch(spark, "events"), _scratch(spark, "rates")
+    end = rows.agg((F.max("at") + F.expr("INTERVAL 2 DAYS")).alias("at")).select("at", F.lit("browser").alias("c"), F.lit("e=s").alias("a"))
+    for part in (rows, end.filter("at IS NOT NULL")):
+        part.write.mode("append").parquet(folder)
+        hours = hourly_rates(spark.readStream.schema(rows.schema).parquet(folder))
+        _finish(hours.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-cp").trigger(availableNow=True).start())
     return spark.read.parquet(out).select(_iso("window_start").alias("window_start"), "visits", "searches", "misses", "gaps", F.round("miss_rate", 8).alias("miss_rate"))
 
 
