@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.text import memory_words, utf16_length
+from ..session import cut_lineage
 from .memory import SHORT_REMARK, LinkBook, find_links, keywords, pick_links, weighted_terms
 from .skew import is_true, last_before, salted_join, with_neighbours
 
@@ -185,6 +186,8 @@ def recent_candidates(
     if skip:
         fresh = (pick_links(messages) if picks is None else picks).select("msg_id", "key")
         pairs = pairs.join(fresh, ["msg_id", "key"], "left_anti")
+    # The largest table of the job, read below for the meetings and for the words: written down once.
+    pairs = cut_lineage(pairs)
 
     meetings = last_before(pairs.select("msg_id", "at", "session", "key").distinct(), remark_trail(book), "key", "at", "remark")
     elsewhere = F.when(~c("remark.said_in").eqNullSafe(c("session")), c("remark.said_at")).otherwise(c("remark.other_at"))
@@ -199,6 +202,7 @@ def recent_candidates(
 def rank_recent(candidates: DataFrame, limit: int = 3) -> DataFrame:
     """A word speaks when it names two different things and stands in a title; newest links first."""
     c = F.col
+    candidates = cut_lineage(candidates)
     words = candidates.groupBy("msg_id", "term").agg(
         F.count_distinct("thing").alias("things"), F.max("in_title").alias("titled")
     ).filter("things >= 2 AND titled")
