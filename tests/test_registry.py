@@ -34,4 +34,5 @@ def test_tokens_are_compiled_and_complete(spark):
 
 
 def test_shared_tables_are_written_down_once(spark, data):
+    assert "documents" not in _plan(QUERIES["post_library"](spark, data)) and "posexplode" not in _plan(QUERIES["post_library"](spark, data))
     assert "Generate" not in _plan(QUERIES["recall_recent"](spark, data))
