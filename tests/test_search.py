@@ -109,3 +109,33 @@ def test_dead_entries_sink_but_stay(spark):
     got = search.top_k(scored.withColumn("score", F.col("score") * F.col("prior"))).orderBy("rank").collect()
     assert [r.doc for r in got] == ["live.com", "dead.com"]
     assert abs(got[0].score / got[1].score - 1.1 / 0.15) < 1e-9
+
+
+def _tied(spark):
+    """Documents of equal, nearly equal and different scores, with null ids, and queries that are copies, empty, null or bilingual."""
+    rows = list(_mixed_fields(seed=9, docs=150)) + [(f"t{i:03}", "title", "w1 w2 same 设计") for i in range(60)]
+    rows += [(None, "title", "w1 same"), ("n1", "title", None), ("n2", "title", "")]
+    asked = [(f"q{i}", t) for i, t in enumerate(["w1 w2", "same", "w2 w1", "same", "设计灵感 w5", "", "absent", "w1 absent", "shaders w3 w4 w7 w9"])]
+    asked = spark.createDataFrame([*asked, ("q1", "same w2"), (None, "w1")], "query_id string, query string")
+    return search.build_index(_fields(spark, rows)), search.expand_queries(asked)
+
+
+def test_search_by_many_tiles_and_blocks_equals_scoring_everything(spark, monkeypatch):
+    monkeypatch.setattr(search, "TILE", 300)
+    monkeypatch.setattr(search, "TERMS", 4)
+    index, terms = _tied(spark)
+    whole = search.score(index, terms)
+    for k, digits in ((5, 6), (5, 12), (70, 6)):
+        rows = lambda df: {(r.query_id, r.doc, r.rank, round(r.score, 6)) for r in search.top_k(df.withColumn("score", F.round("score", digits)), k).collect()}
+        assert rows(search.best_scores(index, terms, k)) == rows(whole)
+
+
+def test_search_writes_no_pairs_of_queries_and_documents(spark, tmp_path, monkeypatch):
+    fields = [(f"d{i:05}", "title", f"common words here {i}") for i in range(3000)]
+    index = search.build_index(_fields(spark, fields))
+    terms = search.expand_queries(_queries(spark, *[f"common words absent{i}" for i in range(400)]))
+    most, cut = [], search.cut_lineage
+    monkeypatch.setattr(search, "cut_lineage", lambda df: (made := cut(df), most.append(made.count()))[0])
+    best = search.top_k(search.best_scores(index, terms, 3), 3)
+    assert {(r.doc, r["rank"]) for r in best.collect()} == {(f"d{i:05}", i + 1) for i in range(3)} and best.count() == 1200
+    assert max(most) < 20_000  # of 1,200,000 pairs
