@@ -38,6 +38,9 @@ LONGEST = 200_000
 EPOCHS = 10
 BATCH = 64
 LEAST_STEPS = 500
+#: Characters and windows that are scored at once; a worker holds their words and states several times over.
+PORTION = 1_000_000
+PORTION_WINDOWS = 512
 _PLAIN = bytes.maketrans(
     bytes(x for x in range(128) if not chr(x).isalnum()), b" " * sum(not chr(x).isalnum() for x in range(128))
 )
@@ -299,9 +302,9 @@ def score_texts(texts: list[str | None], model: tuple[dict[bytes, int], dict] |
     if model is None:
         return np.zeros(len(texts))
     out = []
-    for some in portions(texts, 4_000_000):
+    for some in portions(texts, PORTION):
         windows = Windows([split_words(t) for t in some], model[0])
-        logits = window_logits(model[1], windows)
+        logits = window_logits(model[1], windows, PORTION_WINDOWS)
         spans = np.searchsorted(windows.owner, np.arange(len(some)))
         out.append(sigmoid(np.maximum.reduceat(logits.astype(np.float64), spans)))
     return np.concatenate(out) if out else np.zeros(0)

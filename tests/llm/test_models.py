@@ -113,3 +113,16 @@ def test_awkward_rows_and_missing_classes(spark, kind):
             same[r.text].add(round(r.own, 5))
         assert all(len(s) == 1 for s in same.values())
     assert no_docs(spark).select(kind.scores("text", model)).collect() == []
+
+
+def test_toxicity_is_scored_in_small_portions(monkeypatch):
+    texts = [None, "", *[f"word{i} and other words here " * 400 for i in range(300)], "one " * 600_000]
+    vocabulary = {b"word1": 1, b"and": 2, b"one": 3}
+    weights, windows, logits = gru_toxicity.new_weights(3), gru_toxicity.Windows, gru_toxicity.window_logits
+    portions, blocks = [], []
+    monkeypatch.setattr(gru_toxicity, "Windows", lambda some, known: (portions.append([sum(map(len, t)) for t in some]), windows(some, known))[1])
+    monkeypatch.setattr(gru_toxicity, "window_logits", lambda w, of, block=2048: (blocks.append(block), logits(w, of, block))[1])
+    got = gru_toxicity.score_texts(texts, (vocabulary, weights))
+    alone = np.array([logits(weights, windows([gru_toxicity.split_words(t)], vocabulary)).max() for t in texts], float)
+    assert abs(got - 1 / (1 + np.exp(-alone))).max() < 1e-6
+    assert all(sum(p[:-1]) < 1_000_000 for p in portions) and max(blocks) <= 512  # a portion ends with the text that fills it
