@@ -8,8 +8,10 @@ Decoding turns ids into pieces and concatenates their bytes. A text's ids and de
 words, joined in order.
 
 A state of the fold is a string of one character a token, ordered like the ranks; two characters are a pair. The rank map is a
-literal of small buckets, because Spark searches a map entry by entry. A step merges all places of the best pair, or
-the leftmost alone where the token that it makes could change what comes next. A word longer than any token is
+literal of small buckets, because Spark searches a map entry by entry; pairs of bytes, with which words start, are found by place.
+The state of a word of at most ``SHORT`` bytes also holds what each pair makes: a step merges the leftmost place of the best pair
+and looks up only the two pairs that this makes. In longer words a step looks up all pairs and merges all places of the best
+one, or the leftmost alone where the token that it makes could change what comes next. A word longer than any token is
 first cut between bytes that stand side by side in no token, as nothing merges across.
 
 Every row is worked on alone: no shuffle, nothing remembered between blocks; a block holds ``BLOCK`` characters or one
@@ -25,9 +27,9 @@ from __future__ import annotations
 import base64
 import json
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +43,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 BUCKETS = 1 << 16
 BLOCK = 32 << 20
 NONE = "\U0010ffff"
+#: Stand for no token: between the entries of a bucket, and at both ends of a state.
+BAR, EDGE = "\x01", "\x02"
+#: Bytes of the words whose fold looks up only new pairs.
+SHORT = 48
 #: Bytes of a state above which its pairs are cut out in one go.
 LONG = 256
-MAP = "struct<merges: array<string>, ids: array<string>, pieces: array<string>, bytes: array<string>>"
+MAP = "struct<merges: array<string>, first: array<string>, ids: array<string>, pieces: array<string>, bytes: array<string>>"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -76,8 +82,8 @@ def unreachable(ranks: dict[bytes, int]) -> set[bytes]:
 
 
 def letter(rank: int, alone: bool) -> str:
-    """The character that stands for a token: ordered like the ranks, odd if it is touchy; surrogates are left out."""
-    at = 2 * rank + alone
+    """The character that stands for a token: ordered like the ranks, odd if it is touchy; surrogates, ``BAR`` and ``EDGE`` are left out."""
+    at = 2 * rank + alone + 4
     return chr(at if at < 0xD800 else at + 0x800)
 
 
@@ -98,25 +104,29 @@ def touchy(ranks: dict[bytes, int]) -> set[int]:
 def literal(path: str) -> str:
     """The rank map as JSON.
 
-    A bucket is a string: ``NONE``, then a pair and the token it makes, again and again. What follows a pair starts with its
-    token; if the pair is missing, the whole string counts, which starts with ``NONE``.
+    A bucket is a string: a bar, ``NONE``, a bar, then a pair, a bar, the token it makes and a bar, again and again. So nothing but
+    a pair stands between bars by twos. What follows a pair starts with a bar and its token; if the pair is missing, the whole
+    string counts, which starts with a bar and ``NONE``. ``first`` has what each pair of bytes makes.
     """
     ranks = read_ranks(path)
     if odd := unreachable(ranks):
         raise ValueError(f"{len(odd)} tokens can't be reached by merging, such as {min(odd)!r}")
     alone = touchy(ranks)
     letters = {rank: letter(rank, rank in alone) for rank in ranks.values()}
-    merges = [NONE] * BUCKETS
+    merges = [BAR + NONE + BAR] * BUCKETS
+    made = {}
     for left, right, rank in splits(ranks):
         pair = letters[left] + letters[right]
-        merges[xxhash.xxh64_intdigest(pair.encode(), 42) % BUCKETS] += pair + letters[rank]
+        merges[xxhash.xxh64_intdigest(pair.encode(), 42) % BUCKETS] += pair + BAR + letters[rank] + BAR
+        made[pair] = letters[rank]
     size = ord(max(letters.values())) + 1
     ids, pieces = [""] * size, [""] * size
     for piece, rank in ranks.items():
         at = ord(letters[rank])
         ids[at], pieces[at] = rank.to_bytes(4, "little").hex(), piece.hex()
     single = [letters[ranks[bytes([b])]] for b in range(256)]
-    return json.dumps({"merges": merges, "ids": ids, "pieces": pieces, "bytes": single}, separators=(",", ":"))
+    first = [made.get(a + b, NONE) for a in single for b in single]
+    return json.dumps({"merges": merges, "first": first, "ids": ids, "pieces": pieces, "bytes": single}, separators=(",", ":"))
 
 
 class Cutter:
@@ -124,11 +134,17 @@ class Cutter:
 
     #: A text with white space before a space, or a space at an end, isn't cut at its spaces first.
     SPACED = re.compile(r"\s |\A | \Z")
+    #: Latin letters, after a space or not: one word where the pattern takes such a run whole.
+    LETTERS = re.compile(" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u02af]+")
+    RUN = r" ?\p{L}+"
 
     def __init__(self, path: str, pattern: str):
         # the vocabulary's library takes Unicode's white space, which leaves out four control characters that \s has here
         plain = pattern.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")
         self.words = regex.compile(plain).findall
+        before, run, _ = pattern.partition("|" + self.RUN + "|")
+        whole = run and all(x[:1] == "'" for x in before.split("|"))  # nothing earlier in the pattern starts with a letter or space
+        self.plain = self.LETTERS.fullmatch if whole else lambda text: None
         tokens = read_ranks(path)
         self.longest = max(map(len, tokens))
         self.beside = np.zeros(1 << 16, bool)
@@ -154,24 +170,31 @@ class Cutter:
         return [first, *[" " + x for x in rest]]
 
 
-class Block:
-    """Texts as numbers of distinct stretches, and these as numbers of distinct words."""
+class Block(dict):
+    """Texts as numbers of distinct stretches, and these as numbers of distinct words; gives each stretch its number."""
 
     def __init__(self, own: Cutter):
         self.own, self.texts, self.size = own, [], 0
-        self.number: dict[str, int] = {}
-        self.stretches: list[list[int]] = []
         self.words: dict[bytes, int] = {}
+        self.places, self.counts = array("i"), array("i")  # words of all stretches, and how many each has
+
+    def __missing__(self, new: str) -> int:
+        own, words = self.own, self.words
+        one = new.encode("utf-8")
+        if len(one) <= own.longest and own.plain(new):
+            self.places.append(words.setdefault(one, len(words)))
+            self.counts.append(1)
+        else:
+            parts = [p for w in own.words(new) for p in own.parts(w.encode("utf-8"))]
+            self.places.extend([words.setdefault(p, len(words)) for p in parts])
+            self.counts.append(len(parts))
+        self[new] = number = len(self)
+        return number
 
     def add(self, texts: list[str | None]) -> None:
-        number, words, own = self.number, self.words, self.own
         for text in texts:
-            cut = own.stretches(text)
-            for new in set(cut).difference(number):
-                number[new] = len(self.stretches)
-                parts = [p for w in own.words(new) for p in own.parts(w.encode("utf-8"))]
-                self.stretches.append([words.setdefault(p, len(words)) for p in parts])
-            self.texts.append(np.fromiter(map(number.__getitem__, cut), np.int32, len(cut)))
+            cut = self.own.stretches(text)
+            self.texts.append(np.fromiter(map(self.__getitem__, cut), np.int32, len(cut)))
             self.size += len(text or "")
 
 
@@ -180,8 +203,8 @@ def cutter(path: str, pattern: str) -> Cutter:
     return Cutter(path, pattern)
 
 
-def _lists(lengths: list[int], flat: np.ndarray, kind: pa.DataType) -> pa.ListArray:
-    ends = np.cumsum([0, *lengths]).astype(np.int32)
+def _lists(lengths, flat: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    ends = np.r_[0, np.cumsum(lengths)].astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, kind.value_type)).cast(kind)
 
 
@@ -198,18 +221,21 @@ def blocks(docs: DataFrame, path: str, pattern: str, keep: list[str], text: str,
     names = list(dict.fromkeys([*keep, text]))
 
     def row(block: Block, columns: list[pa.RecordBatch]) -> pa.RecordBatch:
+        block.clear()  # the stretches themselves aren't needed any more
         doc = arrow.field("docs").type.value_type
         fields = doc.field("kept").type
         table = pa.Table.from_batches(columns).combine_chunks()
         own = [table.column(k).combine_chunks().cast(fields.field(k).type) for k in keep]
         own = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in own]
         rows = pa.StructArray.from_arrays(own, fields=[fields.field(k) for k in keep])
-        places = _lists([*map(len, block.texts)], np.concatenate(block.texts), doc.field("places").type)
+        lengths, flat = [*map(len, block.texts)], np.concatenate(block.texts)
+        block.texts.clear()
+        places = _lists(lengths, flat, doc.field("places").type)
         both = pa.StructArray.from_arrays([rows, places], fields=[doc.field("kept"), doc.field("places")])
         spelled = np.frombuffer(b"".join(block.words), np.uint8).astype(np.int16)
         words = _lists([*map(len, block.words)], spelled, arrow.field("words").type.value_type)
-        flat = np.fromiter(chain.from_iterable(block.stretches), np.int32)
-        stretches = _lists([*map(len, block.stretches)], flat, arrow.field("stretches").type.value_type)
+        block.words.clear()
+        stretches = _lists(np.frombuffer(block.counts, np.int32), np.frombuffer(block.places, np.int32), arrow.field("stretches").type.value_type)
         one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
         made = [one(x).cast(arrow.field(n).type) for n, x in (("docs", both), ("stretches", stretches), ("words", words))]
         return pa.RecordBatch.from_arrays(made, schema=arrow)
@@ -239,7 +265,32 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def made_of(ranks: Column, pair: Column) -> Column:
     """The token that a pair makes, ``NONE`` if it doesn't merge."""
     bucket = F.get(ranks["merges"], F.xxhash64(pair).bitwiseAND(BUCKETS - 1).cast("int"))
-    return F.substr(F.call_function("substring_index", bucket, pair, F.lit(-1)), F.lit(1), F.lit(1))
+    return F.substr(F.call_function("substring_index", bucket, pair, F.lit(-1)), F.lit(2), F.lit(1))
+
+
+def quick_fold(ranks: Column, word: Column) -> Column:
+    """What ``fold`` gives, for a word of few bytes: the state is held with what its pairs make, from edge to edge."""
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    spelled = F.array_join(F.transform(word, lambda b: F.get(ranks["bytes"], b.cast("int"))), "")
+    pairs = F.zip_with(F.slice(word, F.lit(1), F.size(word) - 1), F.slice(word, F.lit(2), F.size(word) - 1), lambda a, b: F.get(ranks["first"], a.cast("int") * 256 + b))
+    start = F.struct(text(EDGE, spelled, EDGE).alias("state"), text(NONE, F.array_join(pairs, ""), NONE).alias("makes"), F.lit(False).alias("over"))
+
+    def merged(held: Column, best: Column, at: Column) -> Column:
+        def around(state: Column) -> Column:
+            new = [made_of(ranks, F.substr(state, at - 1, F.lit(2))), made_of(ranks, F.substr(state, at, F.lit(2)))]
+            makes = F.concat(F.substr(held["makes"], F.lit(1), at - 2), *new, F.substr(held["makes"], at + 2))
+            return F.struct(state.alias("state"), makes.alias("makes"), F.lit(False).alias("over"))
+
+        return let(F.overlay(held["state"], best, at, F.lit(2)), around)
+
+    def apply(held: Column, best: Column) -> Column:
+        over = F.struct(held["state"].alias("state"), held["makes"].alias("makes"), F.lit(True).alias("over"))
+        return F.when(best == NONE, over).otherwise(let(F.call_function("instr", held["makes"], best), lambda at: merged(held, best, at)))
+
+    def step(held: Column, _: Column) -> Column:
+        return F.when(held["over"], held).otherwise(let(F.array_min(F.split(held["makes"], "")), lambda best: apply(held, best)))
+
+    return F.aggregate(word, start, step, lambda held: F.substr(held["state"], F.lit(2), F.length(held["state"]) - 2))
 
 
 def fold(ranks: Column, word: Column) -> Column:
@@ -274,13 +325,17 @@ def encoded_word(ranks: Column, word: Column) -> Column:
         text = lambda name: F.array_join(F.transform(tokens, lambda t: F.get(ranks[name], F.ascii(t))), "")
         return F.struct(F.size(tokens).alias("n"), text("ids").alias("ids"), text("pieces").alias("decoded"))
 
-    return let(F.split(fold(ranks, word), ""), spelled)
+    tokens = F.when(F.size(word) <= SHORT, quick_fold(ranks, word)).otherwise(fold(ranks, word))
+    return let(F.split(tokens, ""), spelled)
 
 
 def joined(known: Column, places: Column) -> Column:
     """The encodings at ``places`` as one."""
-    text = lambda name: F.array_join(F.transform(places, lambda p: F.get(known, p)[name]), "")
-    return let(text("ids"), lambda ids: F.struct((F.length(ids) / 8).cast("int").alias("n"), ids.alias("ids"), text("decoded").alias("decoded")))
+    def joint(found: Column) -> Column:
+        ids = F.array_join(found["ids"], "")
+        return F.struct((F.octet_length(ids) / 8).cast("int").alias("n"), ids.alias("ids"), F.array_join(found["decoded"], "").alias("decoded"))
+
+    return let(F.transform(places, lambda p: F.get(known, p)), joint)
 
 
 def _texts(docs: DataFrame, path: str, pattern: str, keep: list[str], text: str, most: int, finish: Callable[[Column], list[Column]]) -> DataFrame:

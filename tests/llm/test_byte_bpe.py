@@ -1,10 +1,13 @@
 import hashlib
+import json
 import random
 from array import array
+from itertools import accumulate
 
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 
 from linklake.llm import byte_bpe
 
@@ -71,3 +74,47 @@ def test_kept_columns_may_clash(spark):
 def test_unreachable_tokens_are_refused():
     ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"abcd": 257}
     assert byte_bpe.unreachable(ranks) == {b"abcd"}
+
+
+def test_the_rank_map_gives_nothing_for_other_pairs():
+    """A pair that isn't in its bucket may not be found where a pair and the token it makes, or two entries, meet."""
+    ranks, found = byte_bpe.read_ranks(RANKS), json.loads(byte_bpe.literal(RANKS))
+    alone = byte_bpe.touchy(ranks)
+    letters = {rank: byte_bpe.letter(rank, rank in alone) for rank in ranks.values()}
+    made = {letters[a] + letters[b]: letters[c] for a, b, c in byte_bpe.splits(ranks)}
+    known = set(letters.values())
+    for at, bucket in enumerate(found["merges"]):
+        for pair in map("".join, zip(bucket, bucket[1:], strict=False)):
+            if known.issuperset(pair) and xxhash.xxh64_intdigest(pair.encode(), 42) % byte_bpe.BUCKETS == at:
+                assert made[pair]
+    assert [*found["first"]] == [made.get(a + b, byte_bpe.NONE) for a in found["bytes"] for b in found["bytes"]]
+
+
+def test_both_folds_match_the_library(spark, library, monkeypatch):
+    texts = hard_texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for most in (2, 1 << 20):
+        monkeypatch.setattr(byte_bpe, "SHORT", most)
+        some = docs.filter("length(text) < 1000")
+        for r in byte_bpe.encoded(some, RANKS, PATTERN, ["doc_id"]).collect():
+            assert (r.n_tokens, bytes(r.ids), bytes(r.decoded)) == expected(library, texts[r.doc_id])
+
+
+def test_a_block_holds_numbers_only(library):
+    """What a block holds of a stretch is one entry and four bytes a word and a text's place, and plain letters are cut as by the pattern."""
+    own = byte_bpe.cutter(RANKS, PATTERN)
+    texts = [*hard_texts(), None, "Ärger über ºª straße ǆ the end", " déjà vu"]
+    block = byte_bpe.Block(own)
+    block.add(texts)
+    assert isinstance(block.places, array) and isinstance(block.counts, array) and sum(block.counts) == len(block.places)
+    words, ends = list(block.words), [0, *accumulate(block.counts)]
+    for text, places in zip(texts, block.texts, strict=True):
+        made = [words[p] for i in places for p in block.places[ends[i] : ends[i + 1]]]
+        assert b"".join(made) == (text or "").encode()
+        assert made == [p for w in own.words(text or "") for p in own.parts(w.encode())]
+
+
+def test_letters_are_cut_by_the_pattern_unless_it_takes_them_whole():
+    assert byte_bpe.Cutter(RANKS, PATTERN).plain(" word")
+    for other in (r"\p{L}| ?\p{L}+|\s+", r"[a-z]| ?\p{L}+|\s", r".", PATTERN.replace(r" ?\p{L}+", r"\p{L}+")):
+        assert byte_bpe.Cutter(RANKS, other).plain(" word") is None
