@@ -27,12 +27,13 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import cut_lineage, map_rows
-from .words import Encoded, library, portions, words_of
+from .words import Recalled, library, words_of
 
 LENGTH = 4096
 END_ID = 1
 GROUP = 20_000  # pieces a task packs at a time
 DEALT, FULL, ROW = "_packing_group", "_packing_full", "_packing_row"
+MARKS = frozenset(".,;:!?)")  # after letters, one of these is a word of its own
 OPEN = 0.98  # bins filled less are packed again with those of other groups
 
 
@@ -40,17 +41,25 @@ OPEN = 0.98  # bins filled less are packed again with those of other groups
 
 
 @lru_cache(maxsize=2)
-def id_bytes(path: str) -> Encoded:
+def id_bytes(path: str) -> Recalled:
     """Gives each piece of text its ids by the tokenizers library, as little-endian unsigned 32-bit integers."""
     model = library(path).model
 
-    def encode(pieces: list[str]) -> list[bytes]:
-        return [
-            array("I", [held.special[p]] if p in held.special else [t.id for w in words_of(p, path) for t in model.tokenize(w)]).tobytes()
-            for p in pieces
-        ]
+    def encode(piece: str) -> bytes:
+        if piece in held.special:
+            return array("I", [held.special[piece]]).tobytes()
+        plain = piece.isascii()
+        if plain and piece.isalpha():
+            words = [piece.lower()]
+        elif plain and piece[-1] in MARKS and piece[:-1].isalpha():
+            words = [piece[:-1].lower(), piece[-1]]
+        else:
+            words = words_of(piece, path)
+        if plain and words != [piece]:  # words in ASCII are pieces themselves, and one word serves many pieces
+            return b"".join([held[w] for w in words])
+        return array("I", [t.id for w in words for t in model.tokenize(w)]).tobytes()
 
-    held = Encoded(path, encode)
+    held = Recalled(path, encode)
     return held
 
 
@@ -68,23 +77,19 @@ def pieces(docs: DataFrame, path: str, keep: list[str], text: str = "text", leng
     fields = PIECE + [IDS] * with_ids
 
     def run(texts: list) -> tuple[list[int], dict[str, list]]:
-        held, places, row = id_bytes(path), [], 0
+        held, places = id_bytes(path), []
         made: dict[str, list] = {f.name: [] for f in fields}
-        for some in portions(texts):
-            cut = [held.pieces(t) for t in some]
-            known = held.learn(cut)
-            for one in cut:
-                ids = b"".join(map(known, one)) + end
-                for k, at in enumerate(range(0, len(ids), 4 * length)):
-                    part = ids[at : at + 4 * length]
-                    places.append(row)
-                    made["piece"].append(k)
-                    made["start"].append(at // 4)
-                    made["length"].append(len(part) // 4)
-                    made["ids_crc32"].append(zlib.crc32(part))
-                    if with_ids:
-                        made["ids"].append(part)
-                row += 1
+        for row, text in enumerate(texts):
+            ids = held.joined(text) + end
+            for k, at in enumerate(range(0, len(ids), 4 * length)):
+                part = ids[at : at + 4 * length]
+                places.append(row)
+                made["piece"].append(k)
+                made["start"].append(at // 4)
+                made["length"].append(len(part) // 4)
+                made["ids_crc32"].append(zlib.crc32(part))
+                if with_ids:
+                    made["ids"].append(part)
         return places, made
 
     return map_rows(docs, run, [text], keep, fields)

@@ -75,16 +75,10 @@ def portions(texts: list[str | None], most: int = 8_000_000) -> Iterator[list[st
         yield some
 
 
-class Encoded:
-    """What each piece between white space becomes, worked out once for a batch and kept for the next.
-
-    ``encode`` takes the batch's unknown pieces and gives their values. When it holds over ``most``
-    pieces only those of the present batch stay, and pieces of over ``SHORT`` characters, such as whole texts of doubtful
-    characters, are forgotten when the next batch comes. That bounds memory by bytes and changes no result.
-    """
+class Pieces:
+    """Cuts texts into pieces."""
 
-    def __init__(self, path: str, encode: Callable[[list[str]], list], most: int = 450_000):
-        self.path, self.encode, self.most, self.known, self.long = path, encode, most, {}, []
+    def __init__(self, path: str):
         self.special = specials(path)
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
 
@@ -97,6 +91,57 @@ class Encoded:
             return [y for x in parts for y in ([x] if x in self.special or UNSURE.search(x) else x.split())]
         return [text] if UNSURE.search(text) else text.split()
 
+
+class Recalled(Pieces, dict):
+    """What each piece becomes, worked out by ``encode`` when it is first looked up, and kept for later texts.
+
+    Pieces are kept in two generations of about ``most``: a full one becomes the old one, and of the old one those that are met
+    again move on, so that frequent pieces stay. Those of over ``SHORT`` characters, such as whole texts of doubtful
+    characters, are forgotten once they hold ``long`` characters. That bounds memory by bytes and changes no result.
+    """
+
+    def __init__(self, path: str, encode: Callable[[str], bytes], most: int = 400_000, long: int = 8_000_000):
+        Pieces.__init__(self, path)
+        self.encode, self.most, self.most_long = encode, most, long
+        self.old: dict[str, bytes] = {}
+        self.long, self.long_size = [], 0
+
+    def __missing__(self, piece: str) -> bytes:
+        value = self.old.pop(piece, None)
+        if value is None:
+            value = self.encode(piece)
+        self[piece] = value
+        if len(piece) > SHORT:
+            self.long.append(piece)
+            self.long_size += len(piece)
+        return value
+
+    def joined(self, text: str | None) -> bytes:
+        """What the text's pieces become, in turn."""
+        if self.long_size > self.most_long:
+            for x in self.long:
+                self.pop(x, None)
+            self.long, self.long_size = [], 0
+        if len(self) > self.most:
+            for x in self.long:  # they don't grow old
+                self.pop(x, None)
+            self.long, self.long_size, self.old = [], 0, dict(self)
+            self.clear()
+        return b"".join(map(self.__getitem__, self.pieces(text)))
+
+
+class Encoded(Pieces):
+    """What each piece between white space becomes, worked out once for a batch and kept for the next.
+
+    ``encode`` takes the batch's unknown pieces and gives their values. When it holds over ``most``
+    pieces only those of the present batch stay, and pieces of over ``SHORT`` characters, such as whole texts of doubtful
+    characters, are forgotten when the next batch comes. That bounds memory by bytes and changes no result.
+    """
+
+    def __init__(self, path: str, encode: Callable[[list[str]], list], most: int = 450_000):
+        super().__init__(path)
+        self.encode, self.most, self.known, self.long = encode, most, {}, []
+
     def learn(self, texts: list[list[str]]) -> Callable[[str], object]:
         """Make every piece of the batch known; gives the look-up."""
         met = set().union(*texts)

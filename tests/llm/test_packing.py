@@ -8,6 +8,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from linklake.llm import packing
+from linklake.llm.words import Recalled
 
 from .helpers import awkward, awkward_rows, no_docs
 
@@ -134,3 +135,34 @@ def test_columns_of_the_same_names(spark):
     items = spark.createDataFrame([(1, 5, 9, 9, "f")], "doc_id long, length long, sequence_id long, offset long, full string")
     (row,) = packing.pack(items).collect()
     assert (row.doc_id, row.length, row.offset, row.full) == (1, 5, 0, "f")
+
+
+def test_pieces_are_worked_out_once_while_they_keep_coming():
+    """Frequent pieces outlast any number of rare ones, a word serves all pieces that hold it, and what is kept is bounded."""
+    held = Recalled(PATH, packing.id_bytes(PATH).encode, most=50)
+    worked_out, encode = Counter(), held.encode
+    held.encode = lambda p: worked_out.update([p]) or encode(p)
+    lib = Tokenizer.from_file(PATH)
+    for k in range(200):
+        text = "common words stay " + " ".join(f"rare{k}x{j}" for j in range(20))
+        assert held.joined(text) == array("I", lib.encode(text, add_special_tokens=False).ids).tobytes()
+        assert len(held) + len(held.old) <= 2 * (50 + 23)
+    assert worked_out["common"] == worked_out["words"] == 1 and worked_out["rare3x3"] == 1
+
+
+def test_long_pieces_are_forgotten_by_their_size():
+    held = Recalled(PATH, lambda p: b"v", most=1000, long=5000)
+    for k in range(50):
+        held.joined("é中" + "x" * 900 + str(k))
+        assert sum(len(p) for p in held if len(p) > 64) <= 5000 + 1000
+    assert not any(len(p) > 64 for p in held.old)
+
+
+def test_words_of_pieces_in_letters_and_marks():
+    lib = Tokenizer.from_file(PATH)
+    pieces = [a + b for a in ("The", "end", "it's", "I'LL", "x", "ÜBER", "naïve", "a1", "_", "") for b in (".", ",", ";", ":", "!", "?", ")", "'", "...", "_", "1.", "")]
+    for p in filter(None, pieces):
+        assert packing.id_bytes(PATH)[p] == array("I", lib.encode(p, add_special_tokens=False).ids).tobytes(), p
+    odd = ["<|", "<|endoftext|>", "a<|endoftext|>b.", "<|startoftext|>.", "<|>"]
+    for t in odd:
+        assert packing.id_bytes(PATH).joined(t) == array("I", lib.encode(t, add_special_tokens=False).ids).tobytes()
