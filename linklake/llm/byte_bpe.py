@@ -259,7 +259,7 @@ def blocks(docs: DataFrame, path: str, pattern: str, keep: list[str], text: str,
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is worked out once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.aggregate(F.array().cast("array<int>"), value, lambda kept, _: kept, body)  # unlike transform, it copies nothing
 
 
 def made_of(ranks: Column, pair: Column) -> Column:
