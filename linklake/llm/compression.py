@@ -163,8 +163,9 @@ def fit_limits(docs: DataFrame, labels: DataFrame, limits: Limits = LIMITS, text
         return pd.DataFrame([chunk_spread(x, limits, squeeze) for x in texts.tolist()], columns=["bytes", "ratio", "chunk"])
 
     # ratios of all texts are worked out where the texts lie; only these few numbers are moved to meet the labels
-    made = docs.select("doc_id", F.pandas_udf(run, "bytes long, ratio double, chunk double")(F.col(text)).alias("m")).select("doc_id", "m.*")
-    made = cut_lineage(made.filter("bytes > 0").join(good, "doc_id", "left_semi"))
+    # empty texts go first: a condition on the ratios would run the function twice in a task, in two workers
+    made = docs.filter(F.length(text) > 0).select("doc_id", F.pandas_udf(run, "bytes long, ratio double, chunk double")(F.col(text)).alias("m"))
+    made = cut_lineage(made.select("doc_id", "m.*").join(good, "doc_id", "left_semi"))
     ends = lambda x: F.percentile_approx(x, F.array(F.lit(BEYOND), F.lit(1 - BEYOND)), 10_000)
     by_length = made.groupBy(F.floor(F.log2("bytes")).alias("class")).agg(F.count("*").alias("n"), F.avg(F.log2("bytes")).alias("at"), ends("ratio").alias("ends"))
     fitted = {r["class"]: r for r in by_length.collect() if r.n >= LEAST_LABELLED}

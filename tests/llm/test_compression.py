@@ -104,6 +104,17 @@ def test_limits_follow_the_labelled_documents(spark):
     assert at == sorted(at) and compression.band(1 << 30, limits)[1] > 3
 
 
+def test_ratios_are_worked_out_once_a_text(spark, monkeypatch):
+    """One function in the plan, so that a task holds one worker, and empty texts don't reach it."""
+    docs, labels = labelled(spark, (60, 400), 60)
+    plans, write = [], compression.cut_lineage
+    monkeypatch.setattr(compression, "cut_lineage", lambda df: plans.append(df) or write(df))
+    blank = spark.createDataFrame([(1, ""), (2, None), (None, "a b")], "doc_id long, text string")
+    limits = compression.fit_limits(docs, labels)
+    assert plans[0]._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert compression.fit_limits(docs.select("doc_id", "text").union(blank), labels) == limits != compression.LIMITS
+
+
 def test_verdict_equals_a_plain_restatement(spark):
     limits = compression.Limits(bands=((10, 0.5, 2.0), (1000, 1.0, 2.2), (100_000, 1.5, 2.5)), chunk=500, chunk_low=1.1, chunk_high=3.0, chunk_share=0.3)
     texts = [prose(n, n) for n in (9, 30, 200, 2000)] + [prose(200, 1) + " z" * 600, "abc " * 9, laden(prose(300, 2), 1)]
