@@ -49,7 +49,7 @@ BAR, EDGE = "\x01", "\x02"
 SHORT = 48
 #: Bytes of a state above which its pairs are cut out in one go.
 LONG = 256
-MAP = "struct<merges: array<string>, first: array<string>, ids: array<string>, pieces: array<string>, bytes: array<string>>"
+MAP = "struct<merges: array<string>, first: array<string>, ids: array<string>, pieces: array<string>>"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -135,16 +135,20 @@ class Cutter:
     #: A text with white space before a space, or a space at an end, isn't cut at its spaces first.
     SPACED = re.compile(r"\s |\A | \Z")
     #: Latin letters, after a space or not: one word where the pattern takes such a run whole.
-    LETTERS = re.compile(" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u02af]+")
+    LETTERS = " ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u02af]+"
     RUN = r" ?\p{L}+"
+    #: ASCII marks after the letters: a second word where the pattern goes on like this.
+    MARKS = r"[!-/:-@\[-`{-~]+"
+    NEXT = r" ?\p{N}+| ?[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str, pattern: str):
         # the vocabulary's library takes Unicode's white space, which leaves out four control characters that \s has here
         plain = pattern.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")
         self.words = regex.compile(plain).findall
-        before, run, _ = pattern.partition("|" + self.RUN + "|")
+        before, run, after = pattern.partition("|" + self.RUN + "|")
         whole = run and all(x[:1] == "'" for x in before.split("|"))  # nothing earlier in the pattern starts with a letter or space
-        self.plain = self.LETTERS.fullmatch if whole else lambda text: None
+        marks = whole and after.startswith(self.NEXT + "|") and all(re.fullmatch("'[a-z]+", x) for x in before.split("|"))
+        self.plain = re.compile(f"({self.LETTERS})({self.MARKS if marks else ''})?").fullmatch if whole else lambda text: None
         tokens = read_ranks(path)
         self.longest = max(map(len, tokens))
         self.beside = np.zeros(1 << 16, bool)
@@ -181,13 +185,13 @@ class Block(dict):
     def __missing__(self, new: str) -> int:
         own, words = self.own, self.words
         one = new.encode("utf-8")
-        if len(one) <= own.longest and own.plain(new):
-            self.places.append(words.setdefault(one, len(words)))
-            self.counts.append(1)
+        if len(one) <= own.longest and (found := own.plain(new)):
+            parts = [found[1].encode("utf-8"), found[2].encode("utf-8")] if found[2] else [one]
         else:
             parts = [p for w in own.words(new) for p in own.parts(w.encode("utf-8"))]
-            self.places.extend([words.setdefault(p, len(words)) for p in parts])
-            self.counts.append(len(parts))
+        for p in parts:
+            self.places.append(words.setdefault(p, len(words)))
+        self.counts.append(len(parts))
         self[new] = number = len(self)
         return number
 
@@ -197,6 +201,15 @@ class Block(dict):
             self.texts.append(np.fromiter(map(self.__getitem__, cut), np.int32, len(cut)))
             self.size += len(text or "")
 
+    def numbered(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A number for each stretch, that of its word, or a new one if it hasn't one word; the latter's counts and words."""
+        counts, places = np.frombuffer(self.counts, np.int32), np.frombuffer(self.places, np.int32)
+        one = counts == 1
+        numbers = np.empty(len(counts), np.int32)
+        numbers[one] = places[(np.cumsum(counts) - counts)[one]]
+        numbers[~one] = len(self.words) + np.arange(np.count_nonzero(~one))
+        return numbers, counts[~one], places[np.repeat(~one, counts)]
+
 
 @lru_cache(maxsize=2)
 def cutter(path: str, pattern: str) -> Cutter:
@@ -208,14 +221,33 @@ def _lists(lengths, flat: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, kind.value_type)).cast(kind)
 
 
+def spelled(words: list[bytes], letters: np.ndarray, kind: pa.StructType) -> pa.StructArray:
+    """The words by the ``letters`` of their bytes, and by the numbers of their pairs of bytes."""
+    flat = np.frombuffer(b"".join(words), np.uint8)
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lengths)
+    sizes = np.array([len(chr(x).encode()) for x in letters])
+    bounds = np.r_[0, np.r_[0, np.cumsum(sizes[flat])][ends]].astype(np.int32)
+    state = letters[flat].astype("<u4").tobytes().decode("utf-32-le").encode()
+    inside = np.ones(len(flat), bool)
+    inside[ends - 1] = False  # pairs that would run into the next word
+    pairs = (flat[:-1].astype(np.int32) * 256 + flat[1:])[inside[:-1]]
+    states = pa.StringArray.from_buffers(len(words), pa.py_buffer(bounds), pa.py_buffer(state))
+    return pa.StructArray.from_arrays([states.cast(kind.field("state").type), _lists(lengths - 1, pairs, kind.field("pairs").type)], fields=list(kind))
+
+
 def blocks(docs: DataFrame, path: str, pattern: str, keep: list[str], text: str, most: int) -> DataFrame:
-    """One row per block: ``docs`` (kept columns and places of stretches), ``stretches`` (places of words), ``words`` (bytes)."""
+    """One row per block: ``docs`` (kept columns and numbers of words or stretches), ``stretches`` (numbers of words), ``words``.
+
+    Stretches that are one word are that word. The others are numbered after the words.
+    """
+    letters = np.array([ord(x) for x in json.loads(literal(path))["bytes"]])
     kept = T.StructType([docs.schema[k] for k in keep])
     ints = T.ArrayType(T.IntegerType())
     schema = T.StructType([
         T.StructField("docs", T.ArrayType(T.StructType([T.StructField("kept", kept), T.StructField("places", ints)]))),
         T.StructField("stretches", T.ArrayType(ints)),
-        T.StructField("words", T.ArrayType(T.ArrayType(T.ShortType()))),
+        T.StructField("words", T.ArrayType(T.StructType([T.StructField("state", T.StringType()), T.StructField("pairs", ints)]))),
     ])
     arrow = to_arrow_schema(schema)
     names = list(dict.fromkeys([*keep, text]))
@@ -228,14 +260,14 @@ def blocks(docs: DataFrame, path: str, pattern: str, keep: list[str], text: str,
         own = [table.column(k).combine_chunks().cast(fields.field(k).type) for k in keep]
         own = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in own]
         rows = pa.StructArray.from_arrays(own, fields=[fields.field(k) for k in keep])
-        lengths, flat = [*map(len, block.texts)], np.concatenate(block.texts)
+        numbers, counts, places = block.numbered()
+        stretches = _lists(counts, places, arrow.field("stretches").type.value_type)
+        lengths, flat = [*map(len, block.texts)], numbers[np.concatenate(block.texts)]
         block.texts.clear()
         places = _lists(lengths, flat, doc.field("places").type)
         both = pa.StructArray.from_arrays([rows, places], fields=[doc.field("kept"), doc.field("places")])
-        spelled = np.frombuffer(b"".join(block.words), np.uint8).astype(np.int16)
-        words = _lists([*map(len, block.words)], spelled, arrow.field("words").type.value_type)
+        words = spelled(list(block.words), letters, arrow.field("words").type.value_type)
         block.words.clear()
-        stretches = _lists(np.frombuffer(block.counts, np.int32), np.frombuffer(block.places, np.int32), arrow.field("stretches").type.value_type)
         one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
         made = [one(x).cast(arrow.field(n).type) for n, x in (("docs", both), ("stretches", stretches), ("words", words))]
         return pa.RecordBatch.from_arrays(made, schema=arrow)
@@ -269,28 +301,28 @@ def made_of(ranks: Column, pair: Column) -> Column:
 
 
 def quick_fold(ranks: Column, word: Column) -> Column:
-    """What ``fold`` gives, for a word of few bytes: the state is held with what its pairs make, from edge to edge."""
+    """What ``fold`` gives, for a word of few bytes: the state is held with what its pairs make, from edge to edge; nothing if it is over."""
     text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
-    spelled = F.array_join(F.transform(word, lambda b: F.get(ranks["bytes"], b.cast("int"))), "")
-    pairs = F.zip_with(F.slice(word, F.lit(1), F.size(word) - 1), F.slice(word, F.lit(2), F.size(word) - 1), lambda a, b: F.get(ranks["first"], a.cast("int") * 256 + b))
-    start = F.struct(text(EDGE, spelled, EDGE).alias("state"), text(NONE, F.array_join(pairs, ""), NONE).alias("makes"), F.lit(False).alias("over"))
+    pairs = F.transform(word["pairs"], lambda p: F.get(ranks["first"], p))
+    start = F.struct(text(EDGE, word["state"], EDGE).alias("state"), text(NONE, F.array_join(pairs, ""), NONE).alias("makes"))
 
     def merged(held: Column, best: Column, at: Column) -> Column:
         def around(state: Column) -> Column:
-            new = [made_of(ranks, F.substr(state, at - 1, F.lit(2))), made_of(ranks, F.substr(state, at, F.lit(2)))]
-            makes = F.concat(F.substr(held["makes"], F.lit(1), at - 2), *new, F.substr(held["makes"], at + 2))
-            return F.struct(state.alias("state"), makes.alias("makes"), F.lit(False).alias("over"))
+            left = F.when(at == 2, F.lit(NONE)).otherwise(made_of(ranks, F.substr(state, at - 1, F.lit(2))))
+            right = F.when(at + 1 == F.length(held["makes"]), F.lit(NONE)).otherwise(made_of(ranks, F.substr(state, at, F.lit(2))))
+            makes = F.concat(F.substr(held["makes"], F.lit(1), at - 2), left, right, F.substr(held["makes"], at + 2))
+            return F.struct(state.alias("state"), makes.alias("makes"))
 
         return let(F.overlay(held["state"], best, at, F.lit(2)), around)
 
     def apply(held: Column, best: Column) -> Column:
-        over = F.struct(held["state"].alias("state"), held["makes"].alias("makes"), F.lit(True).alias("over"))
+        over = F.struct(held["state"].alias("state"), F.lit("").alias("makes"))
         return F.when(best == NONE, over).otherwise(let(F.call_function("instr", held["makes"], best), lambda at: merged(held, best, at)))
 
     def step(held: Column, _: Column) -> Column:
-        return F.when(held["over"], held).otherwise(let(F.array_min(F.split(held["makes"], "")), lambda best: apply(held, best)))
+        return F.when(held["makes"] == "", held).otherwise(let(F.array_min(F.split(held["makes"], "")), lambda best: apply(held, best)))
 
-    return F.aggregate(word, start, step, lambda held: F.substr(held["state"], F.lit(2), F.length(held["state"]) - 2))
+    return F.aggregate(word["pairs"], start, step, lambda held: F.substr(held["state"], F.lit(2), F.length(held["state"]) - 2))
 
 
 def fold(ranks: Column, word: Column) -> Column:
@@ -315,38 +347,36 @@ def fold(ranks: Column, word: Column) -> Column:
         values = F.when(F.octet_length(state) <= LONG, short(state)).otherwise(long(state))
         return F.when(held["over"] | (F.length(state) < 2), held).otherwise(let(values, lambda v: apply(held, v)))
 
-    spelled = F.array_join(F.transform(word, lambda b: F.get(ranks["bytes"], b.cast("int"))), "")
-    return F.aggregate(word, F.struct(spelled.alias("state"), F.lit(False).alias("over")), step, lambda held: held["state"])
+    return F.aggregate(word["pairs"], F.struct(word["state"].alias("state"), F.lit(False).alias("over")), step, lambda held: held["state"])
 
 
 def encoded_word(ranks: Column, word: Column) -> Column:
-    """Number of ids, the ids (little-endian) and the decoded bytes, both in hexadecimal digits."""
+    """The ids (little-endian) and the decoded bytes, both in hexadecimal digits."""
     def spelled(tokens: Column) -> Column:
         text = lambda name: F.array_join(F.transform(tokens, lambda t: F.get(ranks[name], F.ascii(t))), "")
-        return F.struct(F.size(tokens).alias("n"), text("ids").alias("ids"), text("pieces").alias("decoded"))
+        return F.struct(text("ids").alias("ids"), text("pieces").alias("decoded"))
 
-    tokens = F.when(F.size(word) <= SHORT, quick_fold(ranks, word)).otherwise(fold(ranks, word))
+    tokens = F.when(F.size(word["pairs"]) < SHORT, quick_fold(ranks, word)).otherwise(fold(ranks, word))
     return let(F.split(tokens, ""), spelled)
 
 
 def joined(known: Column, places: Column) -> Column:
     """The encodings at ``places`` as one."""
     def joint(found: Column) -> Column:
-        ids = F.array_join(found["ids"], "")
-        return F.struct((F.octet_length(ids) / 8).cast("int").alias("n"), ids.alias("ids"), F.array_join(found["decoded"], "").alias("decoded"))
+        return F.struct(F.array_join(found["ids"], "").alias("ids"), F.array_join(found["decoded"], "").alias("decoded"))
 
     return let(F.transform(places, lambda p: F.get(known, p)), joint)
 
 
 def _texts(docs: DataFrame, path: str, pattern: str, keep: list[str], text: str, most: int, finish: Callable[[Column], list[Column]]) -> DataFrame:
-    """One row per text: kept columns, and what ``finish`` makes of ``n``, ``ids`` and ``decoded``."""
+    """One row per text: kept columns, and what ``finish`` makes of ``ids`` and ``decoded``, in hexadecimal digits."""
     def one(known: Column, doc: Column) -> Column:
         return let(joined(known, doc["places"]), lambda m: F.struct(doc["kept"].alias("kept"), F.struct(*finish(m)).alias("made")))
 
     def block(ranks: Column) -> Column:
         words = F.transform("words", lambda w: encoded_word(ranks, w))
-        stretches = let(words, lambda known: F.transform("stretches", lambda s: joined(known, s)))
-        return let(stretches, lambda known: F.transform("docs", lambda d: one(known, d)))
+        both = let(words, lambda known: F.concat(known, F.transform("stretches", lambda s: joined(known, s))))
+        return let(both, lambda known: F.transform("docs", lambda d: one(known, d)))
 
     rows = blocks(docs, path, pattern, keep, text, most).select(F.inline(let(F.from_json(F.lit(literal(path)), MAP), block)))
     return rows.select("kept.*", "made.*")
@@ -355,12 +385,12 @@ def _texts(docs: DataFrame, path: str, pattern: str, keep: list[str], text: str,
 def encoded(docs: DataFrame, path: str, pattern: str, keep: list[str], text: str = "text", most: int = BLOCK // 4) -> DataFrame:
     """``keep`` columns, ``n_tokens``, the ids in bytes (little-endian unsigned 32-bit) and the decoded bytes."""
     return _texts(docs, path, pattern, keep, text, most, lambda m: [
-        m["n"].cast("long").alias("n_tokens"), F.unhex(m["ids"]).alias("ids"), F.unhex(m["decoded"]).alias("decoded"),
+        (F.octet_length(m["ids"]) / 8).cast("long").alias("n_tokens"), F.unhex(m["ids"]).alias("ids"), F.unhex(m["decoded"]).alias("decoded"),
     ])
 
 
 def digests(docs: DataFrame, path: str, pattern: str, keep: list[str], text: str = "text", most: int = BLOCK) -> DataFrame:
     """``keep`` columns, ``n_tokens``, and SHA-256 of the ids and of the decoded bytes."""
     return _texts(docs, path, pattern, keep, text, most, lambda m: [
-        m["n"].cast("long").alias("n_tokens"), F.sha2(F.unhex(m["ids"]), 256).alias("ids_sha256"), F.sha2(F.unhex(m["decoded"]), 256).alias("decoded_sha256"),
+        (F.octet_length(m["ids"]) / 8).cast("long").alias("n_tokens"), F.sha2(F.unhex(m["ids"]), 256).alias("ids_sha256"), F.sha2(F.unhex(m["decoded"]), 256).alias("decoded_sha256"),
     ])

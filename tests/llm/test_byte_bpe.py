@@ -118,3 +118,26 @@ def test_letters_are_cut_by_the_pattern_unless_it_takes_them_whole():
     assert byte_bpe.Cutter(RANKS, PATTERN).plain(" word")
     for other in (r"\p{L}| ?\p{L}+|\s+", r"[a-z]| ?\p{L}+|\s", r".", PATTERN.replace(r" ?\p{L}+", r"\p{L}+")):
         assert byte_bpe.Cutter(RANKS, other).plain(" word") is None
+
+
+def test_stretches_of_one_word_are_that_word(spark):
+    """Only stretches of several words are joined for themselves; words come by their letters and the pairs of their bytes."""
+    texts = ["the end, the end", "of the, end.\n", "", None, "né"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    block = byte_bpe.blocks(docs, RANKS, PATTERN, ["doc_id"], "text", 1 << 20).first()
+    letters = {x: b for b, x in enumerate(json.loads(byte_bpe.literal(RANKS))["bytes"])}
+    words = [bytes(letters[x] for x in w.state) for w in block.words]
+    assert [w.pairs for w in block.words] == [[a * 256 + b for a, b in zip(w, w[1:], strict=False)] for w in words]
+    assert [[words[p] for p in s] for s in block.stretches] == [[b" end", b","], [b" the", b","], [b" end", b".", b"\n"]]
+    known = [*words, *[b"".join(words[p] for p in s) for s in block.stretches]]
+    assert [b"".join(known[p] for p in d.places) for d in block.docs] == [(x or "").encode() for x in texts]
+
+
+def test_letters_and_marks_are_cut_by_the_pattern():
+    own = byte_bpe.Cutter(RANKS, PATTERN)
+    for text in (" end.", "it's", " it's", "end'", " a'!?", "x_y", "x_", " né~`", "a\x7f", "É<|>", " the."):
+        found = own.plain(text)
+        assert found is None or [x for x in found.groups() if x] == own.words(text)
+    assert own.plain(" end.").groups() == (" end", ".") and own.plain("x_y") is None
+    for other in (PATTERN.replace("'s", "'!"), PATTERN.replace(r" ?\p{N}+|", "")):
+        assert byte_bpe.Cutter(RANKS, other).plain(" end.") is None and byte_bpe.Cutter(RANKS, other).plain(" end")
