@@ -134,6 +134,7 @@ class Cutter:
 
     #: A text with white space before a space, or a space at an end, isn't cut at its spaces first.
     SPACED = re.compile(r"\s |\A | \Z")
+    MARK = "\0"
     #: Latin letters, after a space or not: one word where the pattern takes such a run whole.
     LETTERS = " ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u02af]+"
     RUN = r" ?\p{L}+"
@@ -168,8 +169,14 @@ class Cutter:
         """The text in stretches that can be cut into words one by one: from a space after something else to the next."""
         if not text:
             return []
-        if self.SPACED.search(text):
+        if text.replace("\n", "").isprintable():  # the only white space is spaces and ends of lines, which is told sooner
+            spaced = "  " in text or "\n " in text or " " in (text[0], text[-1])
+        else:
+            spaced = self.SPACED.search(text)
+        if spaced:
             return [text]
+        if self.MARK not in text:
+            return text.replace(" ", self.MARK + " ").split(self.MARK)
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]]
 
@@ -226,9 +233,9 @@ def spelled(words: list[bytes], letters: np.ndarray, kind: pa.StructType) -> pa.
     flat = np.frombuffer(b"".join(words), np.uint8)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths)
-    sizes = np.array([len(chr(x).encode()) for x in letters])
-    bounds = np.r_[0, np.r_[0, np.cumsum(sizes[flat])][ends]].astype(np.int32)
-    state = letters[flat].astype("<u4").tobytes().decode("utf-32-le").encode()
+    sizes = np.array([len(chr(x).encode()) for x in letters], np.uint8)
+    bounds = np.r_[0, np.cumsum(sizes[flat], dtype=np.int32)[ends - 1]].astype(np.int32)
+    state = letters[flat].tobytes().decode("utf-32-le").encode()
     inside = np.ones(len(flat), bool)
     inside[ends - 1] = False  # pairs that would run into the next word
     pairs = (flat[:-1].astype(np.int32) * 256 + flat[1:])[inside[:-1]]
@@ -241,7 +248,7 @@ def blocks(docs: DataFrame, path: str, pattern: str, keep: list[str], text: str,
 
     Stretches that are one word are that word. The others are numbered after the words.
     """
-    letters = np.array([ord(x) for x in json.loads(literal(path))["bytes"]])
+    letters = np.array([ord(x) for x in json.loads(literal(path))["bytes"]], "<u4")
     kept = T.StructType([docs.schema[k] for k in keep])
     ints = T.ArrayType(T.IntegerType())
     schema = T.StructType([
@@ -296,8 +303,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def made_of(ranks: Column, pair: Column) -> Column:
     """The token that a pair makes, ``NONE`` if it doesn't merge."""
-    bucket = F.get(ranks["merges"], F.xxhash64(pair).bitwiseAND(BUCKETS - 1).cast("int"))
-    return F.substr(F.call_function("substring_index", bucket, pair, F.lit(-1)), F.lit(2), F.lit(1))
+    def found(pair: Column) -> Column:
+        bucket = F.get(ranks["merges"], F.xxhash64(pair).bitwiseAND(BUCKETS - 1).cast("int"))
+        return F.substr(F.call_function("substring_index", bucket, pair, F.lit(-1)), F.lit(2), F.lit(1))
+
+    return let(pair, found)
 
 
 def quick_fold(ranks: Column, word: Column) -> Column:
@@ -308,10 +318,12 @@ def quick_fold(ranks: Column, word: Column) -> Column:
 
     def merged(held: Column, best: Column, at: Column) -> Column:
         def around(state: Column) -> Column:
-            left = F.when(at == 2, F.lit(NONE)).otherwise(made_of(ranks, F.substr(state, at - 1, F.lit(2))))
-            right = F.when(at + 1 == F.length(held["makes"]), F.lit(NONE)).otherwise(made_of(ranks, F.substr(state, at, F.lit(2))))
-            makes = F.concat(F.substr(held["makes"], F.lit(1), at - 2), left, right, F.substr(held["makes"], at + 2))
-            return F.struct(state.alias("state"), makes.alias("makes"))
+            return let(F.substr(state, at - 1, F.lit(3)), lambda three: F.struct(state.alias("state"), beside(three).alias("makes")))
+
+        def beside(three: Column) -> Column:
+            left = F.when(at == 2, F.lit(NONE)).otherwise(made_of(ranks, F.substr(three, F.lit(1), F.lit(2))))
+            right = F.when(at + 1 == F.length(held["makes"]), F.lit(NONE)).otherwise(made_of(ranks, F.substr(three, F.lit(2), F.lit(2))))
+            return F.overlay(held["makes"], F.concat(left, right), at - 1, F.lit(3))
 
         return let(F.overlay(held["state"], best, at, F.lit(2)), around)
 

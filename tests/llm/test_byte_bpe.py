@@ -141,3 +141,11 @@ def test_letters_and_marks_are_cut_by_the_pattern():
     assert own.plain(" end.").groups() == (" end", ".") and own.plain("x_y") is None
     for other in (PATTERN.replace("'s", "'!"), PATTERN.replace(r" ?\p{N}+|", "")):
         assert byte_bpe.Cutter(RANKS, other).plain(" end.") is None and byte_bpe.Cutter(RANKS, other).plain(" end")
+
+
+def test_spaces_are_cut_first_unless_white_space_stands_before_one():
+    own = byte_bpe.Cutter(RANKS, PATTERN)
+    for text in ("a b\nc", "a\0 b", "a\tb c", "é b\x1cc d"):
+        assert own.stretches(text) == [x if i == 0 else " " + x for i, x in enumerate(text.split(" "))]
+    for text in (" a", "a ", "a  b", "a\n b", "a\t b", "a\x1c b", "a\u2003 b\n", " ", "\n c"):
+        assert own.stretches(text) == [text]
