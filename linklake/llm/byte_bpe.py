@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions.
 
 Method: texts are cut into words (matches of the vocabulary's pattern), and a block of texts becomes one row: the
-distinct words as byte arrays, and each text as the places of its words among them. On that row Spark's
+distinct words, letter by letter for their bytes, and each text as the places of its words among them. On that row Spark's
 higher-order functions do the rest. A fold over each distinct word starts from the ids of its bytes and, step by
 step, merges the neighbouring pair of lowest rank, leftmost first, by a literal rank map, until no pair has a rank.
 Decoding turns ids into pieces and concatenates their bytes. A text's ids and decoding are those of its
